@@ -7,9 +7,10 @@ is always written.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,7 +24,7 @@ def varint_size(c: Column | str) -> Column:
     size = F.when(n < 0, F.lit(10))
     for k in range(1, 9):
         size = size.when(n < F.lit(1 << (7 * k)), F.lit(k))
-    return size.otherwise(F.lit(9)).cast("bigint")
+    return size.when(n.isNotNull(), F.lit(9)).cast("bigint")
 
 
 def varint_size_u64(c: Column | str) -> Column:
@@ -33,7 +34,7 @@ def varint_size_u64(c: Column | str) -> Column:
     for k in range(1, 10):
         limit = F.lit(Decimal(1 << (7 * k))).cast("decimal(20,0)")
         size = F.when(n < limit, F.lit(k)) if size is None else size.when(n < limit, F.lit(k))
-    return size.otherwise(F.lit(10)).cast("bigint")
+    return size.when(n.isNotNull(), F.lit(10)).cast("bigint")
 
 
 def framed(length: Column | str) -> Column:
@@ -75,15 +76,10 @@ def length_of(array: Column | str) -> Column:
     return F.coalesce(F.size(_col(array)), F.lit(0)).cast("bigint")
 
 
-def packed_varints(array: Column | str) -> Column:
-    return F.when(length_of(array) == 0, F.lit(0)).otherwise(
-        framed(array_total(array, varint_size))
-    ).cast("bigint")
-
-
-def packed_fixed64(array: Column | str) -> Column:
-    n = length_of(array)
-    return F.when(n == 0, F.lit(0)).otherwise(framed(n * 8)).cast("bigint")
+def packed(total: Column | str) -> Column:
+    """Packed list whose elements take ``total`` bytes (an element takes at least one)."""
+    n = _col(total)
+    return F.when(n == 0, F.lit(0)).otherwise(framed(n)).cast("bigint")
 
 
 def optional_message(present: Column, length: Column) -> Column:
@@ -99,66 +95,81 @@ def key_value(kv_key: Column, key_ref: Column, value: Column) -> Column:
     return text(kv_key) + value_field(value) + scalar(F.coalesce(key_ref, F.lit(0)))
 
 
-def attribute(key: Column, unit: Column, value: Column) -> Column:
-    return scalar(key) + value_field(value) + scalar(unit)
+# Size expressions refer to a length many times, so each nested length is first
+# selected as a column of its own; the optimizer does not inline such columns.
 
 
-def value_type(vt: Column) -> Column:
-    """A ValueType field: absent when NULL."""
-    return optional_message(
-        vt.isNotNull(),
-        F.coalesce(scalar(vt["type_strindex"]) + scalar(vt["unit_strindex"]), F.lit(0)),
-    )
+def _staged(df: DataFrame, keep: Sequence[str], totals: dict[str, Column], carry: Sequence[str], content: Column) -> DataFrame:
+    return df.select(*keep, *carry, *[c.cast("bigint").alias(n) for n, c in totals.items()]).select(
+        *keep, content.cast("bigint").alias("content"))
 
 
-def sample() -> Column:
-    """Content size of a row of the ``samples`` table."""
-    return (
-        scalar("stack_index") + packed_varints("values") + packed_varints("attribute_indices")
-        + scalar("link_index") + packed_fixed64("timestamps")
+def sample_content(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    return _staged(
+        df, keep,
+        {"_v": array_total("values", varint_size), "_a": array_total("attribute_indices", varint_size),
+         "_t": length_of("timestamps") * 8},
+        ["stack_index", "link_index"],
+        scalar("stack_index") + packed("_v") + packed("_a") + scalar("link_index") + packed("_t"),
     )
 
 
-def profile_header() -> Column:
-    """Content size of a row of the ``profiles`` table without its samples."""
-    return (
-        value_type(F.col("sample_type")) + fixed64("time_unix_nano") + scalar("duration_nano")
-        + value_type(F.col("period_type")) + scalar("period") + text("profile_id")
-        + scalar("dropped_attributes_count") + text("original_payload_format")
-        + text("original_payload") + packed_varints("attribute_indices")
+def profile_content(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Profiles without their samples."""
+    vt = lambda c: scalar(F.col(c)["type_strindex"]) + scalar(F.col(c)["unit_strindex"])
+    return _staged(
+        df, keep,
+        {"_st": vt("sample_type"), "_pt": vt("period_type"), "_a": array_total("attribute_indices", varint_size)},
+        ["time_unix_nano", "duration_nano", "period", "profile_id", "dropped_attributes_count",
+         "original_payload_format", "original_payload"],
+        optional_message(F.col("_st").isNotNull(), F.col("_st")) + fixed64("time_unix_nano")
+        + scalar("duration_nano") + optional_message(F.col("_pt").isNotNull(), F.col("_pt"))
+        + scalar("period") + text("profile_id") + scalar("dropped_attributes_count")
+        + text("original_payload_format") + text("original_payload") + packed("_a"),
     )
 
 
-def mapping() -> Column:
-    return (
+def key_value_content(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    return df.select(*keep, key_value(F.col("key"), F.col("key_ref"), F.col("value")).alias("content"))
+
+
+def mapping_content(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    return _staged(
+        df, keep, {"_a": array_total("attribute_indices", varint_size)},
+        ["memory_start", "memory_limit", "file_offset", "filename_strindex"],
         scalar_u64("memory_start") + scalar_u64("memory_limit") + scalar_u64("file_offset")
-        + scalar("filename_strindex") + packed_varints("attribute_indices")
+        + scalar("filename_strindex") + packed("_a"),
     )
 
 
-def location() -> Column:
-    line = lambda x: framed(scalar(x["function_index"]) + scalar(x["line"]) + scalar(x["column"]))
-    return (
-        scalar("mapping_index") + scalar_u64("address") + array_total("lines", line)
-        + packed_varints("attribute_indices")
+def location_content(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    line = lambda x: scalar(x["function_index"]) + scalar(x["line"]) + scalar(x["column"])
+    lines = F.transform("lines", line)
+    return _staged(
+        df, keep, {"_l": array_total(lines, framed), "_a": array_total("attribute_indices", varint_size)},
+        ["mapping_index", "address"],
+        scalar("mapping_index") + scalar_u64("address") + F.col("_l") + packed("_a"),
     )
 
 
-def function() -> Column:
-    return (
-        scalar("name_strindex") + scalar("system_name_strindex") + scalar("filename_strindex")
-        + scalar("start_line")
-    )
+def function_content(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    fields = ("name_strindex", "system_name_strindex", "filename_strindex", "start_line")
+    return df.select(*keep, sum((scalar(c) for c in fields[1:]), scalar(fields[0])).alias("content"))
+
+
+def link_content(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    return df.select(*keep, (text("trace_id") + text("span_id")).alias("content"))
 
 
-def link() -> Column:
-    return text("trace_id") + text("span_id")
+def stack_content(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    return _staged(df, keep, {"_l": array_total("location_indices", varint_size)}, [], packed("_l"))
 
 
-def stack() -> Column:
-    return packed_varints("location_indices")
+def string_content(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """String-table entries, written even when empty."""
+    return df.select(*keep, F.octet_length("value").cast("bigint").alias("content"))
 
 
-def string_entry() -> Column:
-    """Content size of one string-table entry (written even when empty)."""
-    return F.octet_length("value").cast("bigint")
+def attribute_content(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    return df.select(
+        *keep, (scalar("key_strindex") + value_field(F.col("value")) + scalar("unit_strindex")).alias("content"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.functions import wire
-from emberframe.schema import PROFILE_ID, RESOURCE_ID, SCOPE_ID
+from emberframe.schema import DICTIONARY_TABLES, PROFILE_ID, RESOURCE_ID, SCOPE_ID
 from emberframe.tables import ProfileTables
 
 _EMPTY_SLOT = 2  # tag + zero length of a message without content
@@ -21,20 +23,17 @@ def _zero(name: str) -> Column:
 
 
 def _key_values(df: DataFrame, owner: list[str]) -> DataFrame:
-    size = wire.framed(wire.key_value(F.col("key"), F.col("key_ref"), F.col("value")))
-    return df.groupBy(*owner).agg(_sum(size).alias("attribute_bytes"))
+    return wire.key_value_content(df, owner).groupBy(*owner).agg(
+        _sum(wire.framed("content")).alias("attribute_bytes"))
 
 
 def profile_bytes(t: ProfileTables) -> DataFrame:
     """Content bytes of each profile; samples are reduced per profile before the join."""
-    sample = wire.sample()
-    samples = t.samples.groupBy(*PROFILE_ID).agg(
-        _sum(wire.framed(sample)).alias("framed_samples"), _sum(sample).alias("sample_bytes"))
-    return t.profiles.select(*PROFILE_ID, wire.profile_header().alias("header")).join(
-        samples, PROFILE_ID, "left"
-    ).select(
+    samples = wire.sample_content(t.samples, PROFILE_ID).groupBy(*PROFILE_ID).agg(
+        _sum(wire.framed("content")).alias("framed_samples"), _sum(F.col("content")).alias("sample_bytes"))
+    return wire.profile_content(t.profiles, PROFILE_ID).join(samples, PROFILE_ID, "left").select(
         *PROFILE_ID, _zero("sample_bytes").alias("sample_bytes"),
-        (F.col("header") + _zero("framed_samples")).alias("profile_bytes"),
+        (F.col("content") + _zero("framed_samples")).alias("profile_bytes"),
     )
 
 
@@ -50,22 +49,25 @@ def scope_bytes(t: ProfileTables) -> DataFrame:
     )
     # Profiles declared but not filled are encoded as empty messages.
     empty = (F.col("n_profiles") - _zero("filled")) * _EMPTY_SLOT
-    return (
+    joined = (
         t.scope_profiles.join(profiles, SCOPE_ID, "left")
         .join(_key_values(t.scope_attributes, SCOPE_ID), SCOPE_ID, "left")
         .select(
-            *SCOPE_ID, _zero("sample_bytes").alias("sample_bytes"), _zero("profile_bytes").alias("profile_bytes"),
-            F.when(F.col("has_scope"), message).otherwise(0).cast("bigint").alias("scope_message"),
-            (wire.optional_message(F.col("has_scope"), message) + _zero("framed_profiles") + empty
-             + wire.text("schema_url")).alias("scope_bytes"),
+            *SCOPE_ID, "has_scope", F.when(F.col("has_scope"), message).otherwise(0).cast("bigint").alias("scope_message"),
+            _zero("sample_bytes").alias("sample_bytes"), _zero("profile_bytes").alias("profile_bytes"),
+            (_zero("framed_profiles") + empty + wire.text("schema_url")).alias("_rest"),
         )
     )
+    return joined.select(
+        *SCOPE_ID, "sample_bytes", "profile_bytes", "scope_message",
+        (wire.optional_message(F.col("has_scope"), F.col("scope_message")) + F.col("_rest")).alias("scope_bytes"),
+    )
 
 
-def entity_refs_bytes(c: Column) -> Column:
-    names = lambda a: wire.array_total(a, lambda s: wire.framed(F.octet_length(s).cast("bigint")))
-    return wire.array_total(c, lambda e: wire.framed(
-        wire.text(e["schema_url"]) + wire.text(e["type"]) + names(e["id_keys"]) + names(e["description_keys"])))
+def _entity_refs(c: Column) -> Column:
+    names = lambda a: wire.array_total(F.transform(a, lambda s: F.octet_length(s).cast("bigint")), wire.framed)
+    content = lambda e: wire.text(e["schema_url"]) + wire.text(e["type"]) + names(e["id_keys"]) + names(e["description_keys"])
+    return wire.array_total(F.transform(c, content), wire.framed)
 
 
 def resource_bytes(t: ProfileTables) -> DataFrame:
@@ -75,45 +77,45 @@ def resource_bytes(t: ProfileTables) -> DataFrame:
         F.count("*").alias("filled"),
     )
     message = (
-        _zero("attribute_bytes") + wire.scalar("dropped_attributes_count") + entity_refs_bytes(F.col("entity_refs"))
+        _zero("attribute_bytes") + wire.scalar("dropped_attributes_count") + _entity_refs(F.col("entity_refs"))
     )
     empty = (F.col("n_scopes") - _zero("filled")) * _EMPTY_SLOT
-    return (
+    passed = ("scope_message", "profile_bytes", "sample_bytes")
+    joined = (
         t.resource_profiles.join(scopes, RESOURCE_ID, "left")
         .join(_key_values(t.resource_attributes, RESOURCE_ID), RESOURCE_ID, "left")
         .select(
-            *RESOURCE_ID, *[_zero(c).alias(c) for c in ("scope_message", "profile_bytes", "sample_bytes")],
+            *RESOURCE_ID, "has_resource", *[_zero(c).alias(c) for c in passed],
             F.when(F.col("has_resource"), message).otherwise(0).cast("bigint").alias("resource_message"),
-            (wire.optional_message(F.col("has_resource"), message) + _zero("framed_scopes") + empty
-             + wire.text("schema_url")).alias("resource_bytes"),
+            (_zero("framed_scopes") + empty + wire.text("schema_url")).alias("_rest"),
         )
     )
+    return joined.select(
+        *RESOURCE_ID, *passed, "resource_message",
+        (wire.optional_message(F.col("has_resource"), F.col("resource_message")) + F.col("_rest")).alias("resource_bytes"),
+    )
 
 
 def dictionary_entries(t: ProfileTables) -> DataFrame:
-    """(payload_id, table, entry bytes incl. tag and length) of all seven tables."""
-    entry = lambda df, name, size: df.select("payload_id", F.lit(name).alias("table_name"), wire.framed(size).alias("entry_bytes"))
-    attribute = wire.attribute(F.col("key_strindex"), F.col("unit_strindex"), F.col("value"))
-    parts = [
-        entry(t.dict_strings, "string", wire.string_entry()),
-        entry(t.dict_mappings, "mapping", wire.mapping()),
-        entry(t.dict_locations, "location", wire.location()),
-        entry(t.dict_functions, "function", wire.function()),
-        entry(t.dict_links, "link", wire.link()),
-        entry(t.dict_attributes, "attribute", attribute),
-        entry(t.dict_stacks, "stack", wire.stack()),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """(payload_id, table_name, content bytes) of every entry of the seven tables."""
+    contents = {
+        "string": wire.string_content(t.dict_strings, ["payload_id"]),
+        "mapping": wire.mapping_content(t.dict_mappings, ["payload_id"]),
+        "location": wire.location_content(t.dict_locations, ["payload_id"]),
+        "function": wire.function_content(t.dict_functions, ["payload_id"]),
+        "link": wire.link_content(t.dict_links, ["payload_id"]),
+        "attribute": wire.attribute_content(t.dict_attributes, ["payload_id"]),
+        "stack": wire.stack_content(t.dict_stacks, ["payload_id"]),
+    }
+    named = [df.withColumn("table_name", F.lit(name)) for name, df in contents.items()]
+    return reduce(DataFrame.unionByName, named)
 
 
 def dictionary_table_bytes(t: ProfileTables) -> DataFrame:
-    per_table = dictionary_entries(t).groupBy("payload_id", "table_name").agg(_sum(F.col("entry_bytes")).alias("n"))
+    per_table = dictionary_entries(t).groupBy("payload_id", "table_name").agg(_sum(wire.framed("content")).alias("n"))
     columns = [
         _sum(F.when(F.col("table_name") == name, F.col("n"))).alias(f"dict_{name}_table_proto_bytes")
-        for name in ("string", "mapping", "location", "function", "link", "attribute", "stack")
+        for name in DICTIONARY_TABLES
     ]
     return per_table.groupBy("payload_id").agg(*columns, _sum(F.col("n")).alias("dictionary_bytes"))
 
@@ -131,11 +133,10 @@ def message_bytes(t: ProfileTables) -> DataFrame:
     names = [c for c in tables.columns if c.endswith("_table_proto_bytes")]
     return (
         t.payloads.select("payload_id", "has_dictionary").join(tree, "payload_id", "left")
-        .join(tables, "payload_id", "left")
+        .join(tables, "payload_id", "left").withColumn("dictionary_bytes", _zero("dictionary_bytes"))
         .select(
             "payload_id", _zero("resource_profiles_proto_bytes").alias("resource_profiles_proto_bytes"),
-            F.when(F.col("has_dictionary"), wire.framed(_zero("dictionary_bytes"))).otherwise(0)
-            .cast("bigint").alias("dictionary_proto_bytes"),
+            wire.optional_message(F.col("has_dictionary"), F.col("dictionary_bytes")).alias("dictionary_proto_bytes"),
             *[_zero(c).alias(c) for c in tree.columns if c not in ("payload_id", "resource_profiles_proto_bytes")],
             *[_zero(c).alias(c) for c in names],
         )
