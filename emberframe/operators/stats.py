@@ -113,7 +113,8 @@ def host_ids(t: ProfileTables, host_key: str = "host.name") -> DataFrame:
     """
     named = resolved_resource_attributes(t).where((F.col("key") == host_key) & (F.col("text") != ""))
     hosts = named.groupBy("payload_id").agg(F.min_by("text", F.struct("rp_idx", "pos")).alias("host"))
-    first = hosts.groupBy("host").agg(F.min("payload_id").alias("first_payload"))
+    placed = hosts.join(t.payloads.select("payload_id", "position"), "payload_id")
+    first = placed.groupBy("host").agg(F.min("position").alias("first_payload"))
     numbered = grouped_ordinal(first, [], ["first_payload"], "host_id", start=1).select("host", "host_id")
     known = hosts.join(numbered, "host")
     return t.payloads.select("payload_id").join(known, "payload_id", "left").select(
@@ -123,16 +124,16 @@ def host_ids(t: ProfileTables, host_key: str = "host.name") -> DataFrame:
 
 
 def payload_stats(t: ProfileTables, host_key: str = "host.name") -> DataFrame:
-    """The 86-column statistics row per payload, keyed by ``id``."""
+    """The 86-column statistics row per payload; ``id`` is its position in path order."""
     parts = [
         payload_tree_counts(t), payload_dict_counts(t), payload_string_bytes(t), message_bytes(t),
         payload_time_span(t), language_fractions(t), symbol_fractions(t), host_ids(t, host_key).drop("host"),
     ]
-    row = t.payloads.select("payload_id", "n_bytes")
+    row = t.payloads.select("payload_id", "position", "n_bytes")
     for part in parts:
         row = row.join(part, "payload_id", "left")
     derived = {
-        "id": F.col("payload_id"),
+        "id": F.col("position"),
         "uncompressed_bytes": F.coalesce(
             F.col("n_bytes"), F.col("resource_profiles_proto_bytes") + F.col("dictionary_proto_bytes")),
         "sampled_stack_frames_count": F.coalesce("sampled_stack_frames_count", F.lit(0)),

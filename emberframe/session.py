@@ -8,8 +8,10 @@ files; no result depends on a recomputed partition layout.
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +23,12 @@ _SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows handed to Python are whole payloads (megabytes each), so batches stay short.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "32",
 }
 
 _scratch: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -33,6 +38,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers (once per application)."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parent
+        archive = shutil.make_archive(
+            f"{tempfile.mkdtemp(prefix='emberframe-')}/emberframe", "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for this application's intermediate tables, reachable by all executors."""
     app = spark.sparkContext.applicationId

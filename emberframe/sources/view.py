@@ -148,7 +148,7 @@ def build_profile_view(spark: SparkSession, sf_dir: str) -> ProfileTables:
     payloads = per_payload.join(resources, "payload_id").select(
         "payload_id",
         F.concat(F.lit("supplier-"), F.col("payload_id").cast("string")).alias("path"),
-        F.lit(0).alias("frame_no"),
+        F.lit(0).alias("frame_no"), F.col("payload_id").alias("position"),
         F.lit(None).cast("bigint").alias("n_bytes"),
         (F.lit(len(HEAD_STRINGS)) + F.col("n_named") + (F.col("payload_id") % 10 == 0).cast("int")
          + (F.col("payload_id") % 7 == 0).cast("int")).alias("n_strings"),
