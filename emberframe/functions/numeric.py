@@ -26,7 +26,7 @@ def next_power_of_two(n: Column) -> Column:
     return (
         F.when(n == 1, F.lit(1).cast("bigint"))
         .when(n == 0, F.lit(2).cast("bigint"))
-        .otherwise(F.shiftleft(F.lit(1).cast("bigint"), F.length(F.bin(n - 1)).cast("int")))
+        .otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(F.bin(n - 1))))
     )
 
 

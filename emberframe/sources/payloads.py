@@ -123,7 +123,7 @@ def write_payload_files(messages: DataFrame, uri: str, framed: bool = False) ->
     """Write messages below ``uri`` and return the written (file, n_messages).
 
     Plain: one file per message.  Framed: one length-prefixed file per
-    ``file_no``; callers keep the number of messages per ``file_no`` small.
+    ``file_no`` text; callers keep the number of messages per ``file_no`` small.
     Names depend only on the keys, so a repeated task rewrites the same file.
     """
     if framed:
@@ -131,7 +131,7 @@ def write_payload_files(messages: DataFrame, uri: str, framed: bool = False) ->
         parts = F.transform(F.array_sort(F.collect_list(F.struct("payload_id", "message_no", prefixed.alias("m")))), lambda x: x["m"])
         body = F.aggregate(parts, F.lit(b""), lambda acc, x: F.concat(acc, x))
         files = messages.groupBy("file_no").agg(body.alias("body"), F.count("*").alias("n_messages")).select(
-            F.concat(F.lit("frames-"), F.lpad(F.col("file_no").cast("string"), 12, "0"), F.lit(".bin")).alias("file"),
+            F.concat(F.lit("frames-"), F.col("file_no"), F.lit(".bin")).alias("file"),
             "body", "n_messages")
     else:
         name = F.concat(F.lit("payload-"), F.lpad(F.col("payload_id").cast("string"), 12, "0"), F.lit("-"),
