@@ -17,13 +17,13 @@ def make_value(kind: str, c: Column, ref_length: Column | None = None) -> Column
     field = {"string": "s", "string_ref": "s_ref", "bool": "b", "int": "i", "double": "d", "bytes": "bytes"}[kind]
     if kind in ("string", "bytes"):
         payload = F.octet_length(c).cast("bigint")
-        size = wire.framed(payload)
+        size = wire.framed_column(payload)
     elif kind == "string_ref":
         payload = F.coalesce(ref_length, F.lit(0)).cast("bigint")
-        size = F.lit(1) + wire.varint_size(c)
+        size = F.lit(1) + wire.varint_column(c)
     else:
         payload = F.lit(0).cast("bigint")
-        size = {"bool": F.lit(2), "int": F.lit(1) + wire.varint_size(c), "double": F.lit(9)}[kind]
+        size = {"bool": F.lit(2), "int": F.lit(1) + wire.varint_column(c), "double": F.lit(9)}[kind]
     slots = {
         "kind": F.lit(kind), "s": None, "s_ref": None, "b": None, "i": None, "d": None,
         "bytes": None, "nested_json": None, "payload_bytes": payload, "wire_bytes": size,
@@ -38,79 +38,69 @@ def no_value() -> Column:
     return F.lit(None).cast(VALUE)
 
 
-def shortest_decimal(d: Column) -> Column:
+def shortest_decimal(d: str) -> str:
     """Shortest decimal form of a double without exponent and without trailing ``.0``."""
-    raw = d.cast("string")
-    plain = F.when(
-        raw.contains("E"),
-        F.regexp_replace(_plain_decimal(raw), r"\.?0+$", ""),
-    ).otherwise(F.regexp_replace(raw, r"\.0$", ""))
-    return F.when(d == 0, F.lit("0")).when(F.isnan(d), F.lit("NaN")).otherwise(plain)
+    raw = f"CAST({d} AS STRING)"
+    return (
+        f"CASE WHEN {d} = 0 THEN '0' WHEN isnan({d}) THEN 'NaN' WHEN contains({raw}, 'E')"
+        f" THEN regexp_replace({_plain_decimal(raw)}, '\\\\.?0+$', '') ELSE regexp_replace({raw}, '\\\\.0$', '') END"
+    )
 
 
-def _plain_decimal(raw: Column) -> Column:
+def _plain_decimal(raw: str) -> str:
     """Expand ``1.5E-7`` to ``0.00000015`` with string operations (any exponent)."""
-    sign = F.when(raw.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    mantissa = F.regexp_extract(raw, r"^-?([0-9.]+)E", 1)
-    exponent = F.regexp_extract(raw, r"E(-?[0-9]+)$", 1).cast("int")
-    whole = F.substring_index(mantissa, ".", 1)
-    fraction = F.substring_index(mantissa, ".", -1)
-    digits = F.concat(whole, fraction)
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - F.lit(1)), digits)
-    padded = F.concat(digits, F.repeat(F.lit("0"), exponent - F.length(fraction)))
-    point = F.length(whole) + exponent
-    large = F.concat(
-        padded.substr(F.lit(1), point), F.lit("."), padded.substr(point + 1, F.length(padded)), F.lit("0")
-    )
-    return F.concat(sign, F.when(exponent < 0, small).otherwise(large))
+    whole = f"ltrim('-', substring_index({raw}, '.', 1))"
+    fraction = f"substring_index(substring_index({raw}, '.', -1), 'E', 1)"
+    exponent = f"CAST(substring_index({raw}, 'E', -1) AS INT)"
+    digits = f"concat({whole}, {fraction})"
+    small = f"concat('0.', repeat('0', -{exponent} - 1), {digits})"
+    padded = f"concat({digits}, repeat('0', {exponent} - length({fraction})))"
+    large = f"concat(left({padded}, 1 + {exponent}), '.', substring({padded}, 2 + {exponent}), '0')"
+    return f"concat(CASE WHEN startswith({raw}, '-') THEN '-' ELSE '' END, CASE WHEN {exponent} < 0 THEN {small} ELSE {large} END)"
 
 
-def value_text(value: Column, ref_text: Column) -> Column:
+def value_text(value: str, ref_text: str) -> str:
     """Plain text of a value; kinds without a plain text give ''.
 
     ``ref_text`` is the string a ``string_ref`` points to, NULL if out of range.
     """
-    return F.coalesce(
-        F.when(value["kind"] == "string", value["s"])
-        .when(value["kind"] == "string_ref", F.coalesce(ref_text, F.lit("")))
-        .when(value["kind"] == "bool", value["b"].cast("string"))
-        .when(value["kind"] == "int", value["i"].cast("string"))
-        .when(value["kind"] == "double", shortest_decimal(value["d"])),
-        F.lit(""),
+    return (
+        f"coalesce(CASE {value}.kind WHEN 'string' THEN {value}.s WHEN 'string_ref' THEN {ref_text}"
+        f" WHEN 'bool' THEN CAST({value}.b AS STRING) WHEN 'int' THEN CAST({value}.i AS STRING)"
+        f" WHEN 'double' THEN {shortest_decimal(f'{value}.d')} END, '')"
     )
 
 
 # Characters with a short escape inside a quoted string.
-_ESCAPES = (
-    ("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"),
-    ("\a", "\\a"), ("\b", "\\b"), ("\f", "\\f"), ("\v", "\\v"),
-)
+_ESCAPES = {
+    "\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t",
+    "\a": "\\a", "\b": "\\b", "\f": "\\f", "\v": "\\v",
+}
 
 
-def quoted(c: Column) -> Column:
+def quoted(c: str) -> str:
     """Double-quoted form with the usual short escapes."""
+    literal = lambda s: "concat(" + ", ".join(f"chr({ord(x)})" for x in s) + ")"
     out = c
-    for raw, escaped in _ESCAPES:
-        out = F.replace(out, F.lit(raw), F.lit(escaped))
-    return F.concat(F.lit('"'), out, F.lit('"'))
+    for raw, escaped in _ESCAPES.items():
+        out = f"replace({out}, {literal(raw)}, {literal(escaped)})"
+    return f"concat(chr(34), {out}, chr(34))"
 
 
-def listing_text(value: Column, ref_text: Column) -> Column:
+def listing_text(value: str, ref_text: str) -> str:
     """Text of a value in listings: strings quoted, references marked with ``&``."""
-    return F.coalesce(
-        F.when(value["kind"] == "string", quoted(value["s"]))
-        .when(value["kind"] == "string_ref", F.concat(F.lit("&"), quoted(F.coalesce(ref_text, F.lit("")))))
-        .when(value["nested_json"].isNotNull(), value["nested_json"]),
-        value_text(value, ref_text),
+    ref = f"coalesce({ref_text}, '')"
+    return (
+        f"CASE WHEN {value}.kind = 'string' THEN {quoted(f'{value}.s')} WHEN {value}.kind = 'string_ref'"
+        f" THEN concat('&', {quoted(ref)}) WHEN {value}.nested_json IS NOT NULL THEN {value}.nested_json"
+        f" ELSE {value_text(value, ref_text)} END"
     )
 
 
-def payload_bytes(value: Column, ref_length: Column) -> Column:
+def payload_bytes(value: str, ref_text: str) -> str:
     """Text bytes carried by a value; nested kinds use the count taken while decoding."""
-    return F.coalesce(
-        F.when(value["kind"] == "string", F.octet_length(value["s"]))
-        .when(value["kind"] == "bytes", F.octet_length(value["bytes"]))
-        .when(value["kind"] == "string_ref", F.coalesce(ref_length, F.lit(0)))
-        .when(value["kind"].isin("array", "kvlist"), value["payload_bytes"]),
-        F.lit(0),
-    ).cast("bigint")
+    return (
+        f"CAST(coalesce(CASE {value}.kind WHEN 'string' THEN octet_length({value}.s)"
+        f" WHEN 'bytes' THEN octet_length({value}.bytes) WHEN 'string_ref' THEN octet_length({ref_text})"
+        f" WHEN 'array' THEN {value}.payload_bytes WHEN 'kvlist' THEN {value}.payload_bytes END, 0) AS BIGINT)"
+    )

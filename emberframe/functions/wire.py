@@ -1,175 +1,148 @@
-"""Encoded sizes of profile messages as column expressions (proto3 wire format).
+"""Encoded sizes of profile messages as SQL expressions (proto3 wire format).
 
 All field numbers of the profile messages are below 16, so every tag is one
 byte.  Zero scalars and empty strings are omitted; a value inside a ``oneof``
-is always written.
+is always written.  Functions take and return SQL text, so a message size is
+one parsed expression.  Size expressions repeat their argument, so each nested
+length is first selected as a column of its own (``_staged``); the optimizer
+does not inline such columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def varint(n: str, unsigned: bool = False) -> str:
+    """Bytes of one varint; negative numbers take ten, NULL stays NULL.
 
+    ``unsigned`` is for 64-bit numbers held as DECIMAL(20,0).
+    """
+    steps = " ".join(f"WHEN {n} < {1 << (7 * k)} THEN {k}" for k in range(1, 10 if unsigned else 9))
+    return f"CAST(CASE WHEN {n} < 0 THEN 10 {steps} WHEN {n} IS NOT NULL THEN {10 if unsigned else 9} END AS BIGINT)"
 
-def varint_size(c: Column | str) -> Column:
-    """Bytes of one varint; negative numbers take ten."""
-    n = _col(c)
-    size = F.when(n < 0, F.lit(10))
-    for k in range(1, 9):
-        size = size.when(n < F.lit(1 << (7 * k)), F.lit(k))
-    return size.when(n.isNotNull(), F.lit(9)).cast("bigint")
 
-
-def varint_size_u64(c: Column | str) -> Column:
-    """``varint_size`` for unsigned 64-bit numbers held as DECIMAL(20,0)."""
-    n = _col(c)
-    size = None
-    for k in range(1, 10):
-        limit = F.lit(Decimal(1 << (7 * k))).cast("decimal(20,0)")
-        size = F.when(n < limit, F.lit(k)) if size is None else size.when(n < limit, F.lit(k))
-    return size.when(n.isNotNull(), F.lit(10)).cast("bigint")
-
-
-def framed(length: Column | str) -> Column:
+def framed(length: str) -> str:
     """Tag + length prefix + content of a message, string or bytes field."""
-    n = _col(length)
-    return F.lit(1) + varint_size(n) + n
+    return f"(1 + {varint(length)} + {length})"
 
 
-def scalar(c: Column | str) -> Column:
-    n = _col(c)
-    return F.when(n == 0, F.lit(0)).otherwise(F.lit(1) + varint_size(n)).cast("bigint")
+def scalar(n: str, unsigned: bool = False) -> str:
+    return f"(CASE WHEN {n} = 0 THEN 0L ELSE 1 + {varint(n, unsigned)} END)"
 
 
-def scalar_u64(c: Column | str) -> Column:
-    n = _col(c)
-    return F.when(n == 0, F.lit(0)).otherwise(F.lit(1) + varint_size_u64(n)).cast("bigint")
+def fixed64(n: str) -> str:
+    return f"(CASE WHEN {n} = 0 THEN 0L ELSE 9L END)"
 
 
-def fixed64(c: Column | str) -> Column:
-    return F.when(_col(c) == 0, F.lit(0)).otherwise(F.lit(9)).cast("bigint")
-
-
-def text(c: Column | str) -> Column:
+def text(s: str) -> str:
     """String or bytes field, omitted when empty or NULL."""
-    n = F.coalesce(F.octet_length(_col(c)), F.lit(0)).cast("bigint")
-    return F.when(n == 0, F.lit(0)).otherwise(framed(n)).cast("bigint")
+    return f"(CASE WHEN coalesce(octet_length({s}), 0) = 0 THEN 0L ELSE {framed(f'octet_length({s})')} END)"
 
 
-def array_total(array: Column | str, size) -> Column:
+def total(array: str, size) -> str:
     """Sum of ``size(element)`` over an array; NULL and empty give 0."""
-    return F.coalesce(
-        F.aggregate(F.transform(_col(array), size), F.lit(0).cast("bigint"), lambda acc, x: acc + x),
-        F.lit(0).cast("bigint"),
-    )
+    return f"coalesce(aggregate(transform({array}, x -> {size('x')}), 0L, (acc, x) -> acc + x), 0L)"
 
 
-def length_of(array: Column | str) -> Column:
-    """Array length as BIGINT, 0 for NULL."""
-    return F.coalesce(F.size(_col(array)), F.lit(0)).cast("bigint")
+def length_of(array: str) -> str:
+    """Array length, 0 for NULL."""
+    return f"CAST(coalesce(size({array}), 0) AS BIGINT)"
 
 
-def packed(total: Column | str) -> Column:
-    """Packed list whose elements take ``total`` bytes (an element takes at least one)."""
-    n = _col(total)
-    return F.when(n == 0, F.lit(0)).otherwise(framed(n)).cast("bigint")
+def packed(n: str) -> str:
+    """Packed list whose elements take ``n`` bytes (an element takes at least one)."""
+    return f"(CASE WHEN {n} = 0 THEN 0L ELSE {framed(n)} END)"
 
 
-def optional_message(present: Column, length: Column) -> Column:
-    return F.when(present, framed(length)).otherwise(F.lit(0)).cast("bigint")
+def optional(present: str, length: str) -> str:
+    """Message field that is absent unless ``present``."""
+    return f"(CASE WHEN {present} THEN {framed(length)} ELSE 0L END)"
 
 
-def value_field(value: Column) -> Column:
+def value_field(value: str) -> str:
     """The ``value`` field of an attribute: nothing when the value is NULL."""
-    return optional_message(value.isNotNull(), F.coalesce(value["wire_bytes"], F.lit(0)))
+    return optional(f"{value} IS NOT NULL", f"coalesce({value}.wire_bytes, 0L)")
 
 
-def key_value(kv_key: Column, key_ref: Column, value: Column) -> Column:
-    return text(kv_key) + value_field(value) + scalar(F.coalesce(key_ref, F.lit(0)))
+def varint_column(n: Column) -> Column:
+    """``varint`` for an unnamed column."""
+    return F.ceil(F.length(F.bin(n.cast("bigint"))) / 7).cast("bigint")
 
 
-# Size expressions refer to a length many times, so each nested length is first
-# selected as a column of its own; the optimizer does not inline such columns.
+def framed_column(n: Column) -> Column:
+    return F.lit(1) + varint_column(n) + n
 
 
-def _staged(df: DataFrame, keep: Sequence[str], totals: dict[str, Column], carry: Sequence[str], content: Column) -> DataFrame:
-    return df.select(*keep, *carry, *[c.cast("bigint").alias(n) for n, c in totals.items()]).select(
-        *keep, content.cast("bigint").alias("content"))
+def _staged(df: DataFrame, keep: Sequence[str], totals: dict[str, str], carry: Sequence[str], content: Sequence[str]) -> DataFrame:
+    first = df.selectExpr(*keep, *carry, *[f"CAST({sql} AS BIGINT) AS {name}" for name, sql in totals.items()])
+    return first.selectExpr(*keep, f"CAST({' + '.join(content)} AS BIGINT) AS content")
 
 
 def sample_content(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     return _staged(
         df, keep,
-        {"_v": array_total("values", varint_size), "_a": array_total("attribute_indices", varint_size),
-         "_t": length_of("timestamps") * 8},
+        {"_v": total("values", varint), "_a": total("attribute_indices", varint), "_t": f"8 * {length_of('timestamps')}"},
         ["stack_index", "link_index"],
-        scalar("stack_index") + packed("_v") + packed("_a") + scalar("link_index") + packed("_t"),
+        [scalar("stack_index"), packed("_v"), packed("_a"), scalar("link_index"), packed("_t")],
     )
 
 
 def profile_content(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Profiles without their samples."""
-    vt = lambda c: scalar(F.col(c)["type_strindex"]) + scalar(F.col(c)["unit_strindex"])
+    kind = lambda c: f"{scalar(f'{c}.type_strindex')} + {scalar(f'{c}.unit_strindex')}"
+    carry = ["time_unix_nano", "duration_nano", "period", "profile_id", "dropped_attributes_count",
+             "original_payload_format", "original_payload"]
     return _staged(
         df, keep,
-        {"_st": vt("sample_type"), "_pt": vt("period_type"), "_a": array_total("attribute_indices", varint_size)},
-        ["time_unix_nano", "duration_nano", "period", "profile_id", "dropped_attributes_count",
-         "original_payload_format", "original_payload"],
-        optional_message(F.col("_st").isNotNull(), F.col("_st")) + fixed64("time_unix_nano")
-        + scalar("duration_nano") + optional_message(F.col("_pt").isNotNull(), F.col("_pt"))
-        + scalar("period") + text("profile_id") + scalar("dropped_attributes_count")
-        + text("original_payload_format") + text("original_payload") + packed("_a"),
+        {"_st": kind("sample_type"), "_pt": kind("period_type"), "_a": total("attribute_indices", varint)}, carry,
+        [optional("_st IS NOT NULL", "_st"), fixed64("time_unix_nano"), scalar("duration_nano"),
+         optional("_pt IS NOT NULL", "_pt"), scalar("period"), text("profile_id"), scalar("dropped_attributes_count"),
+         text("original_payload_format"), text("original_payload"), packed("_a")],
     )
 
 
 def key_value_content(df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    return df.select(*keep, key_value(F.col("key"), F.col("key_ref"), F.col("value")).alias("content"))
+    return _staged(df, keep, {}, ["key", "key_ref", "value"], [text("key"), value_field("value"), scalar("key_ref")])
 
 
 def mapping_content(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    numbers = ["memory_start", "memory_limit", "file_offset"]
     return _staged(
-        df, keep, {"_a": array_total("attribute_indices", varint_size)},
-        ["memory_start", "memory_limit", "file_offset", "filename_strindex"],
-        scalar_u64("memory_start") + scalar_u64("memory_limit") + scalar_u64("file_offset")
-        + scalar("filename_strindex") + packed("_a"),
+        df, keep, {"_a": total("attribute_indices", varint)}, [*numbers, "filename_strindex"],
+        [*[scalar(c, unsigned=True) for c in numbers], scalar("filename_strindex"), packed("_a")],
     )
 
 
 def location_content(df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    line = lambda x: scalar(x["function_index"]) + scalar(x["line"]) + scalar(x["column"])
-    lines = F.transform("lines", line)
+    line = "transform(lines, y -> " + " + ".join(scalar(f"y.{c}") for c in ("function_index", "line", "column")) + ")"
     return _staged(
-        df, keep, {"_l": array_total(lines, framed), "_a": array_total("attribute_indices", varint_size)},
-        ["mapping_index", "address"],
-        scalar("mapping_index") + scalar_u64("address") + F.col("_l") + packed("_a"),
+        df, keep, {"_l": total(line, framed), "_a": total("attribute_indices", varint)}, ["mapping_index", "address"],
+        [scalar("mapping_index"), scalar("address", unsigned=True), "_l", packed("_a")],
     )
 
 
 def function_content(df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    fields = ("name_strindex", "system_name_strindex", "filename_strindex", "start_line")
-    return df.select(*keep, sum((scalar(c) for c in fields[1:]), scalar(fields[0])).alias("content"))
+    fields = ["name_strindex", "system_name_strindex", "filename_strindex", "start_line"]
+    return _staged(df, keep, {}, fields, [scalar(c) for c in fields])
 
 
 def link_content(df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    return df.select(*keep, (text("trace_id") + text("span_id")).alias("content"))
+    return _staged(df, keep, {}, ["trace_id", "span_id"], [text("trace_id"), text("span_id")])
 
 
 def stack_content(df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    return _staged(df, keep, {"_l": array_total("location_indices", varint_size)}, [], packed("_l"))
+    return _staged(df, keep, {"_l": total("location_indices", varint)}, [], [packed("_l")])
 
 
 def string_content(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     """String-table entries, written even when empty."""
-    return df.select(*keep, F.octet_length("value").cast("bigint").alias("content"))
+    return _staged(df, keep, {}, ["value"], ["octet_length(value)"])
 
 
 def attribute_content(df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    return df.select(
-        *keep, (scalar("key_strindex") + value_field(F.col("value")) + scalar("unit_strindex")).alias("content"))
+    fields = ["key_strindex", "value", "unit_strindex"]
+    return _staged(df, keep, {}, fields, [scalar("key_strindex"), value_field("value"), scalar("unit_strindex")])

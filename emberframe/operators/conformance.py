@@ -148,7 +148,7 @@ def bad_attribute_lists(t: ProfileTables, owner: DataFrame) -> DataFrame:
     repeated = usable.join(firsts, owner_key).where("pos > first").select(
         "payload_id", "attribute_indices", "pos",
         F.concat(F.lit("["), _s("pos"), F.lit("].key_strindex")).alias("sub"),
-        F.concat(F.lit("duplicate key "), quoted(F.col("key")), F.lit(", previously seen at ["), _s("first"),
+        F.concat(F.lit("duplicate key "), F.expr(quoted("key")), F.lit(", previously seen at ["), _s("first"),
                  F.lit("].key_strindex")).alias("message"),
     )
     return broken.unionByName(repeated)
@@ -300,7 +300,7 @@ def check_zero_entries(t: ProfileTables) -> DataFrame:
         _finding("R21", F.lit("empty string table, must have at least empty string"), "dictionary: string_table"))))
     first = _with_counts(t.dict_strings.where("idx = 0"), t).withColumn("entry_idx", F.col("idx"))
     parts.append(_emit(first, "string_table", (F.col("value") != "", _finding(
-        "R21", F.concat(F.lit("must have empty string at index 0, got "), quoted(F.col("value"))),
+        "R21", F.concat(F.lit("must have empty string at index 0, got "), F.expr(quoted("value"))),
         "dictionary: string_table"))))
     return reduce(DataFrame.unionByName, parts)
 

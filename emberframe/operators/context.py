@@ -35,10 +35,11 @@ def _keys(c: str) -> Column:
 
 def encoded_pairs_bytes(c: str) -> Column:
     """Encoded size of string pairs as repeated key-value messages."""
-    size = lambda s: wire.framed(F.octet_length(s).cast("bigint"))
-    value = lambda x: wire.framed(size(x["value"]))
-    pairs = F.transform(F.col(c), lambda x: size(x["key"]) + value(x))
-    return wire.array_total(pairs, wire.framed)
+    size = lambda s: wire.framed(f"octet_length({s})")
+    # Each stage binds a length to a variable that the next size expression repeats.
+    pairs = f"transform({c}, p -> struct({size('p.key')} AS k, {size('p.value')} AS v))"
+    entries = f"transform({pairs}, q -> q.k + {wire.framed('q.v')})"
+    return F.expr(wire.total(entries, wire.framed))
 
 
 def context_findings(snapshots: DataFrame) -> DataFrame:

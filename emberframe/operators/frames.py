@@ -34,7 +34,7 @@ def location_frame_types(t: ProfileTables) -> DataFrame:
     typed = deref(_attributes_with_key(t, FRAME_TYPE_KEY), t.dict_strings, F.col("value")["s_ref"], "ref_text")
     typed = typed.select(
         "payload_id", F.col("idx").alias("attr"),
-        values.value_text(F.col("value"), F.col("ref_text")).alias("frame_type"),
+        F.expr(values.value_text("value", "ref_text")).alias("frame_type"),
     )
     return (
         t.dict_locations.select("payload_id", "idx", F.posexplode("attribute_indices").alias("pos", "attr"))

@@ -33,18 +33,20 @@ def deref_function_names(t: ProfileTables) -> DataFrame:
     )
 
 
+def _value_forms() -> list[str]:
+    return [
+        f"{values.value_text('value', 'ref_text')} AS text", f"{values.listing_text('value', 'ref_text')} AS listing",
+        f"{values.payload_bytes('value', 'ref_text')} AS value_bytes",
+    ]
+
+
 def resolved_attributes(t: ProfileTables) -> DataFrame:
     """dict_attributes with key, unit, text forms and payload bytes of the value."""
     df = deref(t.dict_attributes, t.dict_strings, "key_strindex", "key")
     df = deref(df, t.dict_strings, "unit_strindex", "unit")
     df = deref(df, t.dict_strings, F.col("value")["s_ref"], "ref_text")
-    value, ref = F.col("value"), F.col("ref_text")
-    return df.select(
-        "payload_id", "idx", "key_strindex", "unit_strindex", "key", "unit", "value",
-        values.value_text(value, ref).alias("text"),
-        values.listing_text(value, ref).alias("listing"),
-        values.payload_bytes(value, F.octet_length(ref)).alias("value_bytes"),
-    )
+    return df.selectExpr(
+        "payload_id", "idx", "key_strindex", "unit_strindex", "key", "unit", "value", *_value_forms())
 
 
 def anyvalue_text(t: ProfileTables) -> DataFrame:
@@ -57,13 +59,7 @@ def anyvalue_text(t: ProfileTables) -> DataFrame:
 def resolved_resource_attributes(t: ProfileTables) -> DataFrame:
     df = deref(t.resource_attributes, t.dict_strings, F.col("value")["s_ref"], "ref_text")
     df = deref(df, t.dict_strings, F.when(F.col("key_ref") != 0, F.col("key_ref")), "ref_key")
-    value, ref = F.col("value"), F.col("ref_text")
-    return df.select(
-        "payload_id", "rp_idx", "pos", "key", "key_ref", "value", "ref_key",
-        values.value_text(value, ref).alias("text"),
-        values.listing_text(value, ref).alias("listing"),
-        values.payload_bytes(value, F.octet_length(ref)).alias("value_bytes"),
-    )
+    return df.selectExpr("payload_id", "rp_idx", "pos", "key", "key_ref", "value", "ref_key", *_value_forms())
 
 
 def anyvalue_bytes(t: ProfileTables) -> DataFrame:
@@ -127,7 +123,7 @@ def _canonical_key_values(df: DataFrame, owner: list[str]) -> DataFrame:
 def canonical_scopes(t: ProfileTables) -> DataFrame:
     df = deref(t.scope_attributes, t.dict_strings, F.col("value")["s_ref"], "ref_text")
     df = deref(df, t.dict_strings, F.when(F.col("key_ref") != 0, F.col("key_ref")), "ref_key")
-    df = df.withColumn("listing", values.listing_text(F.col("value"), F.col("ref_text")))
+    df = df.withColumn("listing", F.expr(values.listing_text("value", "ref_text")))
     return _canonical_key_values(df, ["payload_id", "rp_idx", "sp_idx"]).withColumnRenamed(
         "resource_text", "scope_text")
 

@@ -14,86 +14,73 @@ from emberframe.tables import ProfileTables
 _EMPTY_SLOT = 2  # tag + zero length of a message without content
 
 
-def _sum(c: Column) -> Column:
-    return F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+def _sum(sql: str, name: str) -> Column:
+    return F.expr(f"CAST(coalesce(sum({sql}), 0) AS BIGINT) AS {name}")
 
 
-def _zero(name: str) -> Column:
-    return F.coalesce(name, F.lit(0)).cast("bigint")
+def _or_zero(name: str) -> str:
+    return f"coalesce({name}, 0L) AS {name}"
 
 
 def _key_values(df: DataFrame, owner: list[str]) -> DataFrame:
-    return wire.key_value_content(df, owner).groupBy(*owner).agg(
-        _sum(wire.framed("content")).alias("attribute_bytes"))
+    return wire.key_value_content(df, owner).groupBy(*owner).agg(_sum(wire.framed("content"), "attribute_bytes"))
 
 
 def profile_bytes(t: ProfileTables) -> DataFrame:
     """Content bytes of each profile; samples are reduced per profile before the join."""
     samples = wire.sample_content(t.samples, PROFILE_ID).groupBy(*PROFILE_ID).agg(
-        _sum(wire.framed("content")).alias("framed_samples"), _sum(F.col("content")).alias("sample_bytes"))
-    return wire.profile_content(t.profiles, PROFILE_ID).join(samples, PROFILE_ID, "left").select(
-        *PROFILE_ID, _zero("sample_bytes").alias("sample_bytes"),
-        (F.col("content") + _zero("framed_samples")).alias("profile_bytes"),
-    )
+        _sum(wire.framed("content"), "framed_samples"), _sum("content", "sample_bytes"))
+    return wire.profile_content(t.profiles, PROFILE_ID).join(samples, PROFILE_ID, "left").selectExpr(
+        *PROFILE_ID, _or_zero("sample_bytes"), "content + coalesce(framed_samples, 0L) AS profile_bytes")
 
 
 def scope_bytes(t: ProfileTables) -> DataFrame:
     profiles = profile_bytes(t).groupBy(*SCOPE_ID).agg(
-        _sum(wire.framed("profile_bytes")).alias("framed_profiles"),
-        _sum(F.col("profile_bytes")).alias("profile_bytes"), _sum(F.col("sample_bytes")).alias("sample_bytes"),
-        F.count("*").alias("filled"),
-    )
+        _sum(wire.framed("profile_bytes"), "framed_profiles"), _sum("profile_bytes", "profile_bytes"),
+        _sum("sample_bytes", "sample_bytes"), F.count("*").alias("filled"))
     message = (
-        wire.text("scope_name") + wire.text("scope_version") + _zero("attribute_bytes")
-        + wire.scalar("dropped_attributes_count")
+        f"{wire.text('scope_name')} + {wire.text('scope_version')} + coalesce(attribute_bytes, 0L)"
+        f" + {wire.scalar('dropped_attributes_count')}"
     )
     # Profiles declared but not filled are encoded as empty messages.
-    empty = (F.col("n_profiles") - _zero("filled")) * _EMPTY_SLOT
+    rest = (
+        f"coalesce(framed_profiles, 0L) + (n_profiles - coalesce(filled, 0L)) * {_EMPTY_SLOT} + {wire.text('schema_url')}")
     joined = (
         t.scope_profiles.join(profiles, SCOPE_ID, "left")
         .join(_key_values(t.scope_attributes, SCOPE_ID), SCOPE_ID, "left")
-        .select(
-            *SCOPE_ID, "has_scope", F.when(F.col("has_scope"), message).otherwise(0).cast("bigint").alias("scope_message"),
-            _zero("sample_bytes").alias("sample_bytes"), _zero("profile_bytes").alias("profile_bytes"),
-            (_zero("framed_profiles") + empty + wire.text("schema_url")).alias("_rest"),
-        )
+        .selectExpr(
+            *SCOPE_ID, "has_scope", f"CASE WHEN has_scope THEN {message} ELSE 0L END AS scope_message",
+            _or_zero("sample_bytes"), _or_zero("profile_bytes"), f"{rest} AS _rest")
     )
-    return joined.select(
+    return joined.selectExpr(
         *SCOPE_ID, "sample_bytes", "profile_bytes", "scope_message",
-        (wire.optional_message(F.col("has_scope"), F.col("scope_message")) + F.col("_rest")).alias("scope_bytes"),
-    )
+        f"{wire.optional('has_scope', 'scope_message')} + _rest AS scope_bytes")
 
 
-def _entity_refs(c: Column) -> Column:
-    names = lambda a: wire.array_total(F.transform(a, lambda s: F.octet_length(s).cast("bigint")), wire.framed)
-    content = lambda e: wire.text(e["schema_url"]) + wire.text(e["type"]) + names(e["id_keys"]) + names(e["description_keys"])
-    return wire.array_total(F.transform(c, content), wire.framed)
+def _entity_refs(array: str) -> str:
+    names = lambda a: wire.total(f"transform({a}, s -> CAST(octet_length(s) AS BIGINT))", wire.framed)
+    content = f"{wire.text('e.schema_url')} + {wire.text('e.type')} + {names('e.id_keys')} + {names('e.description_keys')}"
+    return wire.total(f"transform({array}, e -> {content})", wire.framed)
 
 
 def resource_bytes(t: ProfileTables) -> DataFrame:
     scopes = scope_bytes(t).groupBy(*RESOURCE_ID).agg(
-        _sum(wire.framed("scope_bytes")).alias("framed_scopes"), _sum(F.col("scope_message")).alias("scope_message"),
-        _sum(F.col("profile_bytes")).alias("profile_bytes"), _sum(F.col("sample_bytes")).alias("sample_bytes"),
-        F.count("*").alias("filled"),
-    )
+        _sum(wire.framed("scope_bytes"), "framed_scopes"),
+        *[_sum(c, c) for c in ("scope_message", "profile_bytes", "sample_bytes")], F.count("*").alias("filled"))
     message = (
-        _zero("attribute_bytes") + wire.scalar("dropped_attributes_count") + _entity_refs(F.col("entity_refs"))
-    )
-    empty = (F.col("n_scopes") - _zero("filled")) * _EMPTY_SLOT
+        f"coalesce(attribute_bytes, 0L) + {wire.scalar('dropped_attributes_count')} + {_entity_refs('entity_refs')}")
+    rest = f"coalesce(framed_scopes, 0L) + (n_scopes - coalesce(filled, 0L)) * {_EMPTY_SLOT} + {wire.text('schema_url')}"
     passed = ("scope_message", "profile_bytes", "sample_bytes")
     joined = (
         t.resource_profiles.join(scopes, RESOURCE_ID, "left")
         .join(_key_values(t.resource_attributes, RESOURCE_ID), RESOURCE_ID, "left")
-        .select(
-            *RESOURCE_ID, "has_resource", *[_zero(c).alias(c) for c in passed],
-            F.when(F.col("has_resource"), message).otherwise(0).cast("bigint").alias("resource_message"),
-            (_zero("framed_scopes") + empty + wire.text("schema_url")).alias("_rest"),
-        )
+        .selectExpr(
+            *RESOURCE_ID, "has_resource", *[_or_zero(c) for c in passed],
+            f"CASE WHEN has_resource THEN {message} ELSE 0L END AS resource_message", f"{rest} AS _rest")
     )
-    return joined.select(
+    return joined.selectExpr(
         *RESOURCE_ID, *passed, "resource_message",
-        (wire.optional_message(F.col("has_resource"), F.col("resource_message")) + F.col("_rest")).alias("resource_bytes"),
-    )
+        f"{wire.optional('has_resource', 'resource_message')} + _rest AS resource_bytes")
 
 
 def dictionary_entries(t: ProfileTables) -> DataFrame:
@@ -112,40 +99,32 @@ def dictionary_entries(t: ProfileTables) -> DataFrame:
 
 
 def dictionary_table_bytes(t: ProfileTables) -> DataFrame:
-    per_table = dictionary_entries(t).groupBy("payload_id", "table_name").agg(_sum(wire.framed("content")).alias("n"))
+    per_table = dictionary_entries(t).groupBy("payload_id", "table_name").agg(_sum(wire.framed("content"), "n"))
     columns = [
-        _sum(F.when(F.col("table_name") == name, F.col("n"))).alias(f"dict_{name}_table_proto_bytes")
-        for name in DICTIONARY_TABLES
+        _sum(f"CASE WHEN table_name = '{name}' THEN n END", f"dict_{name}_table_proto_bytes") for name in DICTIONARY_TABLES
     ]
-    return per_table.groupBy("payload_id").agg(*columns, _sum(F.col("n")).alias("dictionary_bytes"))
+    return per_table.groupBy("payload_id").agg(*columns, _sum("n", "dictionary_bytes"))
 
 
 def message_bytes(t: ProfileTables) -> DataFrame:
     """The 13 message-size columns per payload."""
     tree = resource_bytes(t).groupBy("payload_id").agg(
-        _sum(wire.framed("resource_bytes")).alias("resource_profiles_proto_bytes"),
-        _sum(F.col("resource_message")).alias("resource_messages_proto_bytes"),
-        _sum(F.col("scope_message")).alias("scope_messages_proto_bytes"),
-        _sum(F.col("profile_bytes")).alias("profile_messages_proto_bytes"),
-        _sum(F.col("sample_bytes")).alias("sample_messages_proto_bytes"),
+        _sum(wire.framed("resource_bytes"), "resource_profiles_proto_bytes"),
+        _sum("resource_message", "resource_messages_proto_bytes"),
+        _sum("scope_message", "scope_messages_proto_bytes"),
+        _sum("profile_bytes", "profile_messages_proto_bytes"),
+        _sum("sample_bytes", "sample_messages_proto_bytes"),
     )
     tables = dictionary_table_bytes(t)
-    names = [c for c in tables.columns if c.endswith("_table_proto_bytes")]
-    return (
-        t.payloads.select("payload_id", "has_dictionary").join(tree, "payload_id", "left")
-        .join(tables, "payload_id", "left").withColumn("dictionary_bytes", _zero("dictionary_bytes"))
-        .select(
-            "payload_id", _zero("resource_profiles_proto_bytes").alias("resource_profiles_proto_bytes"),
-            wire.optional_message(F.col("has_dictionary"), F.col("dictionary_bytes")).alias("dictionary_proto_bytes"),
-            *[_zero(c).alias(c) for c in tree.columns if c not in ("payload_id", "resource_profiles_proto_bytes")],
-            *[_zero(c).alias(c) for c in names],
-        )
-    )
+    names = [c for c in [*tree.columns, *tables.columns] if c.endswith("_proto_bytes")]
+    joined = t.payloads.select("payload_id", "has_dictionary").join(tree, "payload_id", "left").join(
+        tables, "payload_id", "left").withColumn("dictionary_bytes", F.expr("coalesce(dictionary_bytes, 0L)"))
+    return joined.selectExpr(
+        "payload_id", *[_or_zero(c) for c in names],
+        f"{wire.optional('has_dictionary', 'dictionary_bytes')} AS dictionary_proto_bytes")
 
 
 def payload_bytes(t: ProfileTables) -> DataFrame:
     """Encoded size of each payload: (payload_id, uncompressed_bytes)."""
-    return message_bytes(t).select(
-        "payload_id",
-        (F.col("resource_profiles_proto_bytes") + F.col("dictionary_proto_bytes")).alias("uncompressed_bytes"),
-    )
+    return message_bytes(t).selectExpr(
+        "payload_id", "resource_profiles_proto_bytes + dictionary_proto_bytes AS uncompressed_bytes")

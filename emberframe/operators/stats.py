@@ -32,7 +32,7 @@ def _merge(t: ProfileTables, parts: list[DataFrame]) -> DataFrame:
 
 def payload_tree_counts(t: ProfileTables) -> DataFrame:
     n = F.count("*")
-    size = lambda c: F.sum(length_of(c))
+    size = lambda c: F.expr(f"sum({length_of(c)})")
     return _merge(t, [
         _per_payload(t.resource_profiles, resource_profiles_count=n),
         _per_payload(t.resource_attributes, resource_profiles_attrs_count=n),
@@ -51,7 +51,7 @@ def payload_tree_counts(t: ProfileTables) -> DataFrame:
 
 def payload_dict_counts(t: ProfileTables) -> DataFrame:
     n = F.count("*")
-    size = lambda c: F.sum(length_of(c))
+    size = lambda c: F.expr(f"sum({length_of(c)})")
     return _merge(t, [
         _per_payload(t.dict_strings, dict_strings_count=n),
         _per_payload(t.dict_mappings, dict_mappings_count=n, mapping_attribute_indices_count=size("attribute_indices")),
@@ -64,7 +64,7 @@ def payload_dict_counts(t: ProfileTables) -> DataFrame:
         _per_payload(t.dict_attributes, dict_attributes_count=n),
         _per_payload(
             t.dict_stacks, dict_stacks_count=n, stack_locations_count=size("location_indices"),
-            max_stack_depth=F.max(length_of("location_indices")),
+            max_stack_depth=F.expr(f"max({length_of('location_indices')})"),
         ),
     ])
 

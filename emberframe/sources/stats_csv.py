@@ -31,7 +31,7 @@ def formatted(stats: DataFrame) -> DataFrame:
         if name in ("start_ts", "end_ts"):
             text = rfc3339_nanos(c)
         elif kind == "double":
-            text = F.when(~F.isnan(c), shortest_decimal(c))
+            text = F.expr(f"CASE WHEN NOT isnan({name}) THEN {shortest_decimal(name)} END")
         else:
             text = c.cast("string")
         return F.coalesce(text, F.lit("")).alias(name)

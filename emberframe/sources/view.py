@@ -41,7 +41,7 @@ def profile_view(spark: SparkSession, sf_dir: str) -> ProfileTables:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _views:
         configure(spark)
-        _views[key] = build_profile_view(spark, sf_dir).stored("view")
+        _views[key] = build_profile_view(spark, sf_dir).stored("view", keep=["samples"])
     return _views[key]
 
 
@@ -161,7 +161,7 @@ def build_profile_view(spark: SparkSession, sf_dir: str) -> ProfileTables:
         "n_resource_profiles",
         F.lit(True).alias("has_dictionary"),
     )
-    return ProfileTables(payloads=payloads, samples=samples.drop("v0"), **tree, **dictionary)
+    return ProfileTables(payloads=payloads, samples=samples, **tree, **dictionary)
 
 
 def _samples(items: DataFrame, stacks: DataFrame, brands: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,18 +37,24 @@ class ProfileTables:
     def with_tables(self, **frames: DataFrame) -> "ProfileTables":
         return replace(self, **frames)
 
-    def save(self, path: str) -> None:
-        """Write all tables as Parquet below ``path``."""
-        for field in fields(self):
-            getattr(self, field.name).write.parquet(f"{path}/{field.name}")
+    def save(self, path: str, skip: Sequence[str] = ()) -> None:
+        """Write the tables as Parquet below ``path``, a few small jobs at a time."""
+        names = [f.name for f in fields(self) if f.name not in skip]
+        with ThreadPoolExecutor(max_workers=4) as pool:
+            list(pool.map(lambda name: getattr(self, name).write.parquet(f"{path}/{name}"), names))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "ProfileTables":
         return cls(**{f.name: spark.read.parquet(f"{path}/{f.name}") for f in fields(cls)})
 
-    def stored(self, label: str) -> "ProfileTables":
-        """Write the tables to the shared scratch folder once and read them back."""
+    def stored(self, label: str, keep: Sequence[str] = ()) -> "ProfileTables":
+        """Write the tables to the shared scratch folder once and read them back.
+
+        Tables named in ``keep`` are stored already and stay as they are.
+        """
         spark = self.payloads.sparkSession
         path = new_path(spark, label)
-        self.save(path)
-        return ProfileTables.load(spark, path)
+        self.save(path, keep)
+        names = [f.name for f in fields(self) if f.name not in keep]
+        return replace(self, **{
+            n: spark.read.schema(getattr(self, n).schema).parquet(f"{path}/{n}") for n in names})
