@@ -12,7 +12,8 @@ from emberframe.operators import conformance, context, encodings, frames, lookup
 from emberframe.schema import FRACTION_COLUMNS, SAMPLE_ID, STATS_COLUMNS, SYMBOL_FRACTION_COLUMNS
 from emberframe.session import configure, new_path, stash
 from emberframe.sources import listing as listings
-from emberframe.sources import nested, payloads, stats_csv
+from emberframe.sources import payloads, stats_csv
+from emberframe.sources.encoder import encode
 from emberframe.sources.snapshots import event_snapshots
 from emberframe.sources.view import profile_view
 from emberframe.streaming import windows
@@ -157,10 +158,7 @@ def _encoding_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("encoding_gzip")
 def _encoding_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    all_variants = variants(spark, sf_dir)
-    compressed = reduce(DataFrame.unionByName, [
-        payloads.gzip_sizes(t).withColumn("encoding", F.lit(name)) for name, t in all_variants.items()])
-    return encodings.encoding_summary(encodings.encoding_sizes(all_variants), compressed)
+    return encodings.encoding_summary(encodings.encoding_sizes(variants(spark, sf_dir), payloads.measured_sizes))
 
 
 # --- size study ----------------------------------------------------------------------
@@ -291,7 +289,7 @@ def _amortization_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _view_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, sf_dir, "messages", lambda: stash(payloads.encode(nested.nest(profile_view(spark, sf_dir))), "messages"))
+    return once(spark, sf_dir, "messages", lambda: stash(encode(profile_view(spark, sf_dir)), "messages"))
 
 
 def payload_folder(spark: SparkSession, sf_dir: str) -> str:

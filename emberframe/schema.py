@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 # One attribute value.  ``kind`` is one of VALUE_KINDS or NULL (no value set).
-# Arrays and key-value lists are kept as canonical JSON; the byte counts of
-# those recursive kinds are taken while decoding.
+# Arrays and key-value lists are kept as canonical JSON in ``nested_json`` and
+# encoded in ``bytes``; their byte counts are taken while decoding.
 VALUE_KINDS = ("string", "string_ref", "bool", "int", "double", "bytes", "array", "kvlist")
 VALUE = (
     "struct<kind:string,s:string,s_ref:int,b:boolean,i:bigint,d:double,bytes:binary,"

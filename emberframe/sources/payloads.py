@@ -1,4 +1,4 @@
-"""Payload files: listing, decoding, encoding, writing."""
+"""Payload files: listing, decoding, compressing, writing."""
 
 from __future__ import annotations
 
@@ -14,7 +14,8 @@ from emberframe.operators.ordinals import grouped_ordinal
 from emberframe.schema import NESTED
 from emberframe.session import configure, ship_package, stash
 from emberframe.sources import codec
-from emberframe.sources.nested import flatten, nest
+from emberframe.sources.encoder import encode
+from emberframe.sources.nested import flatten
 from emberframe.tables import ProfileTables
 
 _DECODED = [f.strip() for f in NESTED.split("payload_id bigint,")][1]
@@ -84,39 +85,21 @@ def decode_errors(nested: DataFrame) -> DataFrame:
     return nested.where("error IS NOT NULL").select("path", "error")
 
 
-def _encode_rows(batches: Iterator[pa.RecordBatch], column: str, fields: pa.Schema, finish) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = batch.select([n for n in batch.schema.names if n not in ("resource_profiles", "dictionary")]).to_pylist()
-        for i, key in enumerate(keys):
-            row = batch.slice(i, 1).select(["resource_profiles", "dictionary"]).to_pylist()[0]
-            yield pa.RecordBatch.from_pylist([{**key, column: finish(codec.to_bytes(row))}], schema=fields)
-
-
-def encode(nested: DataFrame) -> DataFrame:
-    """(payload_id, message_no, path, message) of nested rows."""
-    ddl = "payload_id bigint,message_no int,path string,message binary"
-    arrow = _arrow_schema(ddl)
+def measured_sizes(t: ProfileTables) -> DataFrame:
+    """(payload_id, uncompressed_bytes, gzip_6_bytes) of the encoded messages of every payload."""
+    schema = "payload_id bigint,n bigint,z bigint"
+    arrow = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _encode_rows(batches, "message", arrow, lambda b: b)
-
-    ship_package(nested.sparkSession)
-    return nested.select("payload_id", "message_no", "path", "resource_profiles", "dictionary").mapInArrow(
-        run, T.StructType.fromDDL(ddl))
-
-
-def gzip_sizes(t: ProfileTables) -> DataFrame:
-    """(payload_id, gzip_6_bytes): compressed size of every payload's messages."""
-    ddl = "payload_id bigint,message_no int,n bigint"
-    arrow = _arrow_schema(ddl)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _encode_rows(batches, "n", arrow, lambda b: len(gzip.compress(b, 6, mtime=0)))
-
-    ship_package(t.payloads.sparkSession)
-    sizes = nest(t).select("payload_id", "message_no", "resource_profiles", "dictionary").mapInArrow(
-        run, T.StructType.fromDDL(ddl))
-    return sizes.groupBy("payload_id").agg(F.sum("n").cast("bigint").alias("gzip_6_bytes"))
+        for batch in batches:
+            messages = [m.as_buffer() for m in batch.column("message")]
+            sizes = [pa.array([m.size for m in messages], pa.int64()),
+                     pa.array([len(gzip.compress(m, 6, mtime=0)) for m in messages], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("payload_id"), *sizes], schema=arrow)
+
+    sizes = encode(t).select("payload_id", "message").mapInArrow(run, T.StructType.fromDDL(schema))
+    return sizes.groupBy("payload_id").agg(
+        F.sum("n").cast("bigint").alias("uncompressed_bytes"), F.sum("z").cast("bigint").alias("gzip_6_bytes"))
 
 
 def write_payload_files(messages: DataFrame, uri: str, framed: bool = False) -> DataFrame:
