@@ -39,6 +39,10 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
     result = duck.execute(entry.oracle_sql()[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
+    sql_types = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
+    assert {c: sql_types[k] for c, k in df.dtypes} == {
+        r[0]: r[1] for r in duck.execute("DESCRIBE " + entry.oracle_sql()[name]).fetchall()}
+    result = duck.execute(entry.oracle_sql()[name])
     expected = sorted(_key([r[names.index(c)] for c in columns]) for r in result.fetchall())
     assert sorted(_key([r[c] for c in columns]) for r in df.collect()) == expected
 
