@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from emberframe.functions.values import quoted
 from emberframe.operators.lookups import (
-    SHAPE_BOTH, SHAPE_INVALID, SHAPE_VALUES, attribute_lists, sample_shape,
+    SHAPE_BOTH, SHAPE_INVALID, SHAPE_VALUES, deref, sample_shape,
 )
 from emberframe.schema import DICTIONARY_TABLES, PROFILE_ID, RESOURCE_ID, SAMPLE_ID, SCOPE_ID
+from emberframe.session import stash
 from emberframe.tables import ProfileTables
 
 FINDING_COLUMNS = (
@@ -127,12 +128,18 @@ def check_profiles(t: ProfileTables) -> DataFrame:
 # --- attribute lists ----------------------------------------------------------
 
 
-def bad_attribute_lists(t: ProfileTables, owner: DataFrame) -> DataFrame:
-    """Findings per distinct attribute list: bad index, bad key index, repeated key.
+def bad_attribute_lists(t: ProfileTables) -> DataFrame:
+    """Findings per distinct attribute list of any owner: bad index, bad key index, repeated key.
 
     A bad element takes no part in the search for repeated keys.
     """
-    items = _with_counts(attribute_lists(t, owner), t, "n_attributes", "n_strings")
+    lists = reduce(DataFrame.unionByName, [
+        df.select("payload_id", "attribute_indices").where(F.size("attribute_indices") > 0)
+        for df in (t.profiles, t.samples, t.dict_mappings, t.dict_locations)
+    ]).distinct()
+    elements = lists.select("payload_id", "attribute_indices", F.posexplode("attribute_indices").alias("pos", "idx"))
+    keyed = deref(t.dict_attributes.select("payload_id", "idx", "key_strindex"), t.dict_strings, "key_strindex", "key")
+    items = _with_counts(elements.join(keyed, ["payload_id", "idx"], "left"), t, "n_attributes", "n_strings")
     bad_index = _outside("idx", "n_attributes")
     bad_key = ~bad_index & _outside("key_strindex", "n_strings")
     element = F.concat(F.lit("["), _s("pos"), F.lit("]"))
@@ -143,9 +150,9 @@ def bad_attribute_lists(t: ProfileTables, owner: DataFrame) -> DataFrame:
         .otherwise(_range_message("key_strindex", "n_strings")).alias("message"),
     )
     usable = items.where(~bad_index & ~bad_key)
-    owner_key = ["payload_id", "attribute_indices", "key"]
-    firsts = usable.groupBy(*owner_key).agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1")
-    repeated = usable.join(firsts, owner_key).where("pos > first").select(
+    list_key = ["payload_id", "attribute_indices", "key"]
+    firsts = usable.groupBy(*list_key).agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1")
+    repeated = usable.join(firsts, list_key).where("pos > first").select(
         "payload_id", "attribute_indices", "pos",
         F.concat(F.lit("["), _s("pos"), F.lit("].key_strindex")).alias("sub"),
         F.concat(F.lit("duplicate key "), F.expr(quoted("key")), F.lit(", previously seen at ["), _s("first"),
@@ -154,27 +161,29 @@ def bad_attribute_lists(t: ProfileTables, owner: DataFrame) -> DataFrame:
     return broken.unionByName(repeated)
 
 
-def _attribute_findings(t: ProfileTables, owner: DataFrame, rule: str, table: str, prefix: Column) -> DataFrame:
-    bad = bad_attribute_lists(t, owner)
-    hit = owner.join(bad, ["payload_id", "attribute_indices"])
-    return _shape(
-        hit.withColumn("_f", _finding(rule, F.col("message"), prefix, F.col("sub"), pos=F.col("pos"))).drop("pos"),
-        table,
-    )
+def check_duplicate_keys(t: ProfileTables) -> DataFrame:
+    """Attribute-list findings of profiles, samples, mappings and locations.
 
+    The findings per distinct list are stored once; each owner is then joined
+    with its own bad lists only.
+    """
+    bad = stash(bad_attribute_lists(t), "bad-attribute-lists")
+
+    def owners(df: DataFrame, rule: str, table: str, prefix: Column) -> DataFrame:
+        hit = df.join(bad, ["payload_id", "attribute_indices"])
+        finding = _finding(rule, F.col("message"), prefix, F.col("sub"), pos=F.col("pos"))
+        return _shape(hit.withColumn("_f", finding).drop("pos"), table)
 
-def check_duplicate_keys(t: ProfileTables) -> DataFrame:
-    """Attribute-list findings of profiles, samples, mappings and locations."""
     dictionary = lambda name, idx: F.concat(F.lit(f"dictionary: {name}_table: "), _index(idx), F.lit(".attribute_indices: "))
-    entries = lambda df: df.withColumnRenamed("idx", "entry_idx").select("payload_id", "entry_idx", "attribute_indices")
+    entries = lambda df: df.selectExpr("payload_id", "idx AS entry_idx", "attribute_indices")
     parts = [
-        _attribute_findings(t, t.profiles.select(*PROFILE_ID, "attribute_indices"), "R4", "profile",
-                            F.concat(_profile_path(), F.lit(": attribute_indices: "))),
-        _attribute_findings(t, t.samples.select(*SAMPLE_ID, "attribute_indices"), "R8", "sample",
-                            F.concat(_sample_path(), F.lit(": attribute_indices: "))),
-        _attribute_findings(t, entries(t.dict_mappings.where("idx >= 1")), "R22", "mapping_table",
-                            dictionary("mapping", F.col("entry_idx") - 1)),
-        _attribute_findings(t, entries(t.dict_locations), "R25", "location_table", dictionary("location", "entry_idx")),
+        owners(t.profiles.select(*PROFILE_ID, "attribute_indices"), "R4", "profile",
+               F.concat(_profile_path(), F.lit(": attribute_indices: "))),
+        owners(t.samples.select(*SAMPLE_ID, "attribute_indices"), "R8", "sample",
+               F.concat(_sample_path(), F.lit(": attribute_indices: "))),
+        owners(entries(t.dict_mappings.where("idx >= 1")), "R22", "mapping_table",
+               dictionary("mapping", F.col("entry_idx") - 1)),
+        owners(entries(t.dict_locations), "R25", "location_table", dictionary("location", "entry_idx")),
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -29,10 +29,6 @@ SNAPSHOT = (
 )
 
 
-def _keys(c: str) -> Column:
-    return F.transform(F.col(c), lambda x: x["key"])
-
-
 def encoded_pairs_bytes(c: str) -> Column:
     """Encoded size of string pairs as repeated key-value messages."""
     size = lambda s: wire.framed(f"octet_length({s})")
@@ -44,31 +40,37 @@ def encoded_pairs_bytes(c: str) -> Column:
 
 def context_findings(snapshots: DataFrame) -> DataFrame:
     """(host, pid, published_at_ns, rule, message) for every broken rule of a snapshot."""
-    occurrences = lambda key: F.size(F.filter(_keys("attributes"), lambda k: k == F.lit(key)))
-    others = F.size(F.filter(_keys("attributes"), lambda k: ~k.isin(*REQUIRED_KEYS)))
-    reserved = (SCHEMA_VERSION_KEY, KEY_MAP_KEY)
-    extra_others = F.size(F.filter(_keys("extra"), lambda k: ~k.isin(*reserved)))
-    has = lambda key: F.array_contains(_keys("extra"), key)
-    too_long = lambda field: F.exists(
-        F.concat("attributes", "extra"), lambda x: F.octet_length(x[field]) > KEY_VALUE_LIMIT)
+    # Keys are extracted once; counting by removal needs no function per element.
+    times = lambda array, key: f"size({array}) - size(array_remove({array}, '{key}'))"
+    counts = {f"_n{i}": times("_keys", key) for i, key in enumerate(REQUIRED_KEYS)}
+    reserved = " - ".join(f"({times('_extra_keys', k)})" for k in (SCHEMA_VERSION_KEY, KEY_MAP_KEY))
+    staged = snapshots.selectExpr("*", "attributes.key AS _keys", "extra.key AS _extra_keys").selectExpr(
+        "*", *[f"{sql} AS {name}" for name, sql in counts.items()],
+        "greatest(array_max(transform(_keys, k -> octet_length(k))), array_max(transform(_extra_keys, k -> octet_length(k)))) AS _longest_key",
+        "greatest(array_max(transform(attributes, x -> octet_length(x.value))), array_max(transform(extra, x -> octet_length(x.value))))"
+        " AS _longest_value",
+    )
+    others = F.expr(f"size(_keys) - {' - '.join(counts)}")
+    extra_others = F.expr(f"size(_extra_keys) - {reserved}")
+    has = lambda key: F.array_contains("_extra_keys", key)
     rules = [
         (F.col("signature") != SIGNATURE, "signature", F.lit("invalid signature")),
         (F.col("version") != VERSION, "version", F.lit("invalid version")),
-        (too_long("key"), "key_length", F.lit("length of key exceeds 4096 limit")),
-        (too_long("value"), "value_length", F.lit("length of value exceeds 4096 limit")),
+        (F.col("_longest_key") > KEY_VALUE_LIMIT, "key_length", F.lit("length of key exceeds 4096 limit")),
+        (F.col("_longest_value") > KEY_VALUE_LIMIT, "value_length", F.lit("length of value exceeds 4096 limit")),
         (F.col("_resource_bytes") > RESOURCE_SIZE_LIMIT, "resource_size",
          F.concat(F.lit("encoded size of resource attributes is "), F.col("_resource_bytes").cast("string"))),
         (others > OTHER_PAIRS_LIMIT, "resource_pairs", F.lit("too many resource attributes")),
         (extra_others > OTHER_PAIRS_LIMIT, "extra_pairs", F.lit("too many extra attributes")),
         (has(KEY_MAP_KEY) & ~has(SCHEMA_VERSION_KEY), "key_map", F.lit("attribute_key_map requires schema_version")),
     ]
-    for key in REQUIRED_KEYS:
-        rules.append((occurrences(key) == 0, "missing_key", F.lit(f"missing {key}")))
-        rules.append((occurrences(key) > 1, "repeated_key", F.lit(f"repeated {key}")))
+    for n, key in zip(counts, REQUIRED_KEYS):
+        rules.append((F.col(n) == 0, "missing_key", F.lit(f"missing {key}")))
+        rules.append((F.col(n) > 1, "repeated_key", F.lit(f"repeated {key}")))
     found = F.filter(
         F.array(*[F.when(c, F.struct(F.lit(r).alias("rule"), m.alias("message"))) for c, r, m in rules]),
         lambda x: x.isNotNull())
-    return snapshots.withColumn("_resource_bytes", encoded_pairs_bytes("attributes")).select(
+    return staged.withColumn("_resource_bytes", encoded_pairs_bytes("attributes")).select(
         "host", "pid", "published_at_ns", F.inline(found))
 
 

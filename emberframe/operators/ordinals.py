@@ -20,16 +20,18 @@ from emberframe.session import stash
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, position below
 
 
-def range_sorted(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+def range_sorted(df: DataFrame, keys: Sequence[str], label: str, spread_ties: bool = False) -> DataFrame:
     """Store ``df`` in global ``keys`` order with ``_part`` and ``_row`` positions.
 
-    Rows that are equal on all keys would all meet in one partition, so a
-    per-input-row number spreads them.
+    Rows that are equal on all keys meet in one partition.  ``spread_ties``
+    separates them by input position; it is meant for frames read straight from
+    files, where a repeated task sees its rows in the same order.
     """
+    if spread_ties:
+        df, keys = df.withColumn("_tie", F.monotonically_increasing_id()), [*keys, "_tie"]
     ordered = (
-        df.withColumn("_tie", F.monotonically_increasing_id())
-        .repartitionByRange(*keys, "_tie")
-        .sortWithinPartitions(*keys, "_tie")
+        df.repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
         .drop("_tie")
         .withColumn("_row", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_row", _ROW_BITS).cast("int"))
@@ -45,10 +47,10 @@ def before_in_group(runs: DataFrame, group: Sequence[str], amount: str) -> Colum
 
 
 def grouped_ordinal(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, start: int = 0
+    df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, start: int = 0, spread_ties: bool = False
 ) -> DataFrame:
     """Add ``name``: the position of each row in its group, counted from ``start``."""
-    ranged = range_sorted(df, [*group, *order], f"ordinal-{name}")
+    ranged = range_sorted(df, [*group, *order], f"ordinal-{name}", spread_ties)
     runs = ranged.groupBy(*group, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
     offsets = runs.select(
         *group, "_part", (before_in_group(runs, group, "_n") - F.col("_first") + start).alias("_offset")

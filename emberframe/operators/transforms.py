@@ -65,7 +65,7 @@ def split_by_process(t: ProfileTables) -> ProfileTables:
     slots keep their ordinals.  Groups are numbered by the first sample that
     opens them, and metadata comes from that sample's resource, scope and profile.
     """
-    lists = process_lists(t)
+    lists = stash(process_lists(t), "process-lists")
     resources = t.resource_profiles.select(*RESOURCE_ID).join(canonical_resources(t), RESOURCE_ID, "left").select(
         *RESOURCE_ID, F.coalesce("resource_text", F.lit("")).alias("resource_text"))
     # Group keys are short: a resource is named by the first resource with the same text.

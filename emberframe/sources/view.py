@@ -166,7 +166,7 @@ def build_profile_view(spark: SparkSession, sf_dir: str) -> ProfileTables:
 
 def _samples(items: DataFrame, stacks: DataFrame, brands: DataFrame) -> DataFrame:
     order = ["l_orderkey", "l_linenumber", "part", "v0", "l_extendedprice", "ts0", "d", "t"]
-    numbered = grouped_ordinal(items, PROFILE_ID, order, "s_idx")
+    numbered = grouped_ordinal(items, PROFILE_ID, order, "s_idx", spread_ties=True)
     stack_of_part = stacks.join(brands, ["payload_id", "p_brand"]).select(
         "payload_id", "part", "stack_index", "exe_attr"
     )
