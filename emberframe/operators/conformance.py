@@ -87,7 +87,10 @@ def _sample_path() -> Column:
 
 
 def _checked(t: ProfileTables) -> DataFrame:
-    """Payloads with at least one resource; the others get no further finding."""
+    """Payloads with at least one resource; the others get no further finding.
+
+    Such payloads have no tree rows, so only dictionary rules need this filter.
+    """
     return t.payloads.where("n_resource_profiles > 0")
 
 
@@ -218,7 +221,6 @@ def check_timestamps(t: ProfileTables) -> DataFrame:
         extremes.join(t.profiles.select(*PROFILE_ID, "time_unix_nano", end.alias("end_ns")), PROFILE_ID)
         .where("t0 < time_unix_nano OR t1 >= end_ns").drop("t0", "t1")
     )
-    bad = bad.join(_checked(t), "payload_id", "left_semi")
     outside = lambda x: (x < F.col("time_unix_nano")) | (x >= F.col("end_ns"))
     rows = (
         t.samples.select(*SAMPLE_ID, "timestamps").join(bad, PROFILE_ID)
@@ -236,7 +238,6 @@ def check_sample_shapes(t: ProfileTables) -> DataFrame:
     """Length rules per sample and agreement with the profile's first sample."""
     rows = t.samples.select(
         *SAMPLE_ID, sample_shape().alias("shape"), F.size("values").alias("n_values"), F.size("timestamps").alias("n_ts"))
-    rows = rows.join(t.payloads.where("n_resource_profiles = 0"), "payload_id", "left_anti")
     shape = F.col("shape")
     lengths = _emit(
         rows, "sample",
