@@ -16,7 +16,7 @@ from emberframe.functions.values import quoted
 from emberframe.operators.lookups import (
     SHAPE_BOTH, SHAPE_INVALID, SHAPE_VALUES, deref, sample_shape,
 )
-from emberframe.schema import DICTIONARY_TABLES, PROFILE_ID, RESOURCE_ID, SAMPLE_ID, SCOPE_ID
+from emberframe.schema import DICTIONARY_TABLES, PROFILE_ID, SAMPLE_ID
 from emberframe.session import stash
 from emberframe.tables import ProfileTables
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.functions.values import make_value
-from emberframe.operators.lookups import (
-    attribute_lists, canonical_resources, resolved_resource_attributes,
-)
+from emberframe.operators.lookups import attribute_lists, canonical_resources
 from emberframe.operators.ordinals import grouped_ordinal
-from emberframe.schema import KEY_VALUE, PROFILE_ID, RESOURCE_ID, SAMPLE_ID, SCOPE_ID
+from emberframe.schema import KEY_VALUE, PROFILE_ID, RESOURCE_ID, SCOPE_ID
 from emberframe.session import stash
 from emberframe.tables import ProfileTables
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 
 from emberframe.functions.language import FRAME_TYPE_LANGUAGE
-from emberframe.operators.context import REQUIRED_KEYS
 from emberframe.operators.study import MAX_BINS, METRICS
 from emberframe.schema import (
     DICTIONARY_TABLES, FRACTION_COLUMNS, LANGUAGES, STATS_COLUMNS, SYMBOL_FRACTION_COLUMNS,
