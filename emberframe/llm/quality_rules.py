@@ -115,5 +115,7 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id"
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text") -> DataFrame:
     """The rows that pass, with all their columns: the row itself rides along as the id."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("body"))
-    kept = judge(whole, rules, "row", "body").where("kept")
+    # The row number keeps the filter above the counts: pushed below, it would repeat their expressions inside each other.
+    judged = judge(whole, rules, "row", "body").withColumn("at", F.monotonically_increasing_id())
+    kept = judged.where("kept AND at >= 0")
     return kept.select(*[F.col("id").getField(c).alias(c) for c in docs.columns])
