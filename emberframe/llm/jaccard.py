@@ -17,9 +17,9 @@ documents link if their sets' Jaccard similarity is at least ``percent`` %.
    suitable sizes are checked by exact overlap.  This is linear in the size of a
    group of near copies.  Links so found give components.
 4. Columns whose documents are not yet all in one component multiply out the
-   pairs of different components; overlap counts are accumulated per pair, and
-   pairs whose count plus remaining columns stays below the size-derived bound
-   are discarded.  The rest are checked exactly.  Links between documents of the
+   pairs of different components, where enough columns are left in both for the
+   size-derived bound; overlap counts are accumulated per pair, and pairs whose
+   count plus remaining columns stays below the bound are discarded.  The rest are checked exactly.  Links between documents of the
    same component would change nothing and are not formed.
 
 For exact checks, texts of the documents in question are read again, compressed,
@@ -226,7 +226,7 @@ def link_documents(
     left = F.least(n_a - p_a, n_b - p_b)  # this column and those behind it
     product = x.join(y, "h").where(
         (F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & _sizes_fit(n_a, n_b, percent)
-        & (F.least(p_a, p_b) + left >= _needed(n_a, n_b, percent)))
+        & (left >= _needed(n_a, n_b, percent)))  # holds for the first column that a similar pair shares, and all before it
     counted = product.groupBy("id_a", "id_b", "n_a", "n_b").agg(
         F.count("*").alias("c"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
     open_pairs = counted.where(F.col("c") - 1 + left >= _needed(n_a, n_b, percent)).select(
