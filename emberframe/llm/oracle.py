@@ -32,7 +32,7 @@ judged AS (
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
        NOT base_failed AND word_chars / greatest(n_words, 1) BETWEEN 2 AND 20 AND n_symbols / greatest(n_words, 1) <= 0.1
-       AND n_dup_lines / greatest(n_lines, 1) <= 0.3 AND n_stop / greatest(n_words, 1) >= 0.02 AS kept
+       AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AND n_stop / greatest(n_words, 1) >= 0.02 AS kept
 FROM judged
 """
 

@@ -54,7 +54,7 @@ METRICS = {
 RULES = (
     Rule("mean_word_chars", 2.0, 20.0),
     Rule("symbols_per_word", None, 0.10),
-    Rule("dup_line_ratio", None, 0.30),
+    Rule("dup_line_ratio", None, 0.50),
     Rule("stop_word_ratio", 0.02, None),
 )
 
