@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from emberframe.llm.common import stash, text_table
 
 #: (chance of a word to be in the subset, number of subsets)
-SUBSETS = ((0.7, 8), (0.25, 8), (0.0625, 16), (0.015625, 16))
+SUBSETS = ((0.7, 2), (0.25, 4), (0.0625, 10), (0.015625, 8))
 _SEED = 71
 
 
@@ -43,8 +43,8 @@ def n_subsets(subsets=SUBSETS) -> int:
 
 
 def words_of(text: Column) -> Column:
-    """Distinct lower-case words: runs of letters."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != ""))
+    """Distinct lower-case words (runs of letters), and always the empty word."""
+    return F.array_distinct(F.split(F.lower(F.concat(text, F.lit(" "))), r"[^\p{L}]+"))
 
 
 def _mask(word: Column, subsets) -> Column:
@@ -56,13 +56,13 @@ def _mask(word: Column, subsets) -> Column:
 
 
 def lexicon(
-    docs: DataFrame, low: float = 0.004, high: float = 0.1, least_docs: int = 2, max_lexicon: int = 500_000,
+    docs: DataFrame, low: float = 0.003, high: float = 0.03, least_docs: int = 2, max_lexicon: int = 500_000,
     text_col: str = "text", subsets=SUBSETS,
 ) -> DataFrame:
     """(word, mask) of the words in the band; stored, with at most ``max_lexicon`` rows (else an error)."""
     texts = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     n = docs.count()
-    seen = texts.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    seen = texts.select(F.explode(words_of(F.col("text"))).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("df"))
     band = seen.where((F.col("df") >= max(least_docs, low * n)) & (F.col("df") <= max(least_docs, high * n)))
     stored = stash(band.select("word", _mask(F.col("word"), subsets).alias("mask")), "lexicon")
     if (size := stored.count()) > max_lexicon:
@@ -70,22 +70,23 @@ def lexicon(
     return stored
 
 
-def fingerprints(texts: DataFrame, words: DataFrame, subsets=SUBSETS) -> DataFrame:
-    """``texts`` (any key columns, and ``text``) with ``prints``, one long per subset, instead of ``text``.
+def fingerprints(texts: DataFrame, words: DataFrame, keys: list[str], subsets=SUBSETS) -> DataFrame:
+    """``texts`` (unique key columns, ``text``, and others) with ``prints``, one long per subset, instead of ``text``.
 
-    Keys have to be unique.  Only lexicon words are regrouped by key, and tasks
-    gather them before the shuffle.
+    Only lexicon words are regrouped by key, and tasks gather them before the
+    shuffle.  The empty word, which every text has, carries the other columns.
     """
-    keys = [c for c in texts.columns if c != "text"]
-    # The empty word keeps texts without lexicon words.
+    spark = words.sparkSession
     entries = F.broadcast(words.select("word", F.struct(F.xxhash64("word").alias("h"), "mask").alias("entry")).unionByName(
-        words.sparkSession.createDataFrame([("",)], "word string").select("word", F.lit(None).cast("struct<h:bigint,mask:bigint>").alias("entry"))))
-    exploded = texts.select(*keys, F.explode(F.concat(words_of(F.col("text")), F.array(F.lit("")))).alias("word"))
-    kept = exploded.join(entries, "word").groupBy(*keys).agg(F.sort_array(F.collect_set("entry")).alias("entries"))
+        spark.createDataFrame([("",)], "word string").select("word", F.lit(None).cast("struct<h:bigint,mask:bigint>").alias("entry"))))
+    others = [c for c in texts.columns if c != "text" and c not in keys]
+    exploded = texts.select(*keys, F.struct(*others).alias("info"), F.explode(words_of(F.col("text"))).alias("word"))
+    kept = exploded.join(entries, "word").groupBy(*keys).agg(
+        F.sort_array(F.collect_list("entry")).alias("entries"), F.max(F.when(F.col("word") == "", F.col("info"))).alias("info"))
     hashes = F.transform(F.sequence(F.lit(0), F.lit(n_subsets(subsets) - 1)), lambda k: F.aggregate(
         F.filter("entries", lambda e: F.expr("1L").bitwiseAND(F.call_function("shiftright", e["mask"], k)) == 1),
         F.lit(0).cast("bigint"), lambda a, e: F.xxhash64(a, e["h"])))
-    return kept.select(*keys, hashes.alias("prints"))
+    return kept.select(*keys, "info.*", hashes.alias("prints"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -104,13 +105,12 @@ def as_text(prints: Column) -> Column:
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 1500) -> DataFrame:
     """(range, place, id, text, next_range, next_place, next_text) in key order; the last row is followed by the first."""
     docs = text_table(docs, id_col, text_col)
-    n, low = docs.agg(F.count("*"), F.min("id")).first()
+    n = docs.count()
     ranges = max(1, -(-n // rows_per_range))
     shares = [i / ranges for i in range(1, ranges)]
     cuts = sorted(set(docs.agg(F.percentile_approx("id", shares, 20 * ranges)).first()[0] or [])) if shares else []
     kind = dict(docs.dtypes)["id"]
     bounds = F.array(*[F.lit(c).cast(kind) for c in cuts]).cast(f"array<{kind}>")
-    # Position of the range by binary steps would save little: a range number is found once per row.
     range_of = F.coalesce(F.size(F.filter(bounds, lambda c: c <= F.col("id"))), F.lit(-1)) if cuts else F.lit(0)
     dealt = docs.select(F.when(F.col("id").isNull(), F.lit(-1)).otherwise(range_of).alias("range"), "id", "text")
     order = Window.partitionBy("range").orderBy(F.col("id").asc_nulls_first(), "text")
@@ -120,7 +120,6 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     heads = dealt.groupBy("range").agg(F.min("id").alias("id"))
     texts = dealt.join(heads, (dealt.range == heads.range) & dealt.id.eqNullSafe(heads.id), "left_semi")
     first = stash(texts.groupBy("range").agg(F.min("text").alias("head")), "heads")
-    del low
     around = Window.partitionBy(F.lit(0)).orderBy("range")
     order_of = first.select("range", F.lead("range").over(around).alias("follower"), F.min("range").over(around).alias("lowest"))
     follow = order_of.select("range", F.coalesce("follower", "lowest").alias("next_range")).join(
@@ -145,17 +144,16 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     follows = with_next(docs, id_col, text_col).select(
         "range", "place", "id", "next_range", "next_place", n.cast("bigint").alias("n_chars"), "text",
         F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
-    both = follows.select(
-        "range", "place", "id", "next_range", "next_place", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+    both = follows.withColumn("edited_sha256", F.sha2("edited", 256)).select(
+        "range", "place", F.struct("id", "next_range", "next_place", "n_chars", "edited_sha256").alias("about"),
         F.explode(F.array(F.struct(F.lit(0).alias("form"), F.col("text").alias("text")),
                           F.struct(F.lit(1).alias("form"), F.col("edited").alias("text")))).alias("x"))
-    flat = both.select("range", "place", "id", "next_range", "next_place", "n_chars", "edited_sha256", "x.form", "x.text")
-    prints = fingerprints(flat, words)
+    # What is known of a row goes with its own text only.
+    flat = both.select("range", "place", "x.form", F.when(F.col("x.form") == 0, F.col("about")).alias("about"), "x.text")
+    prints = fingerprints(flat, words, ["range", "place", "form"])
     pick = lambda form: F.max(F.when(F.col("form") == form, F.col("prints")))
     rows = stash(prints.groupBy("range", "place").agg(
-        F.first("id").alias("id"), F.first("next_range").alias("next_range"), F.first("next_place").alias("next_place"),
-        F.first("n_chars").alias("n_chars"), F.first("edited_sha256").alias("edited_sha256"),
-        pick(0).alias("own"), pick(1).alias("edited")), "prints")
+        F.max("about").alias("about"), pick(0).alias("own"), pick(1).alias("edited")).select("range", "place", "about.*", "own", "edited"), "prints")
     after = rows.select(F.col("range").alias("next_range"), F.col("place").alias("next_place"), F.col("own").alias("following"))
     return rows.join(after, ["next_range", "next_place"]).select(
         "id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("edited")).alias("edited_fingerprint"),
