@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from emberframe.llm.common import stash, text_table
 
 #: (chance of a word to be in the subset, number of subsets)
-SUBSETS = ((0.7, 2), (0.25, 4), (0.0625, 10), (0.015625, 8))
+SUBSETS = ((0.7, 1), (0.25, 3), (0.0625, 8), (0.015625, 12), (0.00390625, 8))
 _SEED = 71
 
 
