@@ -51,9 +51,10 @@ from emberframe.llm.components import smallest_reachable
 from emberframe.llm.shingles import sequence_key, shingle_set, words_of
 from emberframe.session import ship_package
 
-_CELLS = 1 << 19  # of the counting sketch
+_CELLS = 1 << 21  # of the counting sketch
 _BLOCK = 1 << 13
-_SHIFT = np.uint64(64 - 19)
+_SHIFT = np.uint64(64 - 21)
+_STEPS = 8  # of magnitude per factor of two
 _MAX_BITS = 1 << 28  # of a bitmap: 32 MB at most
 
 
@@ -85,7 +86,7 @@ def _count(counts: np.ndarray, found: np.ndarray) -> None:
 
 
 def _magnitudes(scanned: DataFrame) -> np.ndarray:
-    """Order of magnitude (log2) of every cell of the summed sketch: one byte per cell."""
+    """Order of magnitude (a multiple of log2) of every cell of the summed sketch: one byte per cell."""
     schema = "task int, block int, counts binary"
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
@@ -100,7 +101,7 @@ def _magnitudes(scanned: DataFrame) -> np.ndarray:
     out = np.zeros(_CELLS, np.uint8)
     for row in parts.groupBy("block").applyInPandas(add, schema).select("block", "counts").collect():
         total = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
-        out[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.log2(np.maximum(total, 1)).astype(np.uint8)
+        out[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.minimum(255, _STEPS * np.log2(np.maximum(total, 1))).astype(np.uint8)
     return out
 
 
