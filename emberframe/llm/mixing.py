@@ -59,6 +59,8 @@ class DomainModel:
     weights: np.ndarray  # (buckets + 1, domains); the last row is the bias
 
     def posterior(self, x: np.ndarray) -> np.ndarray:
+        if not self.domains:
+            return np.zeros((*x.shape[:-1], 0))
         z = x @ self.weights[:-1] + self.weights[-1]
         e = np.exp(z - z.max(axis=-1, keepdims=True))
         return e / e.sum(axis=-1, keepdims=True)
@@ -67,6 +69,8 @@ class DomainModel:
 def fit_domains(texts: list[str], names: list[str], steps: int = 200, rate: float = 0.3, l2: float = 1e-5) -> DomainModel:
     """Softmax regression by Adam on the given texts."""
     domains = sorted(set(names))
+    if not domains:
+        return DomainModel([], np.zeros((_BUCKETS + 1, 0)))
     x = np.column_stack([np.array([byte_pairs(t)[0] for t in texts]).reshape(len(texts), _BUCKETS), np.ones(len(texts))])
     y = np.array([[n == d for d in domains] for n in names], float)
     w = np.zeros((_BUCKETS + 1, len(domains)))
