@@ -216,7 +216,8 @@ def check_timestamps(t: ProfileTables) -> DataFrame:
     """Timestamps outside [start, start + duration) of their profile, one finding per element."""
     extremes = t.samples.where(F.size("timestamps") > 0).groupBy(*PROFILE_ID).agg(
         F.min(F.array_min("timestamps")).alias("t0"), F.max(F.array_max("timestamps")).alias("t1"))
-    end = F.col("time_unix_nano") + F.col("duration_nano")
+    # A long could overflow here.
+    end = F.col("time_unix_nano").cast("decimal(20,0)") + F.col("duration_nano").cast("decimal(20,0)")
     bad = (
         extremes.join(t.profiles.select(*PROFILE_ID, "time_unix_nano", end.alias("end_ns")), PROFILE_ID)
         .where("t0 < time_unix_nano OR t1 >= end_ns").drop("t0", "t1")

@@ -97,10 +97,11 @@ def payload_string_bytes(t: ProfileTables) -> DataFrame:
 
 
 def payload_time_span(t: ProfileTables) -> DataFrame:
-    """First start and last end over profiles with a start time."""
+    """First start and last end over profiles with a start time; an end beyond the signed range counts as its last value."""
+    end = F.col("time_unix_nano").cast("decimal(20,0)") + F.col("duration_nano").cast("decimal(20,0)")
     span = t.profiles.where("time_unix_nano <> 0").groupBy("payload_id").agg(
         F.min("time_unix_nano").alias("start_ts"),
-        F.max(F.col("time_unix_nano") + F.col("duration_nano")).alias("end_ts"),
+        F.least(F.max(end), F.lit(2**63 - 1).cast("decimal(21,0)")).cast("bigint").alias("end_ts"),
     )
     return t.payloads.select("payload_id").join(span, "payload_id", "left").select(
         "payload_id", "start_ts", "end_ts", ((F.col("end_ts") - F.col("start_ts")) / F.lit(1e9)).alias("duration_sec"))

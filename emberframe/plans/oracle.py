@@ -436,17 +436,18 @@ cte("c_dupmap", finding(
     "'duplicate mapping at index ' || (idx - 1) || ': filename_strindex=' || fname || ', attribute_indices=[], memory_start=' || ms || ', memory_limit=' || ml || ', file_offset=0'",
     "idx > orig", entry_idx="idx"))
 _orphans = {
-    "R32": ("string_table", """(SELECT payload_id, idx FROM str WHERE idx > 0 AND NOT EXISTS (
-      SELECT 1 FROM (SELECT payload_id, unnest([1, 2, 8, 9, 10]) AS i FROM pl UNION ALL SELECT payload_id, name_str FROM loc
-        UNION ALL SELECT payload_id, key_str FROM att) r WHERE r.payload_id = str.payload_id AND r.i = str.idx)) x"""),
-    "R33": ("attribute_table", """(SELECT payload_id, idx FROM att WHERE idx > 0 AND NOT EXISTS (
-      SELECT 1 FROM (SELECT payload_id, idx AS i FROM satt UNION ALL SELECT payload_id, 23 FROM pl
+    "R32": ("string_table", """(SELECT str.payload_id, idx FROM str ANTI JOIN (
+      SELECT DISTINCT * FROM (SELECT payload_id, unnest([1, 2, 8, 9, 10]) AS i FROM pl UNION ALL SELECT payload_id, name_str FROM loc
+        UNION ALL SELECT payload_id, key_str FROM att)) r ON r.payload_id = str.payload_id AND r.i = str.idx WHERE idx > 0) x"""),
+    "R33": ("attribute_table", """(SELECT att.payload_id, idx FROM att ANTI JOIN (
+      SELECT DISTINCT * FROM (SELECT payload_id, idx AS i FROM satt UNION ALL SELECT payload_id, 23 FROM pl
         UNION ALL SELECT payload_id, CASE ftype WHEN 'native' THEN 16 WHEN 'kernel' THEN 17 WHEN 'jvm' THEN 18 WHEN 'cpython' THEN 19
-          WHEN '' THEN 20 WHEN 'v8js' THEN 21 ELSE 22 END FROM loc) r WHERE r.payload_id = att.payload_id AND r.i = att.idx)) x"""),
-    "R34": ("mapping_table", """(SELECT payload_id, idx FROM mpg WHERE idx > 0 AND NOT EXISTS (
-      SELECT 1 FROM loc WHERE loc.payload_id = mpg.payload_id AND mpg.idx = CASE WHEN fn = 'LARGE' THEN 1 ELSE 2 END)) x"""),
-    "R38": ("link_table", """(SELECT payload_id, 1 AS idx FROM pl WHERE NOT EXISTS (
-      SELECT 1 FROM smp WHERE smp.payload_id = pl.payload_id AND link_index = 1)) x"""),
+          WHEN '' THEN 20 WHEN 'v8js' THEN 21 ELSE 22 END FROM loc)) r ON r.payload_id = att.payload_id AND r.i = att.idx WHERE idx > 0) x"""),
+    "R34": ("mapping_table", """(SELECT mpg.payload_id, idx FROM mpg ANTI JOIN (
+      SELECT DISTINCT payload_id, CASE WHEN fn = 'LARGE' THEN 1 ELSE 2 END AS i FROM loc) r
+      ON r.payload_id = mpg.payload_id AND r.i = mpg.idx WHERE idx > 0) x"""),
+    "R38": ("link_table", """(SELECT pl.payload_id, 1 AS idx FROM pl ANTI JOIN (
+      SELECT DISTINCT payload_id FROM smp WHERE link_index = 1) r ON r.payload_id = pl.payload_id) x"""),
 }
 cte("c_orphan", " UNION ALL ".join(
     finding(rule, table, source, f"'dictionary: {table}'", "'unreferenced entry at index ' || idx", entry_idx="idx")

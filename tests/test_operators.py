@@ -228,3 +228,10 @@ def test_encoded_pair_sizes(spark):
     for k, v in pairs:
         message.values.add(key=k).value.string = v
     assert df.select(context.encoded_pairs_bytes("attributes")).first()[0] == message.ByteSize()
+
+
+def test_histogram_of_values_that_are_not_finite(spark):
+    metric = next(iter(study.MAX_BINS))
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("inf"),), (float("nan"),), (None,)], f"{metric} double")
+    rows = {r.bin_start: r.n for r in study.histogram(df, metric).collect()}
+    assert rows[None] == 2 and sum(rows.values()) == 4
