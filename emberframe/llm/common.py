@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from emberframe.session import new_path, ship_package, stash
 
-__all__ = ["map_rows", "new_path", "read_table", "stash", "text_table"]
+__all__ = ["map_rows", "new_path", "read_table", "smallest_hashes", "stash", "text_table"]
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.large_string(),
           "binary": pa.large_binary(), "boolean": pa.bool_()}
@@ -61,3 +61,11 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterable[tuple]],
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return df.mapInArrow(run, fields)
+
+
+def smallest_hashes(texts: DataFrame, column: str, rows: int) -> list[str]:
+    """At most ``rows`` distinct texts, those with the smallest hashes; tasks send hashes first, then only these texts."""
+    hashed = texts.select(F.col(column).alias("t"), F.xxhash64(column).alias("k"))
+    chosen = [r.k for r in hashed.select("k").distinct().orderBy("k").limit(rows).collect()]
+    found = hashed.where(F.col("k").isin(chosen)).distinct() if chosen else hashed.limit(0)
+    return [r.t for r in found.orderBy("k", "t").limit(rows).collect()]

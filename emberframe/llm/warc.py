@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import map_rows, new_path
+from emberframe.llm.common import map_rows, new_path, smallest_hashes
 
 _SKIPPABLE, _ZSTD, _DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -179,9 +179,8 @@ def train_dictionary(
 ) -> bytes:
     """A dictionary from the starts of at most ``rows`` payloads, those with the smallest hash; empty if there is too little."""
     text = F.col(f"`{html_col}`")
-    sample = pages.where(F.octet_length(text) > 0).select(F.substring(text, 1, row_bytes // 4).alias("t")).distinct().orderBy(
-        F.xxhash64("t"), "t").limit(rows)
-    starts = [r.t.encode("utf-8", "replace") for r in sample.collect()]
+    sample = pages.where(F.octet_length(text) > 0).select(F.substring(text, 1, row_bytes // 4).alias("t"))
+    starts = [t.encode("utf-8", "replace") for t in smallest_hashes(sample, "t", rows)]
     try:
         return zstandard.train_dictionary(dictionary_bytes, starts).as_bytes() if len(starts) >= 8 else b""
     except zstandard.ZstdError:
