@@ -113,9 +113,8 @@ SELECT *, CASE WHEN n_val > 0 THEN [v0 + i for i in range(n_val)] ELSE [] END AS
 FROM smp1""")
 cte("stk", "SELECT DISTINCT payload_id, stack_index, p_name, p_type FROM smp0")
 cte("frm", """
-SELECT payload_id, stack_index, 0 AS pos, split_part(p_name, ' ', 1) AS fn FROM stk
-UNION ALL SELECT payload_id, stack_index, 1, split_part(p_name, ' ', 2) FROM stk
-UNION ALL SELECT payload_id, stack_index, 2, p_type FROM stk""")
+SELECT payload_id, stack_index, CAST(unnest(range(len(names))) AS INT) AS pos, unnest(names) AS fn
+FROM (SELECT *, list_append(string_split(p_name, ' '), p_type) AS names FROM stk) x""")
 cte("loc0", """
 SELECT payload_id, fn, CAST(dense_rank() OVER (PARTITION BY payload_id ORDER BY fn) AS INT) AS location_index,
   CASE WHEN fn IN ('ECONOMY', 'LARGE') THEN 'native' WHEN fn = 'MEDIUM' THEN 'kernel' WHEN fn = 'PROMO' THEN 'jvm'
@@ -664,11 +663,11 @@ UNION ALL SELECT "time", 'sample_data_rate', round(sample_data_rate, 9), 'Sample
 
 # --- sources -------------------------------------------------------------------------------------
 
-cte("files", "SELECT *, printf('payload-%012d-000000.bin', payload_id) AS file, resource_profiles_proto_bytes + dictionary_proto_bytes AS nb FROM mbytes")
+cte("files", "SELECT *, printf('payload-%012d.bin', payload_id) AS file, resource_profiles_proto_bytes + dictionary_proto_bytes AS nb FROM mbytes")
 oracle("src_payload_ids", f"SELECT row_number() OVER (ORDER BY file) AS id, file, {big('nb', 'length')} FROM files")
 oracle("src_decode", f"SELECT tree.* EXCLUDE (payload_id), file, {big('nb', 'n_bytes')} FROM tree JOIN files USING (payload_id)")
 oracle("src_framed", f"""
-SELECT printf('frames-%09d-000000000.bin', payload_id // 4) AS file,
+SELECT printf('frames-%09d.bin', payload_id // 4) AS file,
   CAST(row_number() OVER (PARTITION BY payload_id // 4 ORDER BY payload_id) - 1 AS INT) AS frame_no, {big('nb', 'n_bytes')},
   CAST(r AS INT) AS resources, '' AS error
 FROM files JOIN (SELECT payload_id, count(*) AS r FROM rps GROUP BY 1) x USING (payload_id)""")
@@ -706,5 +705,4 @@ oracle("buffer_windows", _windows(3600))
 oracle("buffer_size_curve", " UNION ALL ".join(
     f"SELECT CAST({s} AS BIGINT) AS buffer_seconds, count(*) AS windows, round(avg(samples), 6) AS mean_samples, round(avg(stacks), 6) AS mean_stacks, "
     f"round(sum(samples)::DOUBLE / sum(stacks), 6) AS samples_per_stack FROM ({_windows(s)}) w" for s in (60, 3600, 86400)))
-oracle("stream_buffer_windows", f"""
-SELECT * FROM ({_windows(3600)}) w WHERE window_start + 3600 <= (SELECT max(epoch_us(ts)) / 1000000.0 - 600 FROM events)""")
+oracle("stream_buffer_windows", _windows(3600))

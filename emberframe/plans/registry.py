@@ -293,7 +293,7 @@ def _view_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payload_folder(spark: SparkSession, sf_dir: str) -> str:
-    """Folder with one encoded file per message of the view."""
+    """Folder with one encoded file per payload of the view."""
 
     def build() -> str:
         path = new_path(spark, "payload-files")
@@ -304,13 +304,13 @@ def payload_folder(spark: SparkSession, sf_dir: str) -> str:
 
 
 def framed_folder(spark: SparkSession, sf_dir: str) -> str:
-    """Folder of length-prefixed files with up to four payloads and four messages of each."""
+    """Folder of length-prefixed files with up to four payloads each."""
 
     def build() -> str:
         path = new_path(spark, "framed-files")
         group = lambda c: F.lpad(F.floor(F.col(c) / 4).cast("string"), 9, "0")
         messages = _view_messages(spark, sf_dir).withColumn(
-            "file_no", F.concat_ws("-", group("payload_id"), group("message_no")))
+            "file_no", group("payload_id"))
         payloads.write_payload_files(messages, path, framed=True).write.format("noop").mode("overwrite").save()
         return path
 

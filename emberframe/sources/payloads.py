@@ -65,9 +65,12 @@ def decode(files: DataFrame, framed: bool = True, mode: str = "PERMISSIVE") -> D
     return files.select("path", "content").mapInArrow(run, schema)
 
 
-def read_nested(spark: SparkSession, path: str, framed: bool = True, mode: str = "PERMISSIVE") -> DataFrame:
+def read_nested(spark: SparkSession, path: str, framed: bool = True, mode: str = "FAILFAST") -> DataFrame:
     """Decoded rows of a file or folder, stored once as Parquet.
 
+    A file that cannot be decoded stops the job, naming its path.  With mode
+    PERMISSIVE it becomes a row of ``decode_errors`` instead.
+
     Decoding cannot be pruned or pushed down, so it runs once; later reads
     prune the stored nested columns.
     """
@@ -77,7 +80,7 @@ def read_nested(spark: SparkSession, path: str, framed: bool = True, mode: str =
     return stash(decoded.select("payload_id", *[c for c in decoded.columns if c != "payload_id"]), "decoded")
 
 
-def read_payloads(spark: SparkSession, path: str, framed: bool = True, mode: str = "PERMISSIVE") -> ProfileTables:
+def read_payloads(spark: SparkSession, path: str, framed: bool = True, mode: str = "FAILFAST") -> ProfileTables:
     return flatten(read_nested(spark, path, framed, mode))
 
 
@@ -98,8 +101,16 @@ def measured_sizes(t: ProfileTables) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("payload_id"), *sizes], schema=arrow)
 
     sizes = encode(t).select("payload_id", "message").mapInArrow(run, T.StructType.fromDDL(schema))
-    return sizes.groupBy("payload_id").agg(
-        F.sum("n").cast("bigint").alias("uncompressed_bytes"), F.sum("z").cast("bigint").alias("gzip_6_bytes"))
+    return sizes.select("payload_id", F.col("n").alias("uncompressed_bytes"), F.col("z").alias("gzip_6_bytes"))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark's readers take for it."""
+    if "://" in path:
+        return path
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def write_payload_files(messages: DataFrame, uri: str, framed: bool = False) -> DataFrame:
@@ -111,21 +122,21 @@ def write_payload_files(messages: DataFrame, uri: str, framed: bool = False) ->
     """
     if framed:
         prefixed = F.concat(F.unhex(F.lpad(F.hex(F.octet_length("message")), 8, "0")), F.col("message"))
-        parts = F.transform(F.array_sort(F.collect_list(F.struct("payload_id", "message_no", prefixed.alias("m")))), lambda x: x["m"])
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("payload_id", prefixed.alias("m")))), lambda x: x["m"])
         body = F.aggregate(parts, F.lit(b""), lambda acc, x: F.concat(acc, x))
         files = messages.groupBy("file_no").agg(body.alias("body"), F.count("*").alias("n_messages")).select(
             F.concat(F.lit("frames-"), F.col("file_no"), F.lit(".bin")).alias("file"),
             "body", "n_messages")
     else:
-        name = F.concat(F.lit("payload-"), F.lpad(F.col("payload_id").cast("string"), 12, "0"), F.lit("-"),
-                        F.lpad(F.col("message_no").cast("string"), 6, "0"), F.lit(".bin"))
+        name = F.concat(F.lit("payload-"), F.lpad(F.col("payload_id").cast("string"), 12, "0"), F.lit(".bin"))
         files = messages.select(name.alias("file"), F.col("message").alias("body"), F.lit(1).cast("bigint").alias("n_messages"))
     ddl = "file string,n_messages bigint"
+    uri = qualified(messages.sparkSession, uri)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+        store, root = fs.FileSystem.from_uri(uri)
         store.create_dir(root, recursive=True)
         for batch in batches:
             for name, body in zip(batch.column("file").to_pylist(), batch.column("body")):

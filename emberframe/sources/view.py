@@ -1,7 +1,7 @@
 """Profiles seen in the order tables: ``lineitem`` and ``part`` as payload tables.
 
 payload = supplier, resource = return flag, scope = line status, profile = ship
-year, sample = line item, stack = part (frames: two words of its name and its
+year, sample = line item, stack = part (frames: the words of its name and its
 type), process = order key mod 8 with the brand as executable.  Some payloads
 carry faults on purpose (duplicate strings and mappings, orphans, mixed sample
 shapes, broken links), so every check has findings.
@@ -109,11 +109,7 @@ def build_profile_view(spark: SparkSession, sf_dir: str) -> ProfileTables:
     # Frames of a stack, leaf first; distinct frame names are the locations.
     frames = stacks.select(
         "payload_id", "stack_index",
-        F.posexplode(F.array(
-            F.split_part("p_name", F.lit(" "), F.lit(1)),
-            F.split_part("p_name", F.lit(" "), F.lit(2)),
-            F.col("p_type"),
-        )).alias("pos", "fn"),
+        F.posexplode(F.concat(F.split("p_name", " "), F.array("p_type"))).alias("pos", "fn"),
     )
     names = frames.select("payload_id", "fn").distinct()
     named = ~F.col("fn").isin("ECONOMY", "LARGE", "rod") & (F.col("fn") != "")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberframe.session import configure, new_path
 
@@ -27,15 +28,28 @@ def stream_buffer_windows(stream: DataFrame, duration: str, lateness: str) -> Da
 
 
 def run_to_completion(spark: SparkSession, windows: DataFrame) -> DataFrame:
-    """Run a windowed stream over all available input and read its closed windows back."""
+    """Run a windowed stream over all available input and read its windows back, open ones included.
+
+    Every batch writes the windows it changed to its own folder, which a
+    repeated batch overwrites; the latest batch of a window holds its counts.
+    """
     configure(spark)
     out, checkpoint = new_path(spark, "windows"), new_path(spark, "windows-checkpoint")
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_no", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{out}/{batch_id}")
+
     query = (
-        windows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
+        windows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+        .outputMode("update").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(windows.schema).parquet(out)
+    if query.lastProgress is None:  # no input, so no batch has written
+        return spark.createDataFrame([], windows.schema)
+    schema = T.StructType([*windows.schema, T.StructField("batch_no", T.LongType())])
+    changed = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
+    last = F.max(F.struct("batch_no", "samples", "stacks")).alias("last")
+    return changed.groupBy("window_start", "host").agg(last).select("window_start", "host", "last.samples", "last.stacks")
 
 
 def size_curve(windows: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 CHECKED = (
     "frames_by_language", "symbol_fractions", "anyvalue_bytes", "listing_samples", "payload_stats", "check_all", "split_samples",
     "resource_attr_dict", "encoding_summary", "summary_upscaled_mib", "percentile_table", "histogram_uncompressed_mib",
-    "correlation_ranking", "cpu_vs_size_fit", "src_decode", "sink_stats_csv", "context_findings", "resource_context",
+    "correlation_ranking", "cpu_vs_size_fit", "src_decode", "src_framed", "src_payload_ids", "sink_stats_csv", "context_findings", "resource_context",
     "stream_buffer_windows", "amortization_curve",
 )
 

@@ -76,15 +76,21 @@ def test_computed_sizes_equal_encoded_lengths(randomized):
     assert got == {i: len(message(c)) for i, c in enumerate(contents)}
 
 
-def test_long_profiles_continue_in_further_messages(spark, view):
-    parts = encoder.encode(view, samples_per_message=5)
-    files = parts.select(F.format_string("p%05d-%05d", "payload_id", "message_no").alias("path"), F.col("message").alias("content"))
-    nested = payloads.decode(files)
-    total = nested.selectExpr(
-        "aggregate(resource_profiles, 0, (a, r) -> a + aggregate(r.scope_profiles, 0, (b, s) -> b + aggregate(s.profiles, 0, (c, p) -> c + size(p.samples)))) AS n"
-    ).agg(F.sum("n")).first()[0]
-    assert parts.where("message_no > 0").count() > 0
-    assert total == view.samples.count()
+def test_a_payload_is_one_message(spark):
+    long = {"resource_profiles": [{"scope_profiles": [{"profiles": [{"samples": [{"values": [1]}] * 100_500}]}]}], "dictionary": dictionary()}
+    t = tables_of(spark, long, payload())
+    got = {r.payload_id: r.n for r in encoder.encode(t).select("payload_id", F.octet_length("message").alias("n")).collect()}
+    assert got == {i: len(message(c)) for i, c in enumerate([long, payload()])}
+    assert got == {r.payload_id: r.uncompressed_bytes for r in sizes.payload_bytes(t).collect()}
+
+
+def test_reading_stops_at_an_undecodable_file(spark, tmp_path):
+    (tmp_path / "good").write_bytes(message(payload()))
+    (tmp_path / "poor").write_bytes(b"\0\0\1")
+    with pytest.raises(Exception, match="poor"):
+        payloads.read_payloads(spark, str(tmp_path))
+    nested = payloads.read_nested(spark, str(tmp_path), mode="PERMISSIVE")
+    assert [r.path.rsplit("/", 1)[1] for r in payloads.decode_errors(nested).collect()] == ["poor"]
 
 
 def test_doubles_and_varints(spark):
