@@ -32,3 +32,15 @@ def next_power_of_two(n: Column) -> Column:
 
 def mib(c: Column) -> Column:
     return c / F.lit(1048576.0)
+
+
+def unsigned(c: Column) -> Column:
+    """The unsigned value of a 64-bit field, which tables keep as a long with the same bits."""
+    n = c.cast("decimal(20,0)")
+    return F.when(c < 0, n + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(n).cast("decimal(20,0)")
+
+
+def wrapped(c: Column) -> Column:
+    """The long with the low 64 bits of a whole decimal, where long arithmetic would overflow."""
+    half, full = (F.lit(str(1 << k)).cast("decimal(20,0)") for k in (63, 64))
+    return (F.pmod(c + half, full) - half).cast("bigint")

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberframe.functions.numeric import unsigned
 from emberframe.functions.values import quoted
 from emberframe.operators.lookups import (
     SHAPE_BOTH, SHAPE_INVALID, SHAPE_VALUES, deref, sample_shape,
@@ -216,21 +217,18 @@ def check_timestamps(t: ProfileTables) -> DataFrame:
     """Timestamps outside [start, start + duration) of their profile, one finding per element."""
     extremes = t.samples.where(F.size("timestamps") > 0).groupBy(*PROFILE_ID).agg(
         F.min(F.array_min("timestamps")).alias("t0"), F.max(F.array_max("timestamps")).alias("t1"))
-    # A long could overflow here.
-    end = F.col("time_unix_nano").cast("decimal(20,0)") + F.col("duration_nano").cast("decimal(20,0)")
-    bad = (
-        extremes.join(t.profiles.select(*PROFILE_ID, "time_unix_nano", end.alias("end_ns")), PROFILE_ID)
-        .where("t0 < time_unix_nano OR t1 >= end_ns").drop("t0", "t1")
-    )
-    outside = lambda x: (x < F.col("time_unix_nano")) | (x >= F.col("end_ns"))
+    start = unsigned(F.col("time_unix_nano"))
+    span = t.profiles.select(*PROFILE_ID, start.alias("start_ns"), (start + unsigned(F.col("duration_nano"))).alias("end_ns"))
+    # Negative extremes stand for times of 2^63 and more; such profiles are read in full, as failing ones are.
+    bad = extremes.join(span, PROFILE_ID).where("t0 < 0 OR t0 < start_ns OR t1 >= end_ns").drop("t0", "t1")
     rows = (
         t.samples.select(*SAMPLE_ID, "timestamps").join(bad, PROFILE_ID)
-        .select(*SAMPLE_ID, "time_unix_nano", "end_ns", F.posexplode("timestamps").alias("i", "ts"))
-        .where(outside(F.col("ts")))
+        .select(*SAMPLE_ID, "start_ns", "end_ns", F.posexplode("timestamps").alias("i", "ts"))
+        .withColumn("ts", unsigned(F.col("ts"))).where("ts < start_ns OR ts >= end_ns")
     )
     message = F.concat(
         F.lit("timestamps_unix_nano["), _s("i"), F.lit("]="), _s("ts"), F.lit(" is outside profile time range ["),
-        _s("time_unix_nano"), F.lit(", "), _s("end_ns"), F.lit(")"),
+        _s("start_ns"), F.lit(", "), _s("end_ns"), F.lit(")"),
     )
     return _shape(rows.withColumn("_f", _finding("R10", message, _sample_path(), pos=F.col("i"))), "sample")
 

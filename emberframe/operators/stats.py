@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.functions.numeric import ratio
+from emberframe.functions.numeric import ratio, unsigned
 from emberframe.functions.wire import length_of
 from emberframe.operators.frames import language_fractions, symbol_fractions
 from emberframe.operators.lookups import (
@@ -97,11 +97,12 @@ def payload_string_bytes(t: ProfileTables) -> DataFrame:
 
 
 def payload_time_span(t: ProfileTables) -> DataFrame:
-    """First start and last end over profiles with a start time; an end beyond the signed range counts as its last value."""
-    end = F.col("time_unix_nano").cast("decimal(20,0)") + F.col("duration_nano").cast("decimal(20,0)")
+    """First start and last end over profiles with a start time; times beyond the signed range count as its last value."""
+    start = unsigned(F.col("time_unix_nano"))
+    end = start + unsigned(F.col("duration_nano"))
+    within = lambda c: F.least(c, F.lit(2**63 - 1).cast("decimal(21,0)")).cast("bigint")
     span = t.profiles.where("time_unix_nano <> 0").groupBy("payload_id").agg(
-        F.min("time_unix_nano").alias("start_ts"),
-        F.least(F.max(end), F.lit(2**63 - 1).cast("decimal(21,0)")).cast("bigint").alias("end_ts"),
+        within(F.min(start)).alias("start_ts"), within(F.max(end)).alias("end_ts"),
     )
     return t.payloads.select("payload_id").join(span, "payload_id", "left").select(
         "payload_id", "start_ts", "end_ts", ((F.col("end_ts") - F.col("start_ts")) / F.lit(1e9)).alias("duration_sec"))

@@ -38,7 +38,7 @@ def process_lists(t: ProfileTables) -> DataFrame:
     kept = F.struct("pos", "idx")
     checked = items.withColumn("value", F.when(
         is_process & (F.col("unit_strindex") != 0),
-        F.raise_error(F.lit("process attribute with unit is not supported")).cast(items.schema["value"].dataType),
+        F.raise_error(F.lit("cannot split by a process attribute that has a unit")).cast(items.schema["value"].dataType),
     ).otherwise(F.col("value")))
     collect = lambda cond, c: F.array_sort(F.collect_list(F.when(cond, c)))
     return checked.groupBy("payload_id", "attribute_indices").agg(
@@ -129,7 +129,7 @@ def split_by_process(t: ProfileTables) -> ProfileTables:
 def _without_payload(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("original_payload", F.when(
         F.col("original_payload").isNotNull(),
-        F.raise_error(F.lit("splitting a profile with an original payload is not supported")).cast("binary"),
+        F.raise_error(F.lit("cannot split a profile that carries its original payload")).cast("binary"),
     ))
 
 

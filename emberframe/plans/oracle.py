@@ -648,7 +648,7 @@ SELECT DISTINCT (epoch_us(ts) // 1000000 - (SELECT min(epoch_us(ts) // 1000000)
 cte("curve", """
 SELECT CAST("time" AS BIGINT) AS "time", 24.0::DOUBLE * ln(1 + "time"::DOUBLE) AS dictionary_size, 1.8::DOUBLE * "time" AS sample_size,
   24.0::DOUBLE / (1 + "time") AS dictionary_data_rate, 1.8::DOUBLE AS sample_data_rate,
-  CASE WHEN "time" <= 50 THEN 'First half: dictionary size characteristic dominates' ELSE 'Second half: sample size characteristic dominates' END AS region
+  CASE WHEN "time" <= 50 THEN 'dictionary-bound' ELSE 'sample-bound' END AS region
 FROM hours""")
 oracle("amortization_curve", """
 SELECT "time", round(dictionary_size, 9) AS dictionary_size, round(sample_size, 9) AS sample_size, round(dictionary_data_rate, 9) AS dictionary_data_rate,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberframe.functions.numeric import wrapped
 from emberframe.operators.lookups import (
     canonical_resources, canonical_sample_attrs, canonical_scopes, deref,
 )
@@ -36,7 +37,8 @@ def listing(t: ProfileTables) -> DataFrame:
     scopes = t.scope_profiles.select(*SCOPE_ID, "scope_name").join(canonical_scopes(t), SCOPE_ID, "left")
     profiles = t.profiles.select(
         *PROFILE_ID, F.col("sample_type")["type_strindex"].alias("_type"), F.col("sample_type")["unit_strindex"].alias("_unit"),
-        F.col("time_unix_nano").alias("_end"), (F.col("time_unix_nano") - F.col("duration_nano")).alias("_start"))
+        F.col("time_unix_nano").alias("_end"),
+        wrapped(F.col("time_unix_nano").cast("decimal(20,0)") - F.col("duration_nano").cast("decimal(20,0)")).alias("_start"))
     profiles = deref(deref(profiles, t.dict_strings, "_type", "type"), t.dict_strings, "_unit", "unit")
     samples = canonical_sample_attrs(t)
     parts = [

@@ -36,29 +36,28 @@ def _arrow_schema(ddl: str) -> pa.Schema:
 def decode(files: DataFrame, framed: bool = True, mode: str = "PERMISSIVE") -> DataFrame:
     """Decode ``path, content`` rows into nested rows, one per message.
 
-    ``framed`` also accepts length-prefixed files.  Undecodable files become one
-    row with ``error`` set; mode FAILFAST raises instead.
+    ``framed`` also accepts length-prefixed files.  What cannot be decoded, a
+    message or a frame, becomes a row with ``error`` set and leaves the other
+    frames of its file alone; mode FAILFAST raises instead.
     """
     schema = T.StructType.fromDDL(_DECODED)
 
     def rows(path: str, data: bytes) -> Iterator[dict]:
-        frames = codec.split_frames(data) if framed else [data]
-        for no, frame in enumerate(frames):
-            yield {"path": path, "frame_no": no, "n_bytes": len(frame), "error": None, **codec.to_row(frame)}
+        for no, (frame, message) in enumerate(codec.read_messages(data, framed)):
+            place = {"path": path, "frame_no": no, "n_bytes": len(frame)}
+            if not isinstance(message, Exception):
+                yield place | {"error": None} | codec.to_row(message)
+            elif mode == "FAILFAST":
+                raise ValueError(f"{path}, message {no}: {message}") from message
+            else:
+                yield place | {"error": f"{type(message).__name__}: {message}"}
 
     arrow = _arrow_schema(_DECODED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content")):
-                data = data.as_py()
-                try:
-                    decoded = list(rows(path, data))
-                except Exception as e:
-                    if mode == "FAILFAST":
-                        raise ValueError(f"{path}: {e}") from e
-                    decoded = [{"path": path, "frame_no": 0, "n_bytes": len(data), "error": f"{type(e).__name__}: {e}"}]
-                for row in decoded:
+                for row in rows(path, data.as_py()):
                     yield pa.RecordBatch.from_pylist([row], schema=arrow)
 
     ship_package(files.sparkSession)

@@ -12,7 +12,8 @@ from emberframe.schema import STATS_COLUMNS
 def utc_parts(ns: Column, pattern: str) -> tuple[Column, Column]:
     """Formatted whole seconds and the fraction digits without trailing zeros."""
     below = F.pmod(ns, F.lit(1_000_000_000))
-    micros = F.call_function("div", ns - below, F.lit(1000).cast("bigint"))
+    # Rounded down, without a subtraction that could overflow.
+    micros = F.call_function("div", ns, F.lit(1000).cast("bigint")) - F.when((ns < 0) & (F.pmod(ns, F.lit(1000)) != 0), 1).otherwise(0)
     fraction = F.regexp_replace(F.lpad(below.cast("string"), 9, "0"), "0+$", "")
     return F.date_format(F.timestamp_micros(micros), pattern), fraction
 

@@ -5,65 +5,75 @@ import pytest
 from emberframe.operators import conformance
 from payload_builder import dictionary, message, payload, tables_of
 
-TIMED = lambda ts: payload({"time_unix_nano": 100, "duration_nano": 10, "samples": [{"timestamps": [ts]}]})
-IN_RANGE = {"time_unix_nano": 100, "duration_nano": 10}
-DUPLICATE_STRINGS = payload(dict_tables={"strings": ["", "a", "b", "a"]})
-MIXED = payload(IN_RANGE | {"samples": [{"values": [1]}, {"timestamps": [100]}]})
-ORPHAN_STRING = payload(dict_tables={"strings": ["", "unreferenced"]})
 V = lambda s: {"string": s}
+#: A profile from 5 000 to 5 060.
+HOUR = {"time_unix_nano": 5_000, "duration_nano": 60}
+LATEST = (1 << 64) - 1
+profile_with = lambda *samples, **other: payload({"samples": list(samples)} | other)
+at_times = lambda *times: profile_with({"timestamps": list(times)}, **HOUR)
+out_of_hour = lambda i, ts: f"timestamps_unix_nano[{i}]={ts} is outside profile time range [5000, 5060)"
+TWICE = payload(dict_tables={"strings": ["", "north", "south", "north", "south"]})
+UNEVEN = profile_with({"timestamps": [5_001]}, {"values": [4]}, **HOUR)
+SPARE = payload(dict_tables={"strings": ["", "spare"]})
+TABLE_KEYS = {"strings": ["", "libcore.so", "os", "arch"],
+              "attributes": [{}, {"key_strindex": 2, "value": V("linux")}, {"key_strindex": 3, "value": V("arm")}]}
+loaded = lambda *attributes: {"filename_strindex": 1, "attribute_indices": list(attributes), "memory_start": 0x10, "memory_limit": 0x90}
 
 # name, payload, (duplicates, shapes, orphans), expected text or None
 CASES = [
-    ("no profiles", {}, (1, 0, 0), "resource profiles are empty"),
-    ("minimal", payload(), (1, 0, 0), None),
-    ("no scopes", {"dictionary": dictionary(), "resource_profiles": [{}]}, (1, 0, 0), "resource profiles has no scope profiles"),
-    ("no profiles in scope", {"dictionary": dictionary(), "resource_profiles": [{"scope_profiles": [{}]}]}, (1, 0, 0),
+    # tree
+    ("no resources", {}, (1, 0, 0), "resource profiles are empty"),
+    ("resource without scopes", {"dictionary": dictionary(), "resource_profiles": [{}]}, (1, 0, 0), "resource profiles has no scope profiles"),
+    ("scope without profiles", {"dictionary": dictionary(), "resource_profiles": [{"scope_profiles": [{}]}]}, (1, 0, 0),
      "scope profiles has no profiles"),
-    ("no empty string first", payload(dict_tables={"strings": ["a"]}), (1, 0, 0), 'must have empty string at index 0, got "a"'),
-    ("duplicate string", DUPLICATE_STRINGS, (1, 0, 0), "duplicate string at index 3, orig index 1: a"),
-    ("duplicate mapping", payload(dict_tables={
-        "mappings": [{}, {"filename_strindex": 1, "attribute_indices": [1, 2], "memory_start": 0x4000, "memory_limit": 0x4200},
-                     {"filename_strindex": 1, "attribute_indices": [2, 1], "memory_start": 0x4000, "memory_limit": 0x4200}],
-        "strings": ["", "filename", "attr1", "attr2"],
-        "attributes": [{}, {"key_strindex": 1, "value": V("v1")}, {"key_strindex": 2, "value": V("v2")}]}), (1, 0, 0), "duplicate mapping at index 1"),
-    ("duplicates disabled", DUPLICATE_STRINGS, (0, 0, 0), None),
-    ("duplicate key", payload(dict_tables={
-        "locations": [{}, {"attribute_indices": [1, 2]}], "strings": ["", "k1"],
-        "attributes": [{}, {"key_strindex": 1, "value": V("v1")}, {"key_strindex": 1, "value": V("v2")}]}), (1, 0, 0),
-     'dictionary: location_table: [1].attribute_indices: [1].key_strindex: duplicate key "k1", previously seen at [0].key_strindex'),
-    ("timestamp before", TIMED(99), (1, 0, 0), "timestamps_unix_nano[0]=99 is outside profile time range [100, 110)"),
-    ("timestamp at start", TIMED(100), (1, 0, 0), None),
-    ("timestamp at end", TIMED(110), (1, 0, 0), "timestamps_unix_nano[0]=110 is outside profile time range [100, 110)"),
-    ("timestamp after", TIMED(111), (1, 0, 0), "timestamps_unix_nano[0]=111 is outside profile time range [100, 110)"),
-    ("empty sample", payload({"samples": [{}]}), (1, 1, 0), "sample must have at least one values or timestamps_unix_nano entry"),
-    ("length mismatch", payload(IN_RANGE | {"samples": [{"values": [1], "timestamps": [100, 101]}]}), (1, 1, 0),
-     "values (len=1) and timestamps_unix_nano (len=2) must contain the same number of elements"),
-    ("values only", payload({"samples": [{"values": [1]}]}), (1, 1, 0), None),
-    ("many values", payload({"samples": [{"values": [1, 2, 3]}]}), (1, 1, 0),
-     "values (len=3) must contain a single element if timestamps_unix_nano is not set"),
-    ("timestamps only", payload(IN_RANGE | {"samples": [{"timestamps": [100]}]}), (1, 1, 0), None),
-    ("both", payload(IN_RANGE | {"samples": [{"values": [1], "timestamps": [100]}]}), (1, 1, 0), None),
-    ("mixed", MIXED, (1, 1, 0),
-     "profile[0]: sample[1]: sample shape timestamps_only does not match expected sample shape values_only"),
-    ("mixed with empty", payload(IN_RANGE | {"samples": [{"values": [1]}, {}, {"timestamps": [100]}]}), (1, 1, 0),
-     "sample[1]: sample shape unspecified does not match expected sample shape values_only"),
-    ("shapes disabled", MIXED, (1, 0, 0), None),
-    ("orphans: minimal", payload(), (1, 0, 1), None),
-    ("orphan string", ORPHAN_STRING, (1, 0, 1), "string_table: unreferenced entry at index 1"),
-    ("orphans disabled", ORPHAN_STRING, (1, 0, 0), None),
-    ("orphan mapping", payload(dict_tables={"mappings": [{}, {}]}), (0, 0, 1), "mapping_table: unreferenced entry at index 1"),
-    ("orphan stack", payload(dict_tables={"stacks": [{}, {}]}), (1, 0, 1), "stack_table: unreferenced entry at index 1"),
-    ("orphan link", payload(dict_tables={"links": [{}, {"trace_id": b"\0" * 16, "span_id": b"\0" * 8}]}), (1, 0, 1),
+    ("least payload", payload(), (1, 1, 1), None),
+    # times, also beyond 2^63
+    ("time just before", at_times(4_999, 5_001), (1, 0, 0), out_of_hour(0, 4_999)),
+    ("first and last time", at_times(5_000, 5_059), (1, 0, 0), None),
+    ("time at the end", at_times(5_030, 5_060), (1, 0, 0), out_of_hour(1, 5_060)),
+    ("far time", at_times(5_030, LATEST), (1, 0, 0), out_of_hour(1, LATEST)),
+    ("far profile", profile_with({"timestamps": [LATEST - 1]}, time_unix_nano=LATEST - 5, duration_nano=5), (1, 0, 0), None),
+    ("before a far profile", profile_with({"timestamps": [9]}, time_unix_nano=LATEST - 5, duration_nano=5), (1, 0, 0),
+     f"timestamps_unix_nano[0]=9 is outside profile time range [{LATEST - 5}, {LATEST})"),
+    # shapes
+    ("empty sample", profile_with({}), (1, 1, 0), "sample must have at least one values or timestamps_unix_nano entry"),
+    ("one value", profile_with({"values": [8]}, {"values": [9]}), (1, 1, 0), None),
+    ("two values", profile_with({"values": [8, 9]}), (1, 1, 0),
+     "values (len=2) must contain a single element if timestamps_unix_nano is not set"),
+    ("times alone", at_times(5_010, 5_020), (1, 1, 0), None),
+    ("as many values as times", profile_with({"values": [3, 4], "timestamps": [5_010, 5_020]}, **HOUR), (1, 1, 0), None),
+    ("fewer times than values", profile_with({"values": [3, 4, 5], "timestamps": [5_010, 5_020]}, **HOUR), (1, 1, 0),
+     "values (len=3) and timestamps_unix_nano (len=2) must contain the same number of elements"),
+    ("uneven shapes", UNEVEN, (1, 1, 0),
+     "profile[0]: sample[1]: sample shape values_only does not match expected sample shape timestamps_only"),
+    ("uneven after an empty one", profile_with({"timestamps": [5_001]}, {"timestamps": [5_002]}, {}, **HOUR), (1, 1, 0),
+     "sample[2]: sample shape unspecified does not match expected sample shape timestamps_only"),
+    ("uneven shapes allowed", UNEVEN, (1, 0, 0), None),
+    # repeated entries
+    ("string not empty at 0", payload(dict_tables={"strings": ["north", ""]}), (1, 0, 0), 'must have empty string at index 0, got "north"'),
+    ("string twice", TWICE, (1, 0, 0), "duplicate string at index 4, orig index 2: south"),
+    ("string twice allowed", TWICE, (0, 0, 0), None),
+    ("mapping twice, attributes in other order", payload(dict_tables=TABLE_KEYS | {"mappings": [{}, loaded(2, 1), {"memory_limit": 5}, loaded(1, 2)]}),
+     (1, 0, 0), "duplicate mapping at index"),
+    ("key twice", payload(dict_tables={
+        "stacks": [{}], "locations": [{}, {"address": 6, "attribute_indices": [0, 1, 2]}], "strings": ["", "zone"],
+        "attributes": [{}, {"key_strindex": 1, "value": V("a")}, {"key_strindex": 1, "value": {"int": 3}}]}), (1, 0, 0),
+     'dictionary: location_table: [1].attribute_indices: [2].key_strindex: duplicate key "zone", previously seen at [1].key_strindex'),
+    # orphans
+    ("spare string", SPARE, (1, 0, 1), "string_table: unreferenced entry at index 1"),
+    ("spare string allowed", SPARE, (1, 0, 0), None),
+    ("spare mapping", payload(dict_tables={"mappings": [{}, {}, {"memory_limit": 7}]}), (0, 0, 1), "mapping_table: unreferenced entry at index 2"),
+    ("spare stack", payload(dict_tables={"stacks": [{}, {"location_indices": [0]}]}), (1, 0, 1), "stack_table: unreferenced entry at index 1"),
+    ("spare link", payload(dict_tables={"links": [{}, {"trace_id": b"t" * 16, "span_id": b"s" * 8}]}), (1, 0, 1),
      "link_table: unreferenced entry at index 1"),
-    ("all referenced", payload(
-        {"sample_type": {"type_strindex": 5, "unit_strindex": 6},
-         "samples": [{"stack_index": 1, "attribute_indices": [1], "values": [42]}]},
-        {"strings": ["", "fn_name", "fn_sysname", "fn_file", "map_file", "type", "unit"],
-         "attributes": [{}, {"key_strindex": 1, "value": V("v1")}], "mappings": [{}, {"filename_strindex": 4}],
-         "functions": [{}, {"name_strindex": 1, "system_name_strindex": 2, "filename_strindex": 3}],
-         "locations": [{}, {"mapping_index": 1, "lines": [{"function_index": 1}]}], "stacks": [{}, {"location_indices": [1]}]}),
-     (1, 0, 1), None),
-    # further rules
+    ("nothing spare", payload(
+        {"period_type": {"type_strindex": 1, "unit_strindex": 2}, "attribute_indices": [1], "samples": [{"stack_index": 1, "link_index": 1, "values": [6]}]},
+        {"strings": ["", "wall", "ns", "main", "main.c", "app", "color"], "links": [{}, {"trace_id": b"t" * 16, "span_id": b"s" * 8}],
+         "attributes": [{}, {"key_strindex": 6, "value": V("red")}], "mappings": [{}, {"filename_strindex": 5}],
+         "functions": [{}, {"name_strindex": 3, "filename_strindex": 4}],
+         "locations": [{}, {"mapping_index": 1, "address": 3, "lines": [{"function_index": 1, "line": 12}]}],
+         "stacks": [{}, {"location_indices": [1]}]}), (1, 1, 1), None),
+    # indexes and entry values
     ("stack index", payload({"samples": [{"stack_index": 5, "values": [1]}]}), (1, 1, 0), "sample[0]: stack_index: index 5 is out of range [0..1)"),
     ("negative stack index", payload({"samples": [{"stack_index": -1, "values": [1]}]}), (1, 1, 0), "stack_index: index -1 is out of range [0..1)"),
     ("link index", payload({"samples": [{"link_index": 2, "values": [1]}]}), (1, 1, 0), "link_index: index 2 is out of range [0..1)"),
@@ -116,7 +126,7 @@ def test_case(lines, name, expected):
 
 
 def test_empty_payload_has_only_one_finding(lines):
-    assert lines["no profiles"] == ["resource profiles are empty"]
+    assert lines["no resources"] == ["resource profiles are empty"]
 
 
 def test_message_is_stable():

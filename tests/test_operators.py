@@ -11,6 +11,7 @@ from emberframe.operators import context, encodings, frames, lookups, sizes, sta
 from emberframe.operators.ordinals import grouped_ordinal
 from emberframe.operators.quantiles import lower_middle, nearest, order_statistics, upper_middle
 from emberframe.schema import STATS_COLUMNS
+from emberframe.sources import listing
 from payload_builder import dictionary, payload, tables_of
 
 
@@ -88,12 +89,12 @@ def test_empty_payload_statistics(spark):
 
 def process_payload(unit=None, original=None):
     attr = lambda k, s, **x: {"key_strindex": k, "value": {"string": s}} | x
-    attributes = [{}, attr(1, "123", **({"unit_strindex": 4} if unit else {})), attr(2, "app1"), attr(3, "456"), attr(1, "789"), attr(2, "app2"), attr(3, "101")]
+    attributes = [{}, attr(1, "31", **({"unit_strindex": 4} if unit else {})), attr(2, "indexer"), attr(3, "t-7"), attr(1, "64"), attr(2, "crawler"), attr(3, "t-2")]
     profile = {"samples": [{"values": [i], "attribute_indices": a} for i, a in enumerate(([1, 2, 3], [4, 5, 6], [2, 1], []))]}
     if original:
         profile["original_payload"] = b"raw"
     return {
-        "resource_profiles": [{"resource": {"attributes": [{"key": "service.name", "value": {"string": "test"}}]},
+        "resource_profiles": [{"resource": {"attributes": [{"key": "service.name", "value": {"string": "search"}}]},
                                "scope_profiles": [{"profiles": []}, {"scope": {"name": "sc"}, "profiles": [{}, profile]}]}],
         "dictionary": dictionary(strings=["", "process.pid", "process.executable.name", "thread.id", "u"], attributes=attributes)}
 
@@ -103,8 +104,8 @@ def test_split_by_process(spark):
     s = transforms.split_by_process(t)
     texts = {r.rp_idx: r.resource_text for r in lookups.canonical_resources(s).collect()}
     assert texts == {
-        0: 'process.executable.name="app1", process.pid="123", service.name="test"',
-        1: 'process.executable.name="app2", process.pid="789", service.name="test"', 2: 'service.name="test"'}
+        0: 'process.executable.name="indexer", process.pid="31", service.name="search"',
+        1: 'process.executable.name="crawler", process.pid="64", service.name="search"', 2: 'service.name="search"'}
     got = sorted((r.rp_idx, r.sp_idx, r.p_idx, r.s_idx, list(r["values"]), list(r.attribute_indices)) for r in s.samples.collect())
     assert got == [(0, 1, 1, 0, [0], [3]), (0, 1, 1, 1, [2], []), (1, 1, 1, 0, [1], [6]), (2, 1, 1, 0, [3], [])]
     # The new resources declare two scopes and two profiles each; the unfilled ones take two bytes.
@@ -114,7 +115,7 @@ def test_split_by_process(spark):
     assert {r.key for r in keys} == {"thread.id"}
 
 
-@pytest.mark.parametrize("kwargs,text", [({"unit": True}, "process attribute with unit"), ({"original": True}, "original payload")])
+@pytest.mark.parametrize("kwargs,text", [({"unit": True}, "process attribute that has a unit"), ({"original": True}, "original payload")])
 def test_split_refusals(spark, kwargs, text):
     with pytest.raises(Exception, match=text):
         s = transforms.split_by_process(tables_of(spark, process_payload(**kwargs)))
@@ -150,8 +151,22 @@ def test_transform_invariants(view):
     assert base < reduced < grown
 
 
-def test_gain():
-    assert encodings.ENCODINGS == ("baseline", "split-by-process", "resource-attr-dict")
+def test_summary_order_and_gain(spark):
+    """Two payloads a file: sums per file and encoding, in the fixed order of the encodings."""
+    rows = [(f, e, size + k) for f in ("x", "w") for k in (0, 10) for e, size in zip(encodings.ENCODINGS, (100, 200, 150))]
+    summary = encodings.encoding_summary(spark.createDataFrame(rows, "file string, encoding string, uncompressed_bytes bigint"))
+    got = [tuple(r) for r in encodings.in_file_order(summary).collect()]
+    assert got == [(f, e, 2, 2 * size + 10) for f in ("w", "x") for e, size in zip(encodings.ENCODINGS, (100, 200, 150))]
+    assert [round(r.uncompressed_gain_pct, 6) for r in encodings.encoding_gain(summary).collect()] == [round(100 * (1 - 310 / 410), 6)] * 2
+
+
+def test_times_beyond_the_signed_range(spark):
+    late = (1 << 63) + 5
+    t = tables_of(spark, payload({"time_unix_nano": 7, "duration_nano": (1 << 64) - 1}), payload({"time_unix_nano": late}))
+    spans = {r.payload_id: (r.start_ts, r.end_ts) for r in stats.payload_time_span(t).collect()}
+    last = (1 << 63) - 1
+    assert spans == {0: (7, last), 1: (last, last)}
+    assert {r.payload_id for r in listing.listing(t).where("line LIKE '%Profile:%'").collect()} == {0, 1}
 
 
 def stats_rows(spark, rows):
@@ -183,7 +198,7 @@ def test_study(spark):
     slope = sum((x - mx) * (y - my) for x, y in pts if y is not None) / sum((x - mx) ** 2 for x, _ in pts)
     fit = study.line_fit(derived).first()
     assert fit.slope == pytest.approx(slope) and fit.intercept == pytest.approx(my - slope * mx)
-    assert fit.label == f"Slope: {1 / slope:.2f} MiB per active CPU core"
+    assert fit.label == f"one core adds {1 / slope:.2f} MiB"
 
     ranking = [r["column"] for r in study.correlation_ranking(derived).collect()]
     assert "resource_profiles_count" not in ranking and "samples_count" in ranking and "mean_bytes_per_sample" not in ranking
@@ -205,7 +220,7 @@ def test_histogram_steps(spark):
 
 def test_context_rules(spark):
     good = [(k, "v") for k in context.REQUIRED_KEYS]
-    snap = lambda pid, attrs, extra=(), sig="OTEL_CTX", version=2, at=5: ("h", pid, sig, version, at, attrs, list(extra))
+    snap = lambda pid, attrs, extra=(), sig=context.SIGNATURE, version=2, at=5: ("h", pid, sig, version, at, attrs, list(extra))
     df = spark.createDataFrame([
         snap(1, good), snap(2, good[1:]), snap(3, good + [good[0]]), snap(4, good + [("k" * 4097, "v")]), snap(5, good, sig="x"),
         snap(6, good, version=1), snap(7, good + [(f"k{i}", "v") for i in range(101)]), snap(8, good, [(context.KEY_MAP_KEY, "a")]),
