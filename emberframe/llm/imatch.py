@@ -8,17 +8,24 @@
 2. Every lexicon word has a bit mask that says in which of the random subsets
    it is.  Subsets are of several sizes, so that long and short documents both
    meet some with few of their words.
-3. A document keeps its distinct lexicon words; for every subset the sorted
-   words are hashed.  The fingerprint is the list of these hashes.  A subset
-   without words of the document has hash 0.  ``likeness`` is the share of equal
-   hashes among the subsets that are not empty in both.
+3. A document keeps its distinct lexicon words; for every subset the hashes of
+   its words are combined by exclusive or, in aggregates of fixed size.  The
+   fingerprint is the list of these hashes.  A subset without words of the
+   document has hash 0.  ``likeness`` is the share of equal hashes among the
+   subsets that are not empty in both.
+4. A text without lexicon words has a fingerprint of the words that it has: one
+   hash of all its distinct words, and for the others the least of its
+   ``_LEAST`` smallest word hashes in each remainder class.  Without any word,
+   the first hash is that of the text.
 
 ``with_next`` finds each row's successor in key order without a global sort in
 one task: rows are dealt to key ranges, windows run inside a range, and the last
 row of a range takes the first row of the next range.
 
-Defined results: a null or empty text, or one without lexicon words, has only
-zeros; two such fingerprints are alike (1.0), equal ones always are; rows with
+Defined results: only a null or empty text has only zeros; two such
+fingerprints are alike (1.0), equal ones always are; texts without lexicon
+words have equal ones only if their words are the same, and without any word
+only if they are equal; rows with
 equal keys follow each other in text order; null keys come first; in an empty
 table there is nothing; the only row has an empty text as its successor if the
 table has one row, since there is none; further columns are not read.
@@ -36,6 +43,8 @@ from emberframe.llm.common import stash, text_table
 #: (chance of a word to be in the subset, number of subsets)
 SUBSETS = ((0.7, 1), (0.25, 3), (0.0625, 8), (0.015625, 12), (0.00390625, 8))
 _SEED = 71
+#: Smallest word hashes that are kept of a text in case it has no lexicon words.
+_LEAST = 32
 
 
 def n_subsets(subsets=SUBSETS) -> int:
@@ -56,7 +65,7 @@ def _mask(word: Column, subsets) -> Column:
 
 
 def lexicon(
-    docs: DataFrame, low: float = 0.003, high: float = 0.03, least_docs: int = 2, max_lexicon: int = 500_000,
+    docs: DataFrame, low: float = 0.003, high: float = 0.2, least_docs: int = 2, max_lexicon: int = 500_000,
     text_col: str = "text", subsets=SUBSETS,
 ) -> DataFrame:
     """(word, mask) of the words in the band; stored, with at most ``max_lexicon`` rows (else an error)."""
@@ -70,23 +79,38 @@ def lexicon(
     return stored
 
 
+def _spare(text: Column, words: Column) -> Column:
+    """What tells a text without lexicon words: a hash of all its words, or of the text if it has none, and the least word hashes."""
+    hashes = F.sort_array(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
+    whole = F.when(F.size(hashes) > 0, F.xxhash64(hashes)).when(text != "", F.xxhash64(text)).otherwise(F.lit(0))
+    return F.struct(whole.alias("whole"), F.slice(hashes, 1, _LEAST).alias("least"))
+
+
+def _spare_prints(spare: Column, n: int) -> Column:
+    classes = F.transform(F.sequence(F.lit(0), F.lit(n - 2)), lambda k: F.coalesce(
+        F.array_min(F.filter(spare["least"], lambda h: F.pmod(h, F.lit(n - 1)) == k)), F.lit(0).cast("bigint")))
+    return F.concat(F.array(spare["whole"]), classes)
+
+
 def fingerprints(texts: DataFrame, words: DataFrame, keys: list[str], subsets=SUBSETS) -> DataFrame:
     """``texts`` (unique key columns, ``text``, and others) with ``prints``, one long per subset, instead of ``text``.
 
-    Only lexicon words are regrouped by key, and tasks gather them before the
-    shuffle.  The empty word, which every text has, carries the other columns.
+    Only lexicon words, and the empty word, which every text has, are regrouped.
+    The other columns go along as grouping columns, so the aggregates are longs.
     """
     spark = words.sparkSession
-    entries = F.broadcast(words.select("word", F.struct(F.xxhash64("word").alias("h"), "mask").alias("entry")).unionByName(
-        spark.createDataFrame([("",)], "word string").select("word", F.lit(None).cast("struct<h:bigint,mask:bigint>").alias("entry"))))
+    n = n_subsets(subsets)
+    entries = F.broadcast(words.select("word", F.xxhash64("word").alias("h"), "mask").unionByName(
+        spark.sql("SELECT '' AS word, 0L AS h, 0L AS mask")))
     others = [c for c in texts.columns if c != "text" and c not in keys]
-    exploded = texts.select(*keys, F.struct(*others).alias("info"), F.explode(words_of(F.col("text"))).alias("word"))
-    kept = exploded.join(entries, "word").groupBy(*keys).agg(
-        F.sort_array(F.collect_list("entry")).alias("entries"), F.max(F.when(F.col("word") == "", F.col("info"))).alias("info"))
-    hashes = F.transform(F.sequence(F.lit(0), F.lit(n_subsets(subsets) - 1)), lambda k: F.aggregate(
-        F.filter("entries", lambda e: F.expr("1L").bitwiseAND(F.call_function("shiftright", e["mask"], k)) == 1),
-        F.lit(0).cast("bigint"), lambda a, e: F.xxhash64(a, e["h"])))
-    return kept.select(*keys, "info.*", hashes.alias("prints"))
+    split = texts.select(*keys, *others, "text", words_of(F.col("text")).alias("words"))
+    told = split.select(*keys, *others, _spare(F.col("text"), F.col("words")).alias("spare"), "words")
+    exploded = told.select(*keys, *others, "spare", F.explode("words").alias("word"))
+    kept = exploded.join(entries, "word").groupBy(*keys, *others, "spare").agg(
+        *[F.expr(f"bit_xor(h & -(shiftright(mask, {k}) & 1L))").alias(f"p{k}") for k in range(n)])
+    none = reduce(lambda a, b: a & b, [F.col(f"p{k}") == 0 for k in range(n)])
+    return kept.select(*keys, *others, F.when(none, _spare_prints(F.col("spare"), n)).otherwise(
+        F.array(*[f"p{k}" for k in range(n)])).alias("prints"))
 
 
 def likeness(a: Column, b: Column) -> Column:

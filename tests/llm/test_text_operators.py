@@ -209,6 +209,23 @@ def test_imatch(make_docs):
     assert imatch.edit_report(make_docs(["only"])).first().near_next == 1.0
 
 
+def test_imatch_tells_texts_without_lexicon_words_apart(make_docs):
+    """The production band; every word is in one text or in most of them."""
+    rng = random.Random(2)
+    rare = lambda n: ["".join(rng.choices("abcdefghij", k=12)) for _ in range(n)]
+    texts = ["the same words " + " ".join(rare(1 + i % 90)) for i in range(90)] + ["12 34", "56", "...", " ", "", None]
+    rows = {r.id: r for r in imatch.edit_report(make_docs(texts)).collect()}
+    prints = {k: r.fingerprint for k, r in rows.items()}
+    assert prints[94] == prints[95] == "0" * len(prints[94])
+    assert len(set(prints.values())) == len(texts) - 1
+    assert all(r.near_next < 1 for k, r in rows.items() if k not in (94, 95))
+    # The same words in another order, and a near copy.
+    none = imatch.lexicon(make_docs([]))
+    forms = make_docs([texts[89], " ".join(reversed(texts[89].split())), texts[89] + " more"]).select("doc_id", "text")
+    own, turned, near = (r.prints for r in imatch.fingerprints(forms, none, ["doc_id"]).orderBy("doc_id").collect())
+    assert own == turned != near and sum(a == b for a, b in zip(own, near, strict=True)) >= 10
+
+
 # --- toxicity ---
 
 
