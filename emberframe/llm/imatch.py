@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 
 from emberframe.llm.common import stash, text_table
 
-#: (chance of a word to be in the subset, number of subsets)
-SUBSETS = ((0.7, 1), (0.25, 3), (0.0625, 8), (0.015625, 12), (0.00390625, 8))
+#: (chance of a word to be in the subset, number of subsets), at most 63 in all, the bits of a mask; the first has every word
+SUBSETS = ((1.0, 1), (0.5, 4), (0.25, 6), (1 / 16, 12), (1 / 64, 14), (1 / 256, 12), (1 / 1024, 8), (1 / 4096, 6))
 _SEED = 71
 #: Smallest word hashes that are kept of a text in case it has no lexicon words.
 _LEAST = 32

@@ -226,6 +226,13 @@ def test_imatch_tells_texts_without_lexicon_words_apart(make_docs):
     assert own == turned != near and sum(a == b for a, b in zip(own, near, strict=True)) >= 10
 
 
+def test_imatch_finds_half_of_a_very_long_text(make_docs):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=9)) for _ in range(8000)]
+    rows = imatch.edit_report(make_docs([" ".join(rng.sample(words, 2000)) for _ in range(40)]), low=0.001, high=0.9).collect()
+    assert sum(r.near_edited > 0 for r in rows) > 20
+
+
 # --- toxicity ---
 
 
