@@ -63,9 +63,11 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterable[tuple]],
     return df.mapInArrow(run, fields)
 
 
-def smallest_hashes(texts: DataFrame, column: str, rows: int) -> list[str]:
-    """At most ``rows`` distinct texts, those with the smallest hashes; tasks send hashes first, then only these texts."""
+def smallest_hashes(texts: DataFrame, column: str, rows: int, cut: Callable[[str], str] | None = None) -> list[str]:
+    """At most ``rows`` distinct texts, those with the smallest hashes; tasks send hashes first, then only these texts, or their ``cut`` form."""
     hashed = texts.select(F.col(column).alias("t"), F.xxhash64(column).alias("k"))
     chosen = [r.k for r in hashed.select("k").distinct().orderBy("k").limit(rows).collect()]
     found = hashed.where(F.col("k").isin(chosen)).distinct() if chosen else hashed.limit(0)
+    if cut is not None:
+        found = map_rows(found.select("t", "k"), lambda pairs: ((cut(t), k) for t, k in pairs), "t string, k bigint")
     return [r.t for r in found.orderBy("k", "t").limit(rows).collect()]

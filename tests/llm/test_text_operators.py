@@ -298,6 +298,18 @@ def test_extraction(spark):
     assert extraction.extract(pages.limit(0), model).count() == 0
 
 
+def test_extraction_learns_from_large_pages_and_pages_of_div_only(spark):
+    text = "Long text with several words that say something about thing {}. It goes on here, and further on."
+    div = [f"<body><div class=menu><a href=x>Home</a></div><div>{''.join(f'<div>{text.format(100 * i + k)}</div>' for k in range(6))}</div></body>" for i in range(40)]
+    large = [f"<body><nav><a href=x>Home</a></nav><article>{''.join(f'<p>{text.format(1000 * i + k)}</p>' for k in range(300))}</article></body>" for i in range(20)]
+    page = f"<body><nav><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul></nav><article>{f'<p>{text}</p>' * 5}</article><footer>Imprint</footer></body>"
+    for sources in (div, large):
+        assert all(0 < len(extraction.material(s)) <= 12_000 for s in sources)
+        pages = spark.createDataFrame([(i, "u", s) for i, s in enumerate(sources)], "page_id bigint, url string, html string")
+        asked = spark.createDataFrame([(0, "u", page)], pages.schema)
+        assert extraction.extract(asked, extraction.train_on(pages)).first().text == "\n\n".join([text] * 5)
+
+
 def test_decoding_has_no_contradictions():
     page = dom.parse("<div><div><p>a</p></div><p>b</p></div><ul><li>c</li></ul>")
     blocks, _ = extraction.features(page)
