@@ -53,4 +53,33 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, r.lowest AS compo
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS lowest FROM reach GROUP BY a) r USING (doc_id)
 """
 
-ORACLES = {"op8_quality_rules": OP8, "op10_ngram_jaccard": OP10}
+# crc32 as a fold: a byte is XOR-ed in, then eight shifts (-1) follow.
+OP12 = """
+WITH turns AS (
+  SELECT conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+         strlen(coalesce(text, '')) AS size
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'digest': digest, 'size': size} ORDER BY turn NULLS FIRST, digest) AS seq FROM turns GROUP BY conv_id),
+steps AS (
+  SELECT *, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [ord(c), -1, -1, -1, -1, -1, -1, -1, -1])) AS s FROM own),
+heads AS (
+  SELECT conv_id, seq, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(s, lambda e: CAST(e AS BIGINT))),
+         lambda crc, e: CASE WHEN e >= 0 THEN xor(crc, e) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END), 4294967295) % 9 AS h FROM steps),
+rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.seq[1:a.h], []), a.seq[a.h + 1:]) AS seq
+  FROM heads a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5),
+members AS (SELECT conv_id, len(seq) AS n, unnest(range(0, len(seq) + 1)) AS d, seq FROM rebuilt),
+nodes AS (
+  SELECT d, list_transform(seq[1:d], lambda t: t.digest) AS path, min(conv_id) AS conv_id, count(*) AS n_convs,
+         any_value(CASE WHEN d > 0 THEN seq[d].size ELSE 0 END) AS size,
+         sha256(coalesce(string_agg(CASE WHEN n = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM members GROUP BY ALL),
+children AS (SELECT path[1:d - 1] AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+counted AS (SELECT x.*, coalesce(c.n, 0) AS n_children FROM nodes x LEFT JOIN children c USING (path)),
+below AS (SELECT path[1:k] AS path, n_children, (n_convs - 1) * size AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM counted)),
+sums AS (SELECT path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved FROM below GROUP BY path)
+SELECT x.conv_id, x.d AS depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM counted x JOIN sums s USING (path) LEFT JOIN nodes p ON x.d > 0 AND p.path = x.path[1:x.d - 1]
+"""
+
+ORACLES = {"op8_quality_rules": OP8, "op10_ngram_jaccard": OP10, "op12_prefix_trie": OP12}
