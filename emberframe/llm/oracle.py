@@ -82,4 +82,22 @@ SELECT x.conv_id, x.d AS depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_chil
 FROM counted x JOIN sums s USING (path) LEFT JOIN nodes p ON x.d > 0 AND p.path = x.path[1:x.d - 1]
 """
 
-ORACLES = {"op8_quality_rules": OP8, "op10_ngram_jaccard": OP10, "op12_prefix_trie": OP12}
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+OP13 = rf"""
+WITH split AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+sizes AS (SELECT doc_id, len(terms) AS n, count(*) FILTER (len(terms) > 0) OVER () AS all_n, sum(len(terms)) OVER () AS all_l FROM split),
+norms AS (SELECT doc_id, all_n, CAST(75 + (25 * n * all_n) // all_l AS BIGINT) AS m FROM sizes WHERE n > 0),
+postings AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM split) GROUP BY ALL),
+frequencies AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+wanted AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(times * CAST(floor(1000 * ln((2 * all_n + 2) / (2 * df + 1))) AS BIGINT)
+                                   * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM wanted JOIN postings USING (term) JOIN frequencies USING (term) JOIN norms USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scores WHERE score > 0) WHERE place <= 20
+"""
+
+ORACLES = {"op8_quality_rules": OP8, "op10_ngram_jaccard": OP10, "op12_prefix_trie": OP12, "op13_lexical_search": OP13}

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.llm import extraction, imatch, jaccard, mixing, packing, prefix_trie, quality_rules, sharding, token_counts, toxicity, warc
+from emberframe.llm import (
+    extraction, imatch, jaccard, lexical_search, mixing, packing, prefix_trie, quality_rules, sharding, token_counts, toxicity, warc)
 from emberframe.llm.common import read_table, stash
 
 CAPACITY = 2048
@@ -96,7 +97,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.share_heads(sequences))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), top=20)
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_best_fit_packing, op2_rendezvous_sharding, op3_trie_token_counts, op4_soft_mixing, op5_zstd_archives, op6_imatch,
-        op7_toxic_sentences, op8_quality_rules, op9_tree_extraction, op10_ngram_jaccard, op12_prefix_trie)}
+        op7_toxic_sentences, op8_quality_rules, op9_tree_extraction, op10_ngram_jaccard, op12_prefix_trie, op13_lexical_search)}
