@@ -53,6 +53,25 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, r.lowest AS compo
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS lowest FROM reach GROUP BY a) r USING (doc_id)
 """
 
+OP11 = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+parts AS (SELECT doc_id, p, substring(x, 2 * p + 1, 1400) AS part FROM (SELECT *, unnest(range(0, len(x) // 2 - 199, 500)) AS p FROM texts)),
+starts AS (SELECT *, unnest(range(0, least(500, len(part) // 2 - 199))) AS k FROM parts),
+windows AS (SELECT doc_id, p + k AS i, md5(substring(part, 2 * k + 1, 400)) AS h FROM starts),
+found AS (SELECT doc_id, i FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)),
+marked AS (SELECT *, i - lag(i) OVER w > 200 AS gap FROM found WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+numbered AS (SELECT *, count(*) FILTER (gap) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY ALL),
+edges AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS kept_from FROM runs),
+pieces AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS tail,
+         string_agg(substring(x, 2 * kept_from + 1, 2 * (a - kept_from)), '' ORDER BY a) AS kept
+  FROM edges JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, '') || substring(x, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM texts LEFT JOIN pieces USING (doc_id)
+"""
+
 # crc32 as a fold: a byte is XOR-ed in, then eight shifts (-1) follow.
 OP12 = """
 WITH turns AS (
@@ -100,4 +119,4 @@ SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scores WHERE score > 0) WHERE place <= 20
 """
 
-ORACLES = {"op8_quality_rules": OP8, "op10_ngram_jaccard": OP10, "op12_prefix_trie": OP12, "op13_lexical_search": OP13}
+ORACLES = {"op8_quality_rules": OP8, "op10_ngram_jaccard": OP10, "op11_suffix_dedup": OP11, "op12_prefix_trie": OP12, "op13_lexical_search": OP13}

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberframe.llm import (
-    extraction, imatch, jaccard, lexical_search, mixing, packing, prefix_trie, quality_rules, sharding, token_counts, toxicity, warc)
+    extraction, imatch, jaccard, lexical_search, mixing, packing, prefix_trie, quality_rules, sharding, suffix_dedup, token_counts,
+    toxicity, warc)
 from emberframe.llm.common import read_table, stash
 
 CAPACITY = 2048
@@ -92,6 +93,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     sequences = prefix_trie.turn_sequences(read_table(spark, sf_dir, "conversations"))
     return prefix_trie.prefix_trie(prefix_trie.share_heads(sequences))
@@ -105,4 +110,4 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_best_fit_packing, op2_rendezvous_sharding, op3_trie_token_counts, op4_soft_mixing, op5_zstd_archives, op6_imatch,
-        op7_toxic_sentences, op8_quality_rules, op9_tree_extraction, op10_ngram_jaccard, op12_prefix_trie, op13_lexical_search)}
+        op7_toxic_sentences, op8_quality_rules, op9_tree_extraction, op10_ngram_jaccard, op11_suffix_dedup, op12_prefix_trie, op13_lexical_search)}
