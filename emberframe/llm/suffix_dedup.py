@@ -311,7 +311,7 @@ def repeated_windows(texts: Texts) -> DataFrame:
     rows = named.count()
     if rows:
         bitmap = spark.sparkContext.broadcast(_bitmap(named.select("h"), rows))
-        now = named.drop("h", "span").join(_bodies(texts, bitmap), ["key", "place"])
+        now = stash(named.drop("h", "span").join(_bodies(texts, bitmap), ["key", "place"]), "bodies")
         width = _OFFSETS // 2
         while width:
             judged = _judged(_halved(now, width), f"round-{width}")
