@@ -264,15 +264,15 @@ def _judged(rows: DataFrame, label: str) -> DataFrame:
     spans = rows.groupBy("rank", "span").agg(F.sum("weight").alias("n"))
     spans = stash(spans, f"{label}-spans")
     ranks = spans.groupBy("rank").agg(F.sum("n").alias("total"), F.min("n").alias("least")).where("total > 1")
-    kept = spans.join(ranks.select("rank", (F.col("least") == 1).alias("mixed")), "rank")
-    return stash(rows.join(kept, ["rank", "span"]), label)
+    kept = spans.join(ranks.select("rank", (F.col("least") == 1).alias("mixed")), "rank").drop("rank")  # the span determines it
+    return stash(rows.join(kept, "span"), label)
 
 
 def _representatives(judged: DataFrame) -> DataFrame:
     """Of mixed ranks: spans that occur once, and one of each that occurs more often, of weight two."""
     mixed = judged.where("mixed")
     return mixed.where("n = 1").drop("n", "mixed").unionAll(
-        mixed.where("n > 1").dropDuplicates(["rank", "span"]).withColumn("weight", F.lit(2)).drop("n", "mixed"))
+        mixed.where("n > 1").dropDuplicates(["span"]).withColumn("weight", F.lit(2)).drop("n", "mixed"))
 
 
 def _cut(start: Column, length: Column) -> Column:
