@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 
 from emberframe.functions.numeric import unsigned
 from emberframe.functions.values import quoted
-from emberframe.operators.lookups import (
-    SHAPE_BOTH, SHAPE_INVALID, SHAPE_VALUES, deref, sample_shape,
-)
+from emberframe.operators.lookups import SHAPE_BOTH, SHAPE_INVALID, SHAPE_TIMESTAMPS, SHAPE_VALUES, deref
 from emberframe.schema import DICTIONARY_TABLES, PROFILE_ID, SAMPLE_ID
 from emberframe.session import stash
 from emberframe.tables import ProfileTables
@@ -132,15 +130,59 @@ def check_profiles(t: ProfileTables) -> DataFrame:
 # --- attribute lists ----------------------------------------------------------
 
 
-def bad_attribute_lists(t: ProfileTables) -> DataFrame:
+def sample_usage(t: ProfileTables) -> DataFrame:
+    """What samples refer to, from one scan and one shuffle, stored.
+
+    Rows are (payload_id, attribute_indices) for every distinct list, and
+    (payload_id, table_name, word, mask) with a bit for every stack and link in use.
+    """
+    bit = lambda table, c: F.struct(
+        F.lit(None).cast("array<int>").alias("attribute_indices"), F.lit(table).alias("table_name"),
+        *_word_and_bit(F.col(c).cast("bigint")))
+    attributes = F.struct(
+        F.col("attribute_indices"), F.lit("").alias("table_name"), F.lit(0).cast("bigint").alias("word"), F.lit(0).cast("bigint").alias("bit"))
+    used = t.samples.select("payload_id", F.inline(F.array(attributes, bit("stack", "stack_index"), bit("link", "link_index"))))
+    used = used.where("word >= 0 AND (table_name <> '' OR size(attribute_indices) > 0)")
+    return stash(used.groupBy("payload_id", "table_name", "attribute_indices", "word").agg(F.bit_or("bit").alias("mask")), "sample-usage")
+
+
+def attribute_lists(t: ProfileTables, usage: DataFrame) -> DataFrame:
+    """(payload_id, attribute_indices) of all owners; distinct per owner."""
+    owners = [df.select("payload_id", "attribute_indices").where(F.size("attribute_indices") > 0).distinct()
+              for df in (t.profiles, t.dict_mappings, t.dict_locations)]
+    return reduce(DataFrame.unionByName, owners, usage.where("table_name = ''").select("payload_id", "attribute_indices"))
+
+
+def _suspicious_lists(t: ProfileTables, lists: DataFrame) -> DataFrame:
+    """Lists with a bad index or a repeated key, by one look-up per list.
+
+    A payload's attributes become one array: at every index a number that is
+    equal for equal keys, or -1 where the key is out of range.  It has four bytes per
+    attribute, less than the message that holds them.  Only lists found here are
+    resolved element by element.
+    """
+    strings = t.dict_strings
+    again = strings.groupBy("payload_id", "value").agg(F.min("idx").alias("first"), F.count("*").alias("n")).where("n > 1")
+    same = strings.join(again.select("payload_id", "value", "first"), ["payload_id", "value"]).select(
+        "payload_id", F.col("idx").alias("key_strindex"), "first")
+    keys = _with_counts(t.dict_attributes.select("payload_id", "idx", "key_strindex"), t, "n_strings").join(
+        same, ["payload_id", "key_strindex"], "left")
+    number = F.when(_outside("key_strindex", "n_strings"), -1).otherwise(F.coalesce("first", "key_strindex"))
+    by_payload = keys.groupBy("payload_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("idx", number.alias("key")))), lambda x: x["key"]).alias("keys"))
+    known = _checked(t).select("payload_id").join(by_payload, "payload_id", "left").select(
+        "payload_id", F.coalesce("keys", F.array().cast("array<int>")).alias("keys"))
+    at = F.transform("attribute_indices", lambda i: F.when(i >= 0, F.coalesce(F.get("keys", i), F.lit(-1))).otherwise(-1))
+    return lists.join(known, "payload_id").select("payload_id", "attribute_indices", at.alias("at")).where(
+        F.array_contains("at", -1) | (F.size(F.array_distinct("at")) < F.size("at"))).drop("at").distinct()
+
+
+def bad_attribute_lists(t: ProfileTables, lists: DataFrame | None = None) -> DataFrame:
     """Findings per distinct attribute list of any owner: bad index, bad key index, repeated key.
 
     A bad element takes no part in the search for repeated keys.
     """
-    lists = reduce(DataFrame.unionByName, [
-        df.select("payload_id", "attribute_indices").where(F.size("attribute_indices") > 0)
-        for df in (t.profiles, t.samples, t.dict_mappings, t.dict_locations)
-    ]).distinct()
+    lists = _suspicious_lists(t, attribute_lists(t, sample_usage(t)) if lists is None else lists)
     elements = lists.select("payload_id", "attribute_indices", F.posexplode("attribute_indices").alias("pos", "idx"))
     keyed = deref(t.dict_attributes.select("payload_id", "idx", "key_strindex"), t.dict_strings, "key_strindex", "key")
     items = _with_counts(elements.join(keyed, ["payload_id", "idx"], "left"), t, "n_attributes", "n_strings")
@@ -165,6 +207,25 @@ def bad_attribute_lists(t: ProfileTables) -> DataFrame:
     return broken.unionByName(repeated)
 
 
+def _list_findings(df: DataFrame, bad: DataFrame, rule: str, table: str, prefix: Column) -> DataFrame:
+    """Findings of ``bad`` lists for the owners that have them."""
+    finding = _finding(rule, F.col("message"), prefix, F.col("sub"), pos=F.col("pos"))
+    return _shape(df.join(bad, ["payload_id", "attribute_indices"]).withColumn("_f", finding).drop("pos"), table)
+
+
+def _owners_of_bad_lists(t: ProfileTables, bad: DataFrame) -> DataFrame:
+    """Attribute-list findings of profiles, mappings and locations."""
+    dictionary = lambda name, idx: F.concat(F.lit(f"dictionary: {name}_table: "), _index(idx), F.lit(".attribute_indices: "))
+    entries = lambda df: df.selectExpr("payload_id", "idx AS entry_idx", "attribute_indices")
+    return reduce(DataFrame.unionByName, [
+        _list_findings(t.profiles.select(*PROFILE_ID, "attribute_indices"), bad, "R4", "profile",
+                       F.concat(_profile_path(), F.lit(": attribute_indices: "))),
+        _list_findings(entries(t.dict_mappings.where("idx >= 1")), bad, "R22", "mapping_table",
+                       dictionary("mapping", F.col("entry_idx") - 1)),
+        _list_findings(entries(t.dict_locations), bad, "R25", "location_table", dictionary("location", "entry_idx")),
+    ])
+
+
 def check_duplicate_keys(t: ProfileTables) -> DataFrame:
     """Attribute-list findings of profiles, samples, mappings and locations.
 
@@ -172,91 +233,128 @@ def check_duplicate_keys(t: ProfileTables) -> DataFrame:
     with its own bad lists only.
     """
     bad = stash(bad_attribute_lists(t), "bad-attribute-lists")
+    samples = t.samples.select(*SAMPLE_ID, "attribute_indices")
+    prefix = F.concat(_sample_path(), F.lit(": attribute_indices: "))
+    return _list_findings(samples, bad, "R8", "sample", prefix).unionByName(_owners_of_bad_lists(t, bad))
 
-    def owners(df: DataFrame, rule: str, table: str, prefix: Column) -> DataFrame:
-        hit = df.join(bad, ["payload_id", "attribute_indices"])
-        finding = _finding(rule, F.col("message"), prefix, F.col("sub"), pos=F.col("pos"))
-        return _shape(hit.withColumn("_f", finding).drop("pos"), table)
 
-    dictionary = lambda name, idx: F.concat(F.lit(f"dictionary: {name}_table: "), _index(idx), F.lit(".attribute_indices: "))
-    entries = lambda df: df.selectExpr("payload_id", "idx AS entry_idx", "attribute_indices")
-    parts = [
-        owners(t.profiles.select(*PROFILE_ID, "attribute_indices"), "R4", "profile",
-               F.concat(_profile_path(), F.lit(": attribute_indices: "))),
-        owners(t.samples.select(*SAMPLE_ID, "attribute_indices"), "R8", "sample",
-               F.concat(_sample_path(), F.lit(": attribute_indices: "))),
-        owners(entries(t.dict_mappings.where("idx >= 1")), "R22", "mapping_table",
-               dictionary("mapping", F.col("entry_idx") - 1)),
-        owners(entries(t.dict_locations), "R25", "location_table", dictionary("location", "entry_idx")),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+# --- samples -------------------------------------------------------------------
 
+_SHAPES = (SHAPE_BOTH, SHAPE_VALUES, SHAPE_TIMESTAMPS, SHAPE_INVALID)
+_INDEX_RULES, _TIME_RULES, _SHAPE_RULES = ("R7", "R9"), ("R10",), ("R11", "R12", "R13", "R14")
+SAMPLE_RULES = (*_INDEX_RULES, *_TIME_RULES, *_SHAPE_RULES)
 
-# --- samples -------------------------------------------------------------------
 
+def _shape_code() -> Column:
+    """The position of the sample's shape in ``_SHAPES``."""
+    has_values, has_ts = F.size("values") > 0, F.size("timestamps") > 0
+    return F.when(has_values & has_ts, 0).when(has_values, 1).when(has_ts, 2).otherwise(3)
 
-def check_stack_index(t: ProfileTables) -> DataFrame:
-    """Stack and link indexes of samples.
 
-    Extremes per payload decide which payloads have a bad index at all; only
-    their samples are joined with the table lengths.
+def _wrong_lengths() -> Column:
+    n_values, n_ts = F.size("values"), F.size("timestamps")
+    return F.when(n_ts > 0, (n_values > 0) & (n_values != n_ts)).otherwise(n_values != 1)
+
+
+def _profile_faults(t: ProfileTables, rules: tuple[str, ...], bad_lists: DataFrame | None) -> DataFrame:
+    """Profiles with a sample that breaks a rule, and what is needed to name it; from one aggregate over all samples.
+
+    All samples of payloads with bad attribute lists are read again as well.
+    """
+    samples = t.samples
+    code = _shape_code()
+    wanted: dict[str, Column] = {}
+    if "R7" in rules:
+        wanted |= {n: f(c) for c, lo, hi in (("stack_index", "s0", "s1"), ("link_index", "l0", "l1")) for n, f in ((lo, F.min), (hi, F.max))}
+    if "R10" in rules:
+        wanted |= {"t0": F.min(F.array_min("timestamps")), "t1": F.max(F.array_max("timestamps"))}
+    if "R14" in rules:
+        wanted |= {"lo": F.min(code), "hi": F.max(code), "first": F.min(F.col("s_idx").cast("bigint") * 4 + code),
+                   "uneven": F.max(F.when(_wrong_lengths(), 1).otherwise(0))}
+    facts = samples.groupBy(*PROFILE_ID).agg(*[c.alias(n) for n, c in wanted.items()])
+    start = unsigned(F.col("time_unix_nano"))
+    span = t.profiles.select(*PROFILE_ID, start.alias("start_ns"), (start + unsigned(F.col("duration_nano"))).alias("end_ns"))
+    facts = _with_counts(facts, t, "n_stacks", "n_links").join(span, PROFILE_ID, "left")
+    faults = [F.lit(False)]
+    if "R7" in rules:
+        faults += [_outside("s0", "n_stacks"), _outside("s1", "n_stacks"), _outside("l0", "n_links"), _outside("l1", "n_links")]
+    if "R10" in rules:
+        # Negative extremes stand for times of 2^63 and more; such profiles are read in full, as failing ones are.
+        faults += [(F.col("t0") < 0) | (F.col("t0") < F.col("start_ns")) | (F.col("t1") >= F.col("end_ns"))]
+    if "R14" in rules:
+        faults += [F.col("lo") != F.col("hi"), F.col("uneven") == 1]
+    if bad_lists is not None:
+        marked = bad_lists.select("payload_id").distinct().withColumn("listed", F.lit(True))
+        facts = facts.join(marked, "payload_id", "left")
+        faults.append(F.coalesce("listed", F.lit(False)))
+    failing = reduce(lambda x, y: x | y, [F.coalesce(f, F.lit(False)) for f in faults])
+    expected = (F.col("first") % 4).cast("int") if "R14" in rules else F.lit(None).cast("int")
+    return facts.where(failing).select(*PROFILE_ID, "n_stacks", "n_links", "start_ns", "end_ns", expected.alias("expected"))
+
+
+def sample_findings(t: ProfileTables, rules: tuple[str, ...] = SAMPLE_RULES, bad_lists: DataFrame | None = None) -> DataFrame:
+    """Findings of the sample rules, and of ``bad_lists`` if given (R8).
+
+    Samples are read twice: by one aggregate per profile, and the samples of
+    failing profiles to name what is wrong in them.
     """
-    extremes = t.samples.groupBy("payload_id").agg(
-        F.min("stack_index").alias("s0"), F.max("stack_index").alias("s1"),
-        F.min("link_index").alias("l0"), F.max("link_index").alias("l1"))
-    bad = _with_counts(extremes, t, "n_stacks", "n_links").where(
-        _outside("s0", "n_stacks") | _outside("s1", "n_stacks") | _outside("l0", "n_links") | _outside("l1", "n_links")
-    ).select("payload_id", "n_stacks", "n_links")
-    rows = t.samples.select(*SAMPLE_ID, "stack_index", "link_index").join(bad, "payload_id")
-    check = lambda rule, field, n: (
+    faults = stash(_profile_faults(t, rules, bad_lists), "profile-faults")
+    rows = t.samples.join(faults, PROFILE_ID)
+    if bad_lists is not None:
+        found = F.struct(F.col("pos").cast("int").alias("pos"), "sub", "message")
+        by_list = bad_lists.groupBy("payload_id", "attribute_indices").agg(F.collect_list(found).alias("list_faults"))
+        rows = rows.join(by_list, ["payload_id", "attribute_indices"], "left")
+    else:
+        rows = rows.withColumn("list_faults", F.lit(None).cast("array<struct<pos:int,sub:string,message:string>>"))
+    n_values, n_ts, code = F.size("values"), F.size("timestamps"), _shape_code()
+    named = lambda c: F.element_at(F.array(*[F.lit(n) for n in _SHAPES]), c + 1)
+    index = lambda rule, field, n: (
         _outside(field, n), _finding(rule, _range_message(field, n), _sample_path(), f": {field}"))
-    return _emit(rows, "sample", check("R7", "stack_index", "n_stacks"), check("R9", "link_index", "n_links"))
+    checks = {
+        "R7": index("R7", "stack_index", "n_stacks"),
+        "R9": index("R9", "link_index", "n_links"),
+        "R11": ((code == 0) & (n_values != n_ts), _finding("R11", F.concat(
+            F.lit("values (len="), _s(n_values), F.lit(") and timestamps_unix_nano (len="), _s(n_ts),
+            F.lit(") must contain the same number of elements")), _sample_path())),
+        "R12": ((code == 1) & (n_values != 1), _finding("R12", F.concat(
+            F.lit("values (len="), _s(n_values),
+            F.lit(") must contain a single element if timestamps_unix_nano is not set")), _sample_path())),
+        "R13": (code == 3, _finding(
+            "R13", F.lit("sample must have at least one values or timestamps_unix_nano entry"), _sample_path())),
+        "R14": (code != F.col("expected"), _finding("R14", F.concat(
+            F.lit("sample shape "), named(code), F.lit(" does not match expected sample shape "), named(F.col("expected"))),
+            _sample_path())),
+    }
+    single = F.filter(F.array(*[F.when(c, f) for r, (c, f) in checks.items() if r in rules] or [F.lit(None)]), lambda x: x.isNotNull())
+    parts = [single] if set(rules) & set(checks) else []
+    if "R10" in rules:
+        def outside(ts: Column, i: Column) -> Column:
+            ts = unsigned(ts)
+            message = F.concat(
+                F.lit("timestamps_unix_nano["), _s(i), F.lit("]="), _s(ts), F.lit(" is outside profile time range ["),
+                _s("start_ns"), F.lit(", "), _s("end_ns"), F.lit(")"))
+            return F.when((ts < F.col("start_ns")) | (ts >= F.col("end_ns")), _finding("R10", message, _sample_path(), pos=i))
+
+        parts.append(F.filter(F.transform(F.coalesce("timestamps", F.array().cast("array<bigint>")), outside), lambda x: x.isNotNull()))
+    if bad_lists is not None:
+        parts.append(F.transform(F.coalesce("list_faults", F.array().cast("array<struct<pos:int,sub:string,message:string>>")), lambda x: _finding(
+            "R8", x["message"], _sample_path(), ": attribute_indices: ", x["sub"], pos=x["pos"])))
+    return _shape(rows.select(*SAMPLE_ID, F.explode(F.concat(*parts)).alias("_f")), "sample")
+
+
+def check_stack_index(t: ProfileTables) -> DataFrame:
+    """Stack and link indexes of samples."""
+    return sample_findings(t, _INDEX_RULES)
 
 
 def check_timestamps(t: ProfileTables) -> DataFrame:
     """Timestamps outside [start, start + duration) of their profile, one finding per element."""
-    extremes = t.samples.where(F.size("timestamps") > 0).groupBy(*PROFILE_ID).agg(
-        F.min(F.array_min("timestamps")).alias("t0"), F.max(F.array_max("timestamps")).alias("t1"))
-    start = unsigned(F.col("time_unix_nano"))
-    span = t.profiles.select(*PROFILE_ID, start.alias("start_ns"), (start + unsigned(F.col("duration_nano"))).alias("end_ns"))
-    # Negative extremes stand for times of 2^63 and more; such profiles are read in full, as failing ones are.
-    bad = extremes.join(span, PROFILE_ID).where("t0 < 0 OR t0 < start_ns OR t1 >= end_ns").drop("t0", "t1")
-    rows = (
-        t.samples.select(*SAMPLE_ID, "timestamps").join(bad, PROFILE_ID)
-        .select(*SAMPLE_ID, "start_ns", "end_ns", F.posexplode("timestamps").alias("i", "ts"))
-        .withColumn("ts", unsigned(F.col("ts"))).where("ts < start_ns OR ts >= end_ns")
-    )
-    message = F.concat(
-        F.lit("timestamps_unix_nano["), _s("i"), F.lit("]="), _s("ts"), F.lit(" is outside profile time range ["),
-        _s("start_ns"), F.lit(", "), _s("end_ns"), F.lit(")"),
-    )
-    return _shape(rows.withColumn("_f", _finding("R10", message, _sample_path(), pos=F.col("i"))), "sample")
+    return sample_findings(t, _TIME_RULES)
 
 
 def check_sample_shapes(t: ProfileTables) -> DataFrame:
     """Length rules per sample and agreement with the profile's first sample."""
-    rows = t.samples.select(
-        *SAMPLE_ID, sample_shape().alias("shape"), F.size("values").alias("n_values"), F.size("timestamps").alias("n_ts"))
-    shape = F.col("shape")
-    lengths = _emit(
-        rows, "sample",
-        ((shape == SHAPE_BOTH) & (F.col("n_values") != F.col("n_ts")), _finding("R11", F.concat(
-            F.lit("values (len="), _s("n_values"), F.lit(") and timestamps_unix_nano (len="), _s("n_ts"),
-            F.lit(") must contain the same number of elements")), _sample_path())),
-        ((shape == SHAPE_VALUES) & (F.col("n_values") != 1), _finding("R12", F.concat(
-            F.lit("values (len="), _s("n_values"),
-            F.lit(") must contain a single element if timestamps_unix_nano is not set")), _sample_path())),
-        (shape == SHAPE_INVALID, _finding(
-            "R13", F.lit("sample must have at least one values or timestamps_unix_nano entry"), _sample_path())),
-    )
-    expected = rows.groupBy(*PROFILE_ID).agg(
-        F.min_by("shape", "s_idx").alias("expected"), F.min("shape").alias("lo"), F.max("shape").alias("hi")
-    ).where("lo <> hi").drop("lo", "hi")
-    differing = rows.join(expected, PROFILE_ID)
-    mismatch = _emit(differing, "sample", (shape != F.col("expected"), _finding("R14", F.concat(
-        F.lit("sample shape "), shape, F.lit(" does not match expected sample shape "), F.col("expected")),
-        _sample_path())))
-    return lengths.unionByName(mismatch)
+    return sample_findings(t, _SHAPE_RULES)
 
 
 # --- dictionary ------------------------------------------------------------------
@@ -411,51 +509,75 @@ _ORPHAN_RULES = {
 }
 
 
-def references(t: ProfileTables) -> DataFrame:
-    """Distinct (payload_id, table_name, idx) that some row refers to.
+def _word_and_bit(idx: Column) -> tuple[Column, Column]:
+    """Which 64-bit word of a table's bitmap has the bit of ``idx``, and that bit."""
+    return (F.shiftright(idx, 6).alias("word"),
+            F.call_function("shiftleft", F.lit(1).cast("bigint"), idx.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
 
-    Strings referred to by attribute values or resource attributes do not count,
-    and a reference from an entry that is itself an orphan does.
-    """
-    one = lambda df, table, *cs: df.select(
-        "payload_id", F.lit(table).alias("table_name"), F.explode(F.array(*[F.col(c) for c in cs])).alias("idx"))
-    many = lambda df, table, c: df.select("payload_id", F.lit(table).alias("table_name"), F.explode(c).alias("idx"))
-    parts = [
-        one(t.profiles, "string", "sample_type.type_strindex", "sample_type.unit_strindex",
-            "period_type.type_strindex", "period_type.unit_strindex"),
-        one(t.dict_mappings, "string", "filename_strindex"),
-        one(t.dict_functions, "string", "name_strindex", "system_name_strindex", "filename_strindex"),
-        one(t.dict_attributes, "string", "key_strindex", "unit_strindex"),
-        many(t.profiles, "attribute", "attribute_indices"),
-        many(t.samples.select("payload_id", "attribute_indices").distinct(), "attribute", "attribute_indices"),
-        many(t.dict_locations, "attribute", "attribute_indices"),
-        many(t.dict_mappings, "attribute", "attribute_indices"),
-        one(t.dict_locations, "mapping", "mapping_index"),
-        many(t.dict_locations, "function", "lines.function_index"),
-        many(t.dict_stacks, "location", "location_indices"),
-        one(t.samples, "stack", "stack_index"),
-        one(t.samples, "link", "link_index"),
-    ]
-    return reduce(DataFrame.unionByName, parts).where("idx IS NOT NULL").distinct()
 
+def reference_bitmaps(t: ProfileTables, usage: DataFrame, lists: DataFrame) -> DataFrame:
+    """(payload_id, table_name, word, mask): bit i of word w is set if some row refers to entry 64 w + i.
 
-def check_orphans(t: ProfileTables) -> DataFrame:
-    """Dictionary entries that nothing refers to; entry 0 is always in use."""
-    frames = {
-        "string": t.dict_strings, "attribute": t.dict_attributes, "mapping": t.dict_mappings,
-        "function": t.dict_functions, "location": t.dict_locations, "stack": t.dict_stacks, "link": t.dict_links,
-    }
-    entries = reduce(DataFrame.unionByName, [
-        df.where("idx > 0").select(
-            "payload_id", F.lit(name).alias("table_name"), "idx", F.lit(_ORPHAN_RULES[name]).alias("rule"))
-        for name, df in frames.items()
-    ])
-    orphans = entries.join(references(t), ["payload_id", "table_name", "idx"], "left_anti").join(
-        _checked(t), "payload_id", "left_semi")
+    Every table is read once and its references become bits at once; ``bit_or``
+    has partial aggregation, so a table's references shrink to a bit per entry
+    before they are shuffled.  Strings referred to by attribute values or resource
+    attributes do not count, and a reference from an entry that is itself an
+    orphan does.
+    """
+    def bits(df: DataFrame, **tables: Column) -> DataFrame:
+        each = F.inline(F.array(*[F.struct(F.lit(n).alias("table_name"), c.cast("array<bigint>").alias("idxs")) for n, c in tables.items()]))
+        found = df.select("payload_id", each).select("payload_id", "table_name", F.explode("idxs").alias("idx"))
+        return found.where("idx >= 0").select("payload_id", "table_name", *_word_and_bit(F.col("idx")))
+
+    columns = lambda *cs: F.array(*[F.col(c) for c in cs])
+    many = [
+        bits(t.profiles, string=columns("sample_type.type_strindex", "sample_type.unit_strindex",
+                                        "period_type.type_strindex", "period_type.unit_strindex")),
+        bits(t.dict_mappings, string=columns("filename_strindex")),
+        bits(t.dict_functions, string=columns("name_strindex", "system_name_strindex", "filename_strindex")),
+        bits(t.dict_attributes, string=columns("key_strindex", "unit_strindex")),
+        bits(t.dict_locations, mapping=columns("mapping_index"), function=F.col("lines.function_index")),
+        bits(t.dict_stacks, location=F.col("location_indices")),
+        bits(lists, attribute=F.col("attribute_indices")),
+        usage.where("table_name <> ''").select("payload_id", "table_name", "word", F.col("mask").alias("bit")),
+    ]
+    return reduce(DataFrame.unionByName, many).groupBy("payload_id", "table_name", "word").agg(F.bit_or("bit").alias("mask"))
+
+
+def _table_bitmaps(t: ProfileTables) -> DataFrame:
+    """As ``reference_bitmaps``, with a bit for every entry but the first, from the tables' lengths alone."""
+    tables = F.inline(F.array(*[
+        F.struct(F.lit(n).alias("table_name"), F.col(f"n_{n}s").cast("bigint").alias("n")) for n in _ORPHAN_RULES]))
+    lengths = _checked(t).select("payload_id", tables).where("n > 1")
+    # In two steps, so that a large table is no long array.
+    blocks = lengths.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.shiftright(F.col("n") - 1, 18))).alias("block"))
+    last = F.least(F.shiftright(F.col("n") - 1, 6), F.col("block") * 4096 + 4095)
+    words = blocks.select("payload_id", "table_name", "n", F.explode(F.sequence(F.col("block") * 4096, last)).alias("word"))
+    used = F.least(F.col("n") - F.col("word") * 64, F.lit(64))
+    ones = F.lit(-1).cast("bigint")
+    mask = F.when(used == 64, ones).otherwise(F.bitwise_not(F.call_function("shiftleft", ones, used.cast("int"))))
+    first = F.when(F.col("word") == 0, F.lit(-2).cast("bigint")).otherwise(ones)
+    return words.select("payload_id", "table_name", "word", mask.bitwiseAND(first).alias("entries"))
+
+
+def check_orphans(t: ProfileTables, usage: DataFrame | None = None, lists: DataFrame | None = None) -> DataFrame:
+    """Dictionary entries that nothing refers to; entry 0 is always in use.
+
+    The bitmap of a table's entries without the bits of its references: an
+    entry is a row again only if it is an orphan.
+    """
+    usage = sample_usage(t) if usage is None else usage
+    lists = attribute_lists(t, usage) if lists is None else lists
+    both = _table_bitmaps(t).join(reference_bitmaps(t, usage, lists), ["payload_id", "table_name", "word"], "left")
+    left = F.col("entries").bitwiseAND(F.bitwise_not(F.coalesce("mask", F.lit(0).cast("bigint"))))
+    found = both.select("payload_id", "table_name", "word", left.alias("left")).where("left <> 0")
+    places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit(F.col("left"), b) == 1)
+    orphans = found.select("payload_id", "table_name", F.explode(F.transform(places, lambda b: F.col("word") * 64 + b)).alias("idx"))
+    rule = F.create_map(*[F.lit(x) for pair in _ORPHAN_RULES.items() for x in pair])[F.col("table_name")]
     blank = F.lit(None).cast("int")
     return orphans.select(
-        "payload_id", "rule", F.concat("table_name", F.lit("_table")).alias("table_name"),
-        *[(F.col("idx") if c == "entry_idx" else blank).alias(c) for c in _ORDINALS],
+        "payload_id", rule.alias("rule"), F.concat("table_name", F.lit("_table")).alias("table_name"),
+        *[(F.col("idx").cast("int") if c == "entry_idx" else blank).alias(c) for c in _ORDINALS],
         F.concat(F.lit("dictionary: "), F.col("table_name"), F.lit("_table")).alias("path"),
         F.concat(F.lit("unreferenced entry at index "), _s("idx")).alias("message"),
     )
@@ -464,17 +586,24 @@ def check_orphans(t: ProfileTables) -> DataFrame:
 def check_all(
     t: ProfileTables, duplicates: bool = True, sample_shapes: bool = True, orphans: bool = True
 ) -> DataFrame:
-    """All findings as one frame; the three flags switch the optional rule groups."""
+    """All findings as one frame; the three flags switch the optional rule groups.
+
+    Scans are shared between the rules: samples are read three times, for what
+    they refer to, for one aggregate per profile, and (failing profiles only) for
+    the findings.
+    """
+    usage = sample_usage(t)
+    lists = attribute_lists(t, usage)
+    bad = stash(bad_attribute_lists(t, lists), "bad-attribute-lists")
+    rules = SAMPLE_RULES if sample_shapes else (*_INDEX_RULES, *_TIME_RULES)
     parts = [
-        check_tree(t), check_profiles(t), check_duplicate_keys(t), check_stack_index(t), check_timestamps(t),
+        check_tree(t), check_profiles(t), sample_findings(t, rules, bad), _owners_of_bad_lists(t, bad),
         check_zero_entries(t), check_dictionary_indexes(t),
     ]
-    if sample_shapes:
-        parts.append(check_sample_shapes(t))
     if duplicates:
         parts += [check_duplicate_strings(t), check_duplicate_mappings(t)]
     if orphans:
-        parts.append(check_orphans(t))
+        parts.append(check_orphans(t, usage, lists))
     return reduce(DataFrame.unionByName, parts)
 
 

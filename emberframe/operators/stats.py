@@ -108,28 +108,43 @@ def payload_time_span(t: ProfileTables) -> DataFrame:
         "payload_id", "start_ts", "end_ts", ((F.col("end_ts") - F.col("start_ts")) / F.lit(1e9)).alias("duration_sec"))
 
 
-def host_ids(t: ProfileTables, host_key: str = "host.name") -> DataFrame:
-    """Hosts numbered 1.. by the first payload that names them; payloads without a host get 0.
-
-    A payload's host is its first non-empty ``host_key`` attribute in tree order.
-    """
+def payload_hosts(t: ProfileTables, host_key: str = "host.name") -> DataFrame:
+    """(payload_id, host): a payload's first non-empty ``host_key`` attribute in tree order."""
     named = resolved_resource_attributes(t).where((F.col("key") == host_key) & (F.col("text") != ""))
-    hosts = named.groupBy("payload_id").agg(F.min_by("text", F.struct("rp_idx", "pos")).alias("host"))
+    return named.groupBy("payload_id").agg(F.min_by("text", F.struct("rp_idx", "pos")).alias("host"))
+
+
+def numbered_hosts(t: ProfileTables, hosts: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(host, host_id) by the first payload that names a host; hosts in ``known`` keep their ids, new ones follow the largest."""
     placed = hosts.join(t.payloads.select("payload_id", "position"), "payload_id")
     first = placed.groupBy("host").agg(F.min("position").alias("first_payload"))
-    numbered = grouped_ordinal(first, [], ["first_payload"], "host_id", start=1).select("host", "host_id")
-    known = hosts.join(numbered, "host")
-    return t.payloads.select("payload_id").join(known, "payload_id", "left").select(
+    if known is None:
+        return grouped_ordinal(first, [], ["first_payload"], "host_id", start=1).select("host", F.col("host_id").cast("bigint").alias("host_id"))
+    known = known.select("host", F.col("host_id").cast("bigint").alias("host_id"))
+    last = known.agg(F.coalesce(F.max("host_id"), F.lit(0))).first()[0]
+    # Numbered from 0 and moved up as longs.
+    fresh = grouped_ordinal(first.join(known, "host", "left_anti"), [], ["first_payload"], "host_id")
+    return known.unionByName(fresh.select("host", (F.col("host_id") + F.lit(last).cast("bigint") + 1).alias("host_id")))
+
+
+def host_ids(t: ProfileTables, host_key: str = "host.name", known: DataFrame | None = None) -> DataFrame:
+    """Hosts numbered 1.. by the first payload that names them; payloads without a host get 0.
+
+    ``known`` (host, host_id) are hosts of earlier payloads, which keep their ids.
+    """
+    hosts = payload_hosts(t, host_key)
+    numbered = hosts.join(numbered_hosts(t, hosts, known), "host")
+    return t.payloads.select("payload_id").join(numbered, "payload_id", "left").select(
         "payload_id", F.coalesce("host", F.lit("")).alias("host"),
         F.coalesce("host_id", F.lit(0)).cast("bigint").alias("host_id"),
     )
 
 
-def payload_stats(t: ProfileTables, host_key: str = "host.name") -> DataFrame:
+def payload_stats(t: ProfileTables, host_key: str = "host.name", known_hosts: DataFrame | None = None) -> DataFrame:
     """The 86-column statistics row per payload; ``id`` is its position in path order."""
     parts = [
         payload_tree_counts(t), payload_dict_counts(t), payload_string_bytes(t), message_bytes(t),
-        payload_time_span(t), language_fractions(t), symbol_fractions(t), host_ids(t, host_key).drop("host"),
+        payload_time_span(t), language_fractions(t), symbol_fractions(t), host_ids(t, host_key, known_hosts).drop("host"),
     ]
     row = t.payloads.select("payload_id", "position", "n_bytes")
     for part in parts:

@@ -464,6 +464,82 @@ for _name, _source in {
 oracle("check_all", " UNION ALL ".join(f"SELECT * FROM {c}" for c in (
     "c_tree", "c_stack", "c_ts", "c_keys", "c_shape", "c_dict", "c_dupstr", "c_dupmap", "c_orphan")))
 
+# Payloads with faults: their lengths before and after, and what is found besides.
+cte("fa", """
+SELECT payload_id, dict_strings_count + 1 AS ns, dict_mappings_count AS m0, dict_locations_count AS l0, dict_functions_count AS f0,
+  dict_attributes_count AS a0, dict_stacks_count AS k0, r AS rp_idx
+FROM dcount JOIN (SELECT payload_id, count(*) AS r FROM rps GROUP BY 1) x USING (payload_id) WHERE payload_id % 3 = 0""")
+cte("fz", "SELECT payload_id FROM pl WHERE payload_id % 5 = 1")
+_range = lambda idx, n: f"'index ' || ({idx}) || ' is out of range [0..' || ({n}) || ')'"
+_fp = {"rp_idx": "rp_idx", "sp_idx": "1", "p_idx": "0"}
+_fpath = "'resource_profiles[' || rp_idx || ']: scope_profiles[1]: profile[0]'"
+
+
+def _of_sample(rule: str, s_idx: int, field: str, message: str, pos: str = "NULL") -> str:
+    return finding(rule, "sample", "fa", f"{_fpath} || ': sample[{s_idx}]{field}'", message, s_idx=str(s_idx), pos=pos, **_fp)
+
+
+def _of_entry(rule: str, table: str, at: str, field: str, message: str, pos: str = "NULL", shown: str = "") -> str:
+    return finding(rule, f"{table}_table", "fa", f"'dictionary: {table}_table: [' || ({shown or at}) || ']{field}'", message, entry_idx=at, pos=pos)
+
+
+def _spare(rule: str, table: str, at: str, where: str = "TRUE") -> str:
+    return finding(rule, f"{table}_table", "fa", f"'dictionary: {table}_table'", f"'unreferenced entry at index ' || ({at})", where, entry_idx=at)
+
+
+def _zero(rule: str, table: str, message: str) -> str:
+    return finding(rule, f"{table}_table", "fz", f"'dictionary: {table}_table'", message, entry_idx="0")
+
+
+def _zero_value(rule: str, table: str, got: str) -> str:
+    return _zero(rule, table, f"'must have zero value at index 0, got {got}'")
+
+
+_shape_differs = lambda got: f"'sample shape {got} does not match expected sample shape values_only'"
+_FAULTS = [
+    finding("R1", "payload", "(SELECT payload_id + 1000000000 AS payload_id FROM pl WHERE payload_id % 4 = 0) x", "''",
+            "'resource profiles are empty'"),
+    finding("R2", "resource_profiles", "fa", "'resource_profiles[' || (rp_idx + 1) || ']'", "'resource profiles has no scope profiles'",
+            rp_idx="rp_idx + 1"),
+    finding("R3", "scope_profiles", "fa", "'resource_profiles[' || rp_idx || ']: scope_profiles[0]'", "'scope profiles has no profiles'",
+            rp_idx="rp_idx", sp_idx="0"),
+    finding("R4", "profile", "fa", f"{_fpath} || ': attribute_indices: [0]'", _range("a0 + 7", "a0 + 2"), pos="0", **_fp),
+    finding("R5", "profile", "fa", f"{_fpath} || ': sample_type: type_strindex'", _range("ns + 5", "ns"), **_fp),
+    finding("R6", "profile", "fa", f"{_fpath} || ': period_type: unit_strindex'", _range("-1", "ns"), **_fp),
+    _of_sample("R7", 0, ": stack_index", _range("k0 + 9", "k0 + 1")),
+    _of_sample("R8", 0, ": attribute_indices: [0]", _range("a0 + 7", "a0 + 2"), "0"),
+    _of_sample("R8", 1, ": attribute_indices: [0].key_strindex", _range("ns + 3", "ns"), "0"),
+    _of_sample("R9", 0, ": link_index", _range("-3", "4")),
+    _of_sample("R10", 3, "", "'timestamps_unix_nano[0]=5 is outside profile time range [0, 0)'", "0"),
+    _of_sample("R12", 1, "", "'values (len=2) must contain a single element if timestamps_unix_nano is not set'"),
+    _of_sample("R13", 2, "", "'sample must have at least one values or timestamps_unix_nano entry'"),
+    _of_sample("R14", 2, "", _shape_differs("unspecified")), _of_sample("R14", 3, "", _shape_differs("timestamps_only")),
+    _zero_value("R15", "mapping", '{"memory_start":0,"memory_limit":7,"file_offset":0,"filename_strindex":0,"attribute_indices":[]}'),
+    _zero_value("R16", "location", '{"mapping_index":0,"address":5,"lines":[],"attribute_indices":[]}'),
+    _zero_value("R17", "function", '{"name_strindex":0,"system_name_strindex":0,"filename_strindex":0,"start_line":5}'),
+    _zero_value("R18", "link", '{"span_id":"zQ=="}'), _zero_value("R19", "stack", '{"location_indices":[0]}'),
+    _zero("R20", "attribute", "'first attribute must have zero key/unit indices, got KeyStrindex=0, UnitStrindex=1'"),
+    _zero("R21", "string", "'must have empty string at index 0, got \"zero\"'"),
+    _of_entry("R22", "mapping", "m0", ".filename_strindex", _range("-4", "ns"), shown="m0 - 1"),
+    _of_entry("R25", "location", "l0", ".mapping_index", _range("m0 + 3", "m0 + 1")),
+    _of_entry("R26", "location", "l0", ".line[0]: function_index", _range("f0 + 2", "f0 + 1"), "0"),
+    _of_entry("R26", "location", "l0", ".line[0]: line", "'-7 < 0, must be non-negative'", "0"),
+    _of_entry("R26", "location", "l0", ".line[0]: column", "'-8 < 0, must be non-negative'", "0"),
+    _of_entry("R27", "function", "f0", ".name_strindex", _range("ns + 1", "ns")),
+    _of_entry("R27", "function", "f0", ".system_name_strindex", _range("-1", "ns")),
+    _of_entry("R27", "function", "f0", ".start_line", "'-9 < 0, must be non-negative'"),
+    finding("R28", "link_table", "fa", "'dictionary: link_table'", "'len([1].trace_id) == 3, want 16'", entry_idx="2"),
+    _of_entry("R30", "attribute", "a0", ".key_strindex", _range("ns + 3", "ns")),
+    _of_entry("R30", "attribute", "a0", ".unit_strindex", _range("-2", "ns")),
+    _of_entry("R31", "stack", "k0", ".location_indices[1]", _range("l0 + 5", "l0 + 1"), "1"),
+    _spare("R32", "string", "ns - 1"), _spare("R33", "attribute", "a0 + 1"), _spare("R34", "mapping", "m0"), _spare("R35", "function", "f0"),
+    _spare("R36", "location", "l0"), _spare("R37", "stack", "k0"),
+    _spare("R38", "link", "3"), _spare("R38", "link", "2", "payload_id NOT IN (SELECT payload_id FROM smp WHERE link_index = 2)"),
+]
+oracle("check_all_rules", " UNION ALL ".join([
+    *(f"SELECT * FROM {c}" for c in ("c_tree", "c_ts", "c_keys", "c_shape", "c_dict", "c_dupmap", "c_orphan")),
+    "SELECT * FROM c_stack WHERE payload_id % 3 <> 0", "SELECT * FROM c_dupstr WHERE payload_id % 5 <> 1", *_FAULTS]))
+
 # --- transforms ----------------------------------------------------------------------------------
 
 
@@ -672,6 +748,18 @@ SELECT printf('frames-%09d.bin', payload_id // 4) AS file,
   CAST(r AS INT) AS resources, '' AS error
 FROM files JOIN (SELECT payload_id, count(*) AS r FROM rps GROUP BY 1) x USING (payload_id)""")
 
+cte("allfound", " UNION ALL ".join(f"SELECT payload_id, rule FROM {c}" for c in (
+    "c_tree", "c_stack", "c_ts", "c_keys", "c_shape", "c_dict", "c_dupstr", "c_dupmap", "c_orphan")))
+cte("arrived", """
+SELECT payload_id, host, row_number() OVER (ORDER BY NOT (payload_id % 7 IN (1, 3) OR payload_id % 14 = 0), payload_id) AS id FROM hosts""")
+cte("arrived_hosts", """
+SELECT host, row_number() OVER (ORDER BY first_id) AS host_id FROM (SELECT host, min(id) AS first_id FROM arrived WHERE host <> '' GROUP BY host) x""")
+oracle("stream_ingest", """
+SELECT a.id, file, coalesce(h.host_id, 0) AS host_id, samples_count, dict_strings_count, coalesce(n, 0) AS findings, coalesce(r, 0) AS rules
+FROM arrived a JOIN files USING (payload_id) JOIN tree USING (payload_id) JOIN dcount USING (payload_id)
+LEFT JOIN arrived_hosts h ON h.host = a.host
+LEFT JOIN (SELECT payload_id, count(*) AS n, count(DISTINCT rule) AS r FROM allfound GROUP BY 1) f USING (payload_id)""")
+
 # --- process contexts and windows ----------------------------------------------------------------
 
 cte("snap", """

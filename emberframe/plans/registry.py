@@ -14,9 +14,11 @@ from emberframe.session import configure, new_path, stash
 from emberframe.sources import listing as listings
 from emberframe.sources import payloads, stats_csv
 from emberframe.sources.encoder import encode
+from emberframe.sources.faults import with_faults
 from emberframe.sources.snapshots import event_snapshots
 from emberframe.sources.view import profile_view
 from emberframe.streaming import windows
+from emberframe.streaming.ingest import ingest
 from emberframe.tables import ProfileTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +99,14 @@ for _name in (
 ):
     on_view(_name, getattr(conformance, _name))
 
+
+@query("check_all_rules")
+def _check_all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checker over payloads that break every rule."""
+    broken = once(spark, sf_dir, "faults", lambda: with_faults(profile_view(spark, sf_dir)).stored("faults"))
+    return conformance.check_all(broken)
+
+
 # --- transforms and sizes ----------------------------------------------------------
 
 
@@ -321,6 +331,29 @@ def _file_name(c: str) -> Column:
     return F.element_at(F.split(c, "/"), -1)
 
 
+#: Payloads that arrive first: some hosts are only theirs, one is in both parts, the others are new later.
+ARRIVES_FIRST = "payload_id % 7 IN (1, 3) OR payload_id % 14 = 0"
+
+
+@query("stream_ingest")
+def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that arrive in two parts, with a restart in between: numbers, hosts and findings of all."""
+
+    def build() -> str:
+        path, out, checkpoint = (new_path(spark, n) for n in ("arriving", "ingested", "ingest-checkpoint"))
+        for part in (ARRIVES_FIRST, f"NOT ({ARRIVES_FIRST})"):
+            messages = _view_messages(spark, sf_dir).where(part)
+            payloads.write_payload_files(messages, path).write.format("noop").mode("overwrite").save()
+            ingest(spark, path, out, checkpoint).awaitTermination()
+        return out
+
+    out = once(spark, sf_dir, "ingested", build)
+    findings = spark.read.parquet(f"{out}/findings").groupBy("id").agg(
+        F.count("*").alias("findings"), F.count_distinct("rule").alias("rules"))
+    rows = spark.read.parquet(f"{out}/stats").select("id", _file_name("file").alias("file"), "host_id", "samples_count", "dict_strings_count")
+    return rows.join(findings, "id", "left").fillna(0, ["findings", "rules"])
+
+
 @query("src_payload_ids")
 def _src_payload_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.list_payloads(spark, payload_folder(spark, sf_dir)).select(

@@ -1,22 +1,24 @@
 """Registered queries against their SQL equivalents on the smallest tables, and streaming."""
 
 import math
+from pathlib import Path
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from emberframe.operators import stats
+from emberframe.operators import conformance, stats
 from emberframe.session import new_path
 from emberframe.sources import encoder, payloads
 from emberframe.streaming.ingest import ingest
+from payload_builder import dictionary, message
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CHECKED = (
-    "frames_by_language", "symbol_fractions", "anyvalue_bytes", "listing_samples", "payload_stats", "check_all", "split_samples",
+    "frames_by_language", "symbol_fractions", "anyvalue_bytes", "listing_samples", "payload_stats", "check_all", "check_all_rules", "split_samples",
     "resource_attr_dict", "encoding_summary", "summary_upscaled_mib", "percentile_table", "histogram_uncompressed_mib",
     "correlation_ranking", "cpu_vs_size_fit", "src_decode", "src_framed", "src_payload_ids", "sink_stats_csv", "context_findings", "resource_context",
-    "stream_buffer_windows", "amortization_curve",
+    "stream_buffer_windows", "amortization_curve", "stream_ingest",
 )
 
 
@@ -57,6 +59,45 @@ def test_entry(spark):
     assert df.count() == 80 and df.agg({"frames": "sum"}).first()[0] == 30_051
 
 
+def test_every_rule_has_findings(spark, sf_dir):
+    rules = {r.rule for r in entry.queries()["check_all_rules"](spark, sf_dir).select("rule").distinct().collect()}
+    assert rules == {f"R{i}" for i in range(1, 39)}
+
+
+def test_samples_are_read_three_times(spark, view):
+    """Once for what they refer to, once per profile, and once for the findings."""
+    counter = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            counter.add(batch.num_rows)
+            yield batch
+
+    rows = view.samples.count()
+    t = view.with_tables(samples=view.samples.mapInArrow(counted, view.samples.schema))
+    found = conformance.check_all(t)
+    found.write.format("noop").mode("overwrite").save()
+    assert counter.value <= 3 * rows
+
+
+def test_ingest_numbers_go_on(spark):
+    """Two batches: a host keeps its id, a new one gets the next, and a repeated batch changes nothing."""
+    named = lambda host: message({"dictionary": dictionary(), "resource_profiles": [{
+        "resource": {"attributes": [{"key": "host.name", "value": {"string": host}}]}, "scope_profiles": [{"profiles": [{}]}]}]})
+    path, out, checkpoint = (new_path(spark, n) for n in ("in", "out", "checkpoint"))
+    Path(path).mkdir(parents=True)
+    seen = {}
+    for batch in ({"b": "north", "a": "south"}, {"d": "south", "c": "west", "e": ""}):
+        for name, host in batch.items():
+            Path(path, name).write_bytes(named(host))
+        ingest(spark, path, out, checkpoint).awaitTermination()
+        rows = spark.read.parquet(f"{out}/stats").select("file", "id", "host_id").collect()
+        seen = {r.file.rsplit("/", 1)[1]: (r.id, r.host_id) for r in rows}
+    assert seen == {"a": (1, 1), "b": (2, 2), "c": (3, 3), "d": (4, 1), "e": (5, 0)}
+    assert {(r.host, r.host_id, r.batch) for r in spark.read.parquet(f"{out}/hosts").collect()} == {
+        ("south", 1, 0), ("north", 2, 0), ("west", 3, 1)}
+
+
 def test_stream_ingest(spark, view):
     path, out, checkpoint = (new_path(spark, n) for n in ("in", "out", "checkpoint"))
     payloads.write_payload_files(encoder.encode(view), path).count()
