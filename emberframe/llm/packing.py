@@ -13,7 +13,8 @@
 
 A step of the local search takes an underfull donor, emptiest first, and moves a
 piece, or exchanges one for one, two for one or one for two, with the other
-sequence of the group for which the sum of squared fills grows most.  The sum
+sequence of the group for which the sum of squared fills grows most; pieces are
+told apart by length alone.  The sum
 grows with each step and is bounded, so the search ends; donors run empty.
 
 Tokenization results are written to the shared folder first: groups come from
@@ -21,17 +22,17 @@ stored counters, so a repeated task deals alike.
 
 Defined results: a null or empty text is one piece with only the end id; repeated
 rows are packed one by one; an empty table gives an empty result; very long
-texts become many pieces; further columns are not read.  Strings of special
-tokens inside a text are ordinary text.
+texts become many pieces; further columns are not read.  Strings of the
+tokenizer's added tokens inside a text become their ids.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache, reduce
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -46,7 +47,7 @@ END_ID = 0
 
 
 @lru_cache(maxsize=2)
-def encoder(tokenizer_file: str):
+def encoder(tokenizer_file: str) -> Callable[[str], list[int]]:
     """Byte-level BPE of a ``tokenizer.json``, run by the faster of two libraries that give equal ids."""
     import json
     from pathlib import Path
@@ -59,9 +60,19 @@ def encoder(tokenizer_file: str):
     others = [b for b in range(256) if b not in set(plain)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(others)}
     spec = json.loads(Path(tokenizer_file).read_text(encoding="utf-8"))
-    special = {t["content"] for t in spec.get("added_tokens", [])}
-    ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
+    ordinary = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    cut = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or "(?!)")
+
+    def encode(text: str) -> list[int]:
+        ids, at = [], 0
+        for found in cut.finditer(text):  # the text between added tokens is encoded on its own
+            ids += [*ordinary(text[at : found.start()]), added[found[0]]]
+            at = found.end()
+        return ids + ordinary(text[at:]) if at else ordinary(text)
+
+    return encode
 
 
 def cut_lengths(n: int, capacity: int) -> list[int]:
@@ -76,7 +87,7 @@ def token_pieces(
     """(id, piece, start, length, ids_crc32, deal): the pieces, and a counter to deal them by."""
 
     def rows(texts: Iterator[tuple]) -> Iterable[tuple]:
-        encode = encoder(tokenizer_file).encode_ordinary
+        encode = encoder(tokenizer_file)
         deal = TaskContext.get().partitionId() * 7919
         for key, text in texts:
             ids = array("I", encode(text))
@@ -131,64 +142,116 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+class _Parts:
+    """What the bins can take out: nothing, a piece, or two pieces; each sum of lengths once per bin.
+
+    Entries of all bins lie in common arrays.  A bin that changes gets new ones at
+    the end; its old ones become so large that nothing can be exchanged for them.
+    """
+
+    GONE = 1 << 40
+
+    def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int):
+        self.bins, self.lengths, self.capacity = bins, lengths, capacity
+        self._fill_up()
+
+    def of(self, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sum, first, second) of bin ``b``; a length of 0 stands for no piece."""
+        own, times = np.unique(self.lengths[self.bins[b]], return_counts=True)
+        i, j = np.triu_indices(len(own))
+        real = (i < j) | (times[i] > 1)
+        first, second = own[i[real]], own[j[real]]
+        both, at = np.unique(first + second, return_index=True)
+        zero = np.zeros(1, np.int64)
+        return (np.concatenate((zero, own, both)), np.concatenate((zero, own, first[at])),
+                np.concatenate((zero, np.zeros(len(own), np.int64), second[at])))
+
+    def _fill_up(self) -> None:
+        parts = [self.of(b) for b in range(len(self.bins))]
+        sizes = [len(p[0]) for p in parts]
+        self.n = sum(sizes)
+        ends = np.cumsum(sizes)
+        self.place = [(e - k, e) for e, k in zip(ends.tolist(), sizes, strict=True)]
+        room = np.zeros(self.n + 64, np.int64)
+        self.total, self.first, self.second = (
+            np.concatenate([*(p[k] for p in parts), room]) for k in range(3))
+        self.total[self.n :] = self.GONE
+        self.owner = np.concatenate([np.repeat(np.arange(len(parts)), sizes), room])
+
+    def renew(self, b: int) -> None:
+        start, end = self.place[b]
+        self.total[start:end] = self.GONE
+        total, first, second = self.of(b)
+        start, end = self.n, self.n + len(total)
+        if end > len(self.total):
+            self._fill_up()
+            return
+        self.total[start:end], self.first[start:end], self.second[start:end], self.owner[start:end] = total, first, second, b
+        self.place[b], self.n = (start, end), end
+
+
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Improve ``bins`` in place by moves and exchanges that raise the sum of squared fills; drop empty bins."""
+    """Improve ``bins`` by moves and exchanges that raise the sum of squared fills; drop empty bins.
+
+    Pieces are told apart by length only, so that a bin has at most ``capacity`` sums to
+    exchange, whatever its number of pieces.  A donor takes its best steps until it
+    has none left or is empty; donors are visited emptiest first, again and again until a
+    round brings no step.
+    """
     bound = least_bins(lengths, capacity)
     if len(bins) <= bound:
         return bins
-    owner = np.empty(len(lengths), np.int64)
-    for b, members in enumerate(bins):
-        owner[members] = b
-    fill = np.bincount(owner, weights=lengths, minlength=len(bins)).astype(np.int64)
-    alive = len(bins)
-
-    def gains(donor: int, grown: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Growth of the sum of squares when ``target`` bins take ``grown`` from the donor; -1 if it isn't possible."""
-        to = fill[target]
-        ok = (grown > 0) & (to + grown <= capacity) & (target != donor) & (to > 0)
-        return np.where(ok, 2 * grown * (to + grown - fill[donor]), -1)
-
-    while alive > bound:
-        # Pairs of pieces in the same bin, for exchanges of one for two.
-        pairs = np.array([p for m in bins for p in combinations(m, 2) if len(m) <= 64], np.int64).reshape(-1, 2)
-        pair_sum, pair_owner = lengths[pairs].sum(axis=1), owner[pairs[:, 0]] if len(pairs) else np.empty(0, np.int64)
-        moved = False
+    fill = np.array([int(lengths[m].sum()) for m in bins], np.int64)
+    alive, parts = len(bins), _Parts(bins, lengths, capacity)
+
+    def best_step(donor: int) -> tuple | None:
+        start, end = parts.place[donor]
+        given, second = parts.total[start:end], parts.second[start:end]
+        n = parts.n
+        total, owner = parts.total[:n], parts.owner[:n]
+        base = fill[owner] - fill[donor]
+        room = capacity - fill[owner]
+        room[(owner == donor) | (fill[owner] == 0)] = 0
+        single = (parts.first[:n] > 0) & (parts.second[:n] == 0)
+        found, step = 0, None
+        for rows, columns in (((given > 0) & (second == 0), None), (second > 0, np.flatnonzero(single))):
+            rows = np.flatnonzero(rows)
+            if not len(rows):
+                continue
+            t, base_t, room_t = (total, base, room) if columns is None else (total[columns], base[columns], room[columns])
+            grown = given[rows][:, None] - t[None, :]
+            gain = np.where((grown > 0) & (grown <= room_t), grown * (base_t + grown), 0)
+            at = int(gain.argmax())
+            row, column = divmod(at, gain.shape[1])
+            if gain[row, column] > found:
+                found = int(gain[row, column])
+                step = start + int(rows[row]), column if columns is None else int(columns[column])
+        return step
+
+    def moved(from_: int, to: int, entry: int) -> list[tuple[int, int, int]]:
+        out, left = [], list(bins[from_])
+        for size in (int(parts.first[entry]), int(parts.second[entry])):
+            if size:
+                piece = next(i for i in left if lengths[i] == size)
+                left.remove(piece)
+                out.append((piece, from_, to))
+        return out
+
+    changed = True
+    while changed and alive > bound:
+        changed = False
         for donor in sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: fill[b]):
-            best, step = 0, None
-            own = bins[donor]
-            for given in [(a,) for a in own] + (list(combinations(own, 2)) if len(own) <= 64 else []):
-                size = int(lengths[list(given)].sum())
-                if len(given) == 1:
-                    whole = np.arange(len(bins))
-                    g = gains(donor, np.full(len(bins), size), whole)
-                    if g.size and g.max() > best:
-                        best, step = int(g.max()), (given, (), int(g.argmax()))
-                    g = gains(donor, size - pair_sum, pair_owner)
-                    if g.size and g.max() > best:
-                        k = int(g.argmax())
-                        best, step = int(g[k]), (given, tuple(pairs[k].tolist()), int(pair_owner[k]))
-                g = gains(donor, size - lengths, owner)
-                if g.size and g.max() > best:
-                    k = int(g.argmax())
-                    best, step = int(g[k]), (given, (k,), int(owner[k]))
-            if step is not None:
-                given, taken, target = step
-                for a in given:
-                    own.remove(a)
-                    bins[target].append(a)
-                    owner[a] = target
-                for a in taken:
-                    bins[target].remove(a)
-                    own.append(a)
-                    owner[a] = donor
-                change = int(lengths[list(given)].sum() - lengths[list(taken)].sum())
-                fill[donor] -= change
-                fill[target] += change
-                alive -= not own
-                moved = True
-                break
-        if not moved:
-            break
+            while alive > bound and bins[donor] and (step := best_step(donor)) is not None:
+                target = int(parts.owner[step[1]])
+                for piece, from_, to in moved(donor, target, step[0]) + moved(target, donor, step[1]):
+                    bins[from_].remove(piece)
+                    bins[to].append(piece)
+                    fill[from_] -= lengths[piece]
+                    fill[to] += lengths[piece]
+                alive -= not bins[donor]
+                parts.renew(donor)
+                parts.renew(target)
+                changed = True
     return [b for b in bins if b]
 
 
@@ -215,7 +278,9 @@ def _pack_groups(pieces: DataFrame, groups: int, capacity: int, round_no: int) -
     kind = dict(pieces.dtypes)["id"]
     dealt = pieces.select("id", "piece", "start", "length", "ids_crc32", "deal",
                           F.pmod("deal", F.lit(groups)).cast("bigint").alias("group"))
-    return dealt.groupBy("group").applyInPandas(pack, _PACKED.format(kind=kind))
+    # A stated number of partitions: the search costs time by pieces, not by bytes.
+    parts = min(groups, 4 * int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.repartition(parts, "group").groupBy("group").applyInPandas(pack, _PACKED.format(kind=kind))
 
 
 def pack_documents(
