@@ -5,11 +5,12 @@ every block element a probability from features of the node itself, its subtree
 (text, link density, text per tag), its siblings, its depth and the tokens of its and its
 ancestors' tag, class, id and role.  Decoding maximises the sum of log
 probabilities under the condition that a kept node has kept ancestors, so that no
-child is kept below a dropped parent.  Text runs of kept elements are joined:
+child is kept below a dropped parent; ``html`` and ``body`` are always kept.  Text runs of kept elements are joined:
 one block per run of text between block edges.
 
 Training material is a bounded sample: of ``max_pages`` pages of any size, whole
-subtrees up to ``max_chars`` characters.  They carry no labels, so a labelled set is made
+subtrees up to ``max_chars`` characters (where none fits, text up to half of it), and of
+these the first ``max_pieces`` elements per training page.  They carry no labels, so a labelled set is made
 from them: the content of ``article`` or ``main`` (or, without either, the page's
 paragraphs outside of links and of parts with usual names) is main text;
 it is set into other containers, and menus, headers, side bars, notices,
@@ -19,8 +20,8 @@ and inside it, with known labels.  The same page gives the same training set.
 Extraction reads every page whole, in one pass without a shuffle.
 
 Defined results: a null or empty page, or one without kept text, gives an empty
-text; repeated rows give equal texts; an empty table gives an empty result; with
-no text to train on every block counts as main text; unclosed and crossing tags are
+text; repeated rows give equal texts; an empty table gives an empty result; text
+outside of all elements belongs to the body, also behind its end tag; with no text to train on every block counts as main text; unclosed and crossing tags are
 closed by the next block or by the end; further columns are not read.
 """
 
@@ -29,6 +30,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from math import log
 
@@ -83,10 +85,11 @@ def features(page: Page) -> tuple[list[int], np.ndarray]:
     x = np.zeros((len(blocks), WIDTH))
     flags: list[tuple[int, int]] = [(0, 0)] * n
     above: list[frozenset] = [frozenset()] * n
-    place = [0] * n
+    place, alike = [0] * n, [0] * n  # among the siblings; siblings of the same tag
     for node in nodes:
+        times = Counter(nodes[c].tag for c in node.children)
         for k, c in enumerate(node.children):
-            place[c] = k
+            place[c], alike[c] = k, times[nodes[c].tag]
     whole, index = max(1, text[0]), {t: k for k, t in enumerate(_TAGS)}
     row = 0
     for i in range(1, n):
@@ -110,7 +113,7 @@ def features(page: Page) -> tuple[list[int], np.ndarray]:
         before, after = place[i] - 1, place[i] + 1
         x[row, at : at + 4] = (
             log(1 + text[kin[before]]) if before >= 0 else -1, log(1 + text[kin[after]]) if after < len(kin) else -1,
-            sum(nodes[k].tag == node.tag for k in kin) / len(kin) if len(kin) <= 200 else 1, node.tag == "p" and text[i] > 0)
+            alike[i] / len(kin), node.tag == "p" and text[i] > 0)
         row += 1
     return blocks, x
 
@@ -128,7 +131,8 @@ def _tokens(node) -> tuple[int, int]:
 def decode(page: Page, blocks: list[int], logits: np.ndarray) -> set[int]:
     """The most likely set of kept blocks in which every kept block's block ancestors are kept."""
     nodes = page.nodes
-    own = dict(zip(blocks, logits.tolist(), strict=True))
+    # The body is no part among others: what is directly in it is judged only as such.
+    own = {i: x for i, x in zip(blocks, logits.tolist(), strict=True) if nodes[i].tag not in ("html", "body")}
     gain = [0.0] * len(nodes)  # of keeping the node over dropping its subtree, given a kept parent
     for i in range(len(nodes) - 1, 0, -1):
         gain[i] += own.get(i, 0.0)
@@ -244,7 +248,7 @@ def _paragraphs(page: Page, max_chars: int) -> str:
     return "".join(taken)
 
 
-def training_pages(bodies: list[str], seed: int = 5) -> Iterator[str]:
+def training_pages(bodies: list[str], seed: int = 5, max_pieces: int = 40) -> Iterator[str]:
     """Pages around the main texts ``bodies`` in which every element outside of the main text carries ``data-off``."""
     rng = random.Random(seed)
     prose = [t for b in bodies for t in re.findall(r">([^<>]{20,})<", b)] or ["Text of no page."]
@@ -260,8 +264,7 @@ def training_pages(bodies: list[str], seed: int = 5) -> Iterator[str]:
     for body in bodies:
         for _ in range(3):
             pieces = re.split(r"(?=<(?:p|h[1-6]|ul|ol|blockquote|div|section)\b)", body)
-            if len(pieces) > 40:  # a training page of this size is enough
-                pieces = pieces[:40]
+            pieces = pieces[:max_pieces]
             for _ in range(rng.choice((0, 0, 1, 2))):
                 pieces.insert(rng.randint(0, len(pieces)), part(rng.choice(_INSIDE)))
             if rng.random() < 0.3:  # ends that are missing or that are there
@@ -280,9 +283,9 @@ def train(sources: list[str], **options) -> boosting.Boosted:
     return _train([b for b in map(material, sources) if b], **options)
 
 
-def _train(bodies: list[str], **options) -> boosting.Boosted:
+def _train(bodies: list[str], max_pieces: int = 40, **options) -> boosting.Boosted:
     rows, labels = [], []
-    for source in training_pages(bodies):
+    for source in training_pages(bodies, max_pieces=max_pieces):
         page = parse(source)
         blocks, x = features(page)
         off, good = [False] * len(page.nodes), [False] * len(page.nodes)
@@ -300,11 +303,11 @@ def _train(bodies: list[str], **options) -> boosting.Boosted:
     return boosting.fit(x, np.array(labels or [True], float), **options)
 
 
-def train_on(pages: DataFrame, html_col: str = "html", max_pages: int = 150, max_chars: int = 12_000) -> boosting.Boosted:
+def train_on(pages: DataFrame, html_col: str = "html", max_pages: int = 150, max_chars: int = 12_000, max_pieces: int = 40) -> boosting.Boosted:
     """Train on material of the pages with the smallest hashes; tasks cut it out, so that the driver gets only this."""
     sources = pages.select(F.col(f"`{html_col}`").alias("h")).where("h IS NOT NULL")
     bodies = smallest_hashes(sources, "h", max_pages, lambda source: material(source, max_chars))
-    return _train([b for b in bodies if b])
+    return _train([b for b in bodies if b], max_pieces)
 
 
 def extract(pages: DataFrame, model: boosting.Boosted, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
