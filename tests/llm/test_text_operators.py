@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 from math import log
@@ -27,8 +28,7 @@ def test_packing_round_trip(make_docs, odd_texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    docs = make_docs([*odd_texts, "<|endoftext|> as text"])
+    docs = make_docs([*odd_texts, "<|endoftext|> as text", "hello <|endoftext|> world", " <|endoftext|>  <|endoftext|>\n", "<|endoftext| >"])
     rows = packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), 512, group_size=40).collect()
     want = Counter()
     for key, text in texts_of(docs):
@@ -62,6 +62,18 @@ def test_local_search_empties_bins():
     assert len(packing.pack_lengths(lengths, 15)) == 2
 
 
+def test_local_search_is_fast_and_takes_bins_of_any_size():
+    rng = random.Random(4)
+    lengths = np.array([rng.randint(400, 899) for _ in range(4096)])
+    start = time.process_time()
+    found = packing.pack_lengths(lengths, 2048)
+    assert time.process_time() - start < 30  # seconds; about 3 on an idle machine
+    assert len(found) < 0.97 * len(packing.best_fit(lengths, 2048))
+    # A hundred pieces of 20 in one bin, and a piece that fits only if two of them go to the other one.
+    bins, lengths = [list(range(100)), [100], [101]], np.array([20] * 100 + [1900, 40])
+    assert len(packing.local_search(bins, lengths, 2048)) == 2
+
+
 def test_packing_empty(make_docs):
     assert packing.pack_documents(make_docs([]), tokenizer_file("byte_bpe_50k.json")).count() == 0
 
@@ -108,7 +120,8 @@ def test_token_counts_equal_brute_force(make_docs, odd_texts):
             table.append(max(options))
         return -table[-1][1]
 
-    docs = make_docs([*odd_texts[:-2], "Ünï cödé ✓ 𝒳 unbelievably", "unbelievable unbelievably un"])
+    long = "unbelievable" * 60 + "✓𝒳" * 40  # longer than the trie is deep
+    docs = make_docs([*odd_texts[:-2], "Ünï cödé ✓ 𝒳 unbelievably", "unbelievable unbelievably un", long, long + " " + long + "s"])
     want = Counter((k, len(t.split()), sum(best("▁" + w) for w in t.split())) for k, t in texts_of(docs))
     for nodes in (400_000, 10):
         got = token_counts.count_tokens(docs, tokenizer_file("piece_bpe_32k.model"), max_nodes=nodes).collect()
@@ -116,6 +129,20 @@ def test_token_counts_equal_brute_force(make_docs, odd_texts):
     assert token_counts.count_tokens(make_docs([]), tokenizer_file("piece_bpe_32k.model")).count() == 0
 
 
+def test_token_counts_of_a_huge_word():
+    trie = token_counts.PrefixTrie(*token_counts.vocabulary(tokenizer_file("piece_bpe_32k.model")))
+    assert trie.count("abcde" * 1_000_000)[1] > 1_000_000
+    assert len(trie.best) < 1_000 and not trie.words
+
+
+def test_token_counts_do_not_depend_on_the_trie():
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghe", k=rng.randint(1, 12))) for _ in range(3_000)]
+    tries = [token_counts.PrefixTrie(*token_counts.vocabulary(tokenizer_file("piece_bpe_32k.model")), n) for n in (400_000, 500)]
+    for word in rng.choices(words, k=9_000):
+        assert tries[0].count(word) == tries[1].count(word)
+
+
 # --- mixing ---
 
 
@@ -295,9 +322,49 @@ def test_extraction(spark):
     for i in range(5):
         assert got[i] == "\n\n".join([f"Title {i}", *[f"{p} {i} {k}." for k, p in enumerate(prose * (1 + i % 4))]])
     assert got[5] == got[6] == "" and got[12] == got[13] == got[1]
+    assert got[7] == "plain"
     assert extraction.extract(pages.limit(0), model).count() == 0
 
 
+def test_extraction_of_text_outside_of_elements(spark):
+    text = "Long text with several words that say something about a thing. It goes on here."
+    sources = [f"<body><nav><a href=x>Home</a></nav><article><p>{text} {i}.</p><p>{text} {2 * i}.</p></article></body>" for i in range(40)]
+    model = extraction.train(sources)
+    pages = [f"<p>{text}</p>a tail of text<p>{text}</p>", f"<html><body><p>{text}</p></body></html>behind the end", f"{text}<br>next &amp; last",
+             f"<html><head><title>T</title></head><body><p>{text}</p></body><body><p>more</p></body></html>"]
+    df = spark.createDataFrame([(i, "u", s) for i, s in enumerate(pages)], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in extraction.extract(df, model).collect()}
+    assert got[0] == f"{text}\n\na tail of text\n\n{text}"
+    assert got[1] == f"{text}\n\nbehind the end"
+    assert got[2] == f"{text} next & last"
+    assert got[3] == f"{text}\n\nmore"
+
+
+def test_siblings_are_counted_alike_on_long_lists():
+    for n in (10, 150, 400):
+        blocks, x = extraction.features(dom.parse("<ul>" + "<li>a</li>" * n + "<p>b</p>" * (n // 2) + "</ul>"))
+        assert abs(x[1, -2] - n / (n + n // 2)) < 1e-9
+
+
+def test_pages_of_many_marks_take_linear_time():
+    pages = ["<a " * 350_000, "<b '>" * 10 + "<b '" * 250_000, "<b x='" * 170_000, "<p>" + "<i>" * 150_000 + "<div>" * 50_000,
+             "<i>" * 100_000 + "</b>" * 100_000, "<div>" + "<i>" * 100_000 + "<hr>" * 100_000]
+    start = time.process_time()
+    for page in pages:
+        dom.parse(page)
+    assert time.process_time() - start < 40  # seconds; about 5 on an idle machine, hours if quadratic
+
+
+def test_tags_and_quotes():
+    def tags(source):
+        page = dom.parse(source)
+        return [n.tag for n in page.nodes[1:]], "".join(r or "" for _, r in page.runs)
+
+    assert tags("a < b <c d='>' e>f</c> <g h=\">i") == (["body", "c"], "a < b f <g h=\">i")
+    assert tags("<p title=it's>x</p><!-- > --><p>y<!-->z") == (["p", "p"], "xyz")
+    assert tags("1 <2 <!doctype html> <b") == (["body"], "1 <2  <b")
+
+
 def test_extraction_learns_from_large_pages_and_pages_of_div_only(spark):
     text = "Long text with several words that say something about thing {}. It goes on here, and further on."
     div = [f"<body><div class=menu><a href=x>Home</a></div><div>{''.join(f'<div>{text.format(100 * i + k)}</div>' for k in range(6))}</div></body>" for i in range(40)]
