@@ -47,15 +47,19 @@ def before_in_group(runs: DataFrame, group: Sequence[str], amount: str) -> Colum
 
 
 def grouped_ordinal(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, start: int = 0, spread_ties: bool = False
+    df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, start: int = 0, spread_ties: bool = False, kind: str = "int"
 ) -> DataFrame:
-    """Add ``name``: the position of each row in its group, counted from ``start``."""
+    """Add ``name``: the position of each row in its group, counted from ``start``.
+
+    ``kind`` is its type; an int is for groups inside a message, which are shorter
+    than 2^31, a bigint for any other.
+    """
     ranged = range_sorted(df, [*group, *order], f"ordinal-{name}", spread_ties)
     runs = ranged.groupBy(*group, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
     offsets = runs.select(
         *group, "_part", (before_in_group(runs, group, "_n") - F.col("_first") + start).alias("_offset")
     )
     joined = ranged.join(offsets, [*group, "_part"])
-    return joined.withColumn(name, (F.col("_row") + F.col("_offset")).cast("int")).drop(
+    return joined.withColumn(name, (F.col("_row") + F.col("_offset")).cast(kind)).drop(
         "_row", "_part", "_offset"
     )

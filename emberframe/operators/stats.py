@@ -119,12 +119,11 @@ def numbered_hosts(t: ProfileTables, hosts: DataFrame, known: DataFrame | None =
     placed = hosts.join(t.payloads.select("payload_id", "position"), "payload_id")
     first = placed.groupBy("host").agg(F.min("position").alias("first_payload"))
     if known is None:
-        return grouped_ordinal(first, [], ["first_payload"], "host_id", start=1).select("host", F.col("host_id").cast("bigint").alias("host_id"))
+        return grouped_ordinal(first, [], ["first_payload"], "host_id", start=1, kind="bigint").select("host", "host_id")
     known = known.select("host", F.col("host_id").cast("bigint").alias("host_id"))
     last = known.agg(F.coalesce(F.max("host_id"), F.lit(0))).first()[0]
-    # Numbered from 0 and moved up as longs.
-    fresh = grouped_ordinal(first.join(known, "host", "left_anti"), [], ["first_payload"], "host_id")
-    return known.unionByName(fresh.select("host", (F.col("host_id") + F.lit(last).cast("bigint") + 1).alias("host_id")))
+    fresh = grouped_ordinal(first.join(known, "host", "left_anti"), [], ["first_payload"], "host_id", start=last + 1, kind="bigint")
+    return known.unionByName(fresh.select("host", "host_id"))
 
 
 def host_ids(t: ProfileTables, host_key: str = "host.name", known: DataFrame | None = None) -> DataFrame:

@@ -621,6 +621,12 @@ UNION ALL SELECT payload_id, 'resource-attr-dict', resource_profiles_proto_bytes
   FROM dict_tree JOIN dtab USING (payload_id) LEFT JOIN newstr USING (payload_id)""")
 oracle("encoding_summary", f"""
 SELECT 'supplier-' || payload_id AS file, encoding, count(*) AS payloads, {big('sum(n)', 'uncompressed_bytes')} FROM encs GROUP BY 1, 2""")
+cte("encsum", """
+SELECT 'supplier-' || payload_id AS file, encoding, count(*) AS payloads, sum(n) AS nb,
+  CASE encoding WHEN 'baseline' THEN 0 WHEN 'split-by-process' THEN 1 ELSE 2 END AS place FROM encs GROUP BY payload_id, encoding""")
+oracle("sink_encoding_summary", """
+SELECT 0 AS line_no, 'file,encoding,payloads,uncompressed_bytes' AS line
+UNION ALL SELECT CAST(row_number() OVER (ORDER BY file, place) AS INT), file || ',' || encoding || ',' || payloads || ',' || CAST(nb AS BIGINT) FROM encsum""")
 oracle("encoding_gain", """
 SELECT 'supplier-' || payload_id AS file, round(100.0 * (1 - max(n) FILTER (WHERE encoding = 'resource-attr-dict')::DOUBLE
   / max(n) FILTER (WHERE encoding = 'split-by-process')::DOUBLE), 6) AS uncompressed_gain_pct FROM encs GROUP BY payload_id""")
@@ -681,6 +687,9 @@ cte("ranked", "SELECT upscaled_mib AS x, row_number() OVER (ORDER BY upscaled_mi
 oracle("percentile_table", """
 SELECT CAST(p AS INT) AS percentile, round(x, 6) AS upscaled_mib FROM (SELECT unnest(range(101)) AS p) q
 JOIN ranked ON r = CAST(round((n - 1)::DOUBLE * (p / 100.0::DOUBLE)) AS BIGINT)""")
+oracle("sketch_percentiles", """
+SELECT CAST(p AS INT) AS percentile, n, round(x, 6) AS value FROM (SELECT unnest(range(101)) AS p) q
+JOIN ranked ON r = greatest(0, CAST(ceil(n * p / 100.0::DOUBLE) AS BIGINT) - 1)""")
 _limit = nearest_of("upscaled_bytes", "0.99")
 cte("lim", f"SELECT {_limit} AS size_limit")
 cte("rec", "SELECT size_limit, CAST(pow(2, length(bin(CAST(floor(size_limit) AS BIGINT) - 1))) AS BIGINT) AS recommended_limit FROM lim")

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.operators import conformance, context, encodings, frames, lookups, sizes, stats, study, transforms
+from emberframe.operators import conformance, context, encodings, frames, lookups, sizes, sketches, stats, study, transforms
 from emberframe.schema import FRACTION_COLUMNS, SAMPLE_ID, STATS_COLUMNS, SYMBOL_FRACTION_COLUMNS
 from emberframe.session import configure, new_path, stash
 from emberframe.sources import listing as listings
@@ -219,6 +218,15 @@ def _percentile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(study.percentile_table(derived(spark, sf_dir)), 6, "upscaled_mib")
 
 
+@query("sketch_percentiles")
+def _sketch_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles from one kept sketch per host, merged."""
+    rows = derived(spark, sf_dir)
+    kept = once(spark, sf_dir, "size-sketches", lambda: stash(
+        sketches.quantile_sketches(rows, ["host_id"], "upscaled_mib"), "size-sketches"))
+    return rounded(sketches.percentiles(sketches.merged(kept)), 6, "value")
+
+
 @query("recommended_limit")
 def _recommended_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(study.size_limit(derived(spark, sf_dir)), 3, "size_limit")
@@ -375,10 +383,10 @@ def _src_framed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("resource_profiles").alias("resources"), F.coalesce("error", F.lit("")).alias("error"))
 
 
-def _stats_csv_folder(spark: SparkSession, sf_dir: str) -> str:
+def _stats_csv_file(spark: SparkSession, sf_dir: str) -> str:
     def build() -> str:
-        path = new_path(spark, "stats-csv")
-        stats_csv.write_stats_csv(view_stats(spark, sf_dir), path)
+        path = f"{new_path(spark, 'stats-csv')}/stats.csv"
+        stats_csv.write_stats_file(view_stats(spark, sf_dir), path)
         return path
 
     return once(spark, sf_dir, "stats-csv", build)
@@ -387,13 +395,27 @@ def _stats_csv_folder(spark: SparkSession, sf_dir: str) -> str:
 @query("sink_stats_csv")
 def _sink_stats_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells as written: every column as text, empty cells as ''."""
-    text = spark.read.csv(_stats_csv_folder(spark, sf_dir), header=True, schema=",".join(f"{n} string" for n, _ in STATS_COLUMNS))
+    text = spark.read.csv(_stats_csv_file(spark, sf_dir), header=True, schema=",".join(f"{n} string" for n, _ in STATS_COLUMNS))
     return text.na.fill("")
 
 
 @query("src_stats_csv")
 def _src_stats_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats_csv.read_stats_csv(spark, _stats_csv_folder(spark, sf_dir)), 9, *_STATS_DOUBLES)
+    return rounded(stats_csv.read_stats_csv(spark, _stats_csv_file(spark, sf_dir)), 9, *_STATS_DOUBLES)
+
+
+@query("sink_encoding_summary")
+def _sink_encoding_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the written file, in its order."""
+
+    def build() -> str:
+        path = f"{new_path(spark, 'encoding-summary')}/summary.csv"
+        encodings.write_summary(_encoding_summary(spark, sf_dir), path)
+        return path
+
+    whole = spark.read.text(once(spark, sf_dir, "encoding-summary", build), wholetext=True)
+    lines = F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n"))
+    return whole.select(lines.alias("line_no", "line"))
 
 
 # --- process contexts and windows -----------------------------------------------------
@@ -433,12 +455,7 @@ def _buffer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("buffer_size_curve")
 def _buffer_size_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    samples = _event_samples(spark.read.parquet(f"{sf_dir}/events.parquet"))
-    per_length = [
-        windows.buffer_windows(samples, f"{seconds} seconds").withColumn("buffer_seconds", F.lit(seconds).cast("bigint"))
-        for seconds in (60, 3600, 86400)
-    ]
-    curve = windows.size_curve(reduce(DataFrame.unionByName, per_length))
+    curve = windows.buffer_curve(_event_samples(spark.read.parquet(f"{sf_dir}/events.parquet")), (60, 3600, 86400))
     return rounded(curve, 6, "mean_samples", "mean_stacks", "samples_per_stack")
 
 

@@ -24,7 +24,7 @@ _DECODED = [f.strip() for f in NESTED.split("payload_id bigint,")][1]
 def list_payloads(spark: SparkSession, path: str) -> DataFrame:
     """(id, path, length) of a file or of the files directly inside a folder, ids in path order from 1."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")
-    return grouped_ordinal(files, [], ["path"], "id", start=1).select("id", "path", "length")
+    return grouped_ordinal(files, [], ["path"], "id", start=1, kind="bigint").select("id", "path", "length")
 
 
 def _arrow_schema(ddl: str) -> pa.Schema:

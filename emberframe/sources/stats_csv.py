@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberframe.functions.values import shortest_decimal
 from emberframe.schema import STATS_COLUMNS
+from emberframe.sources.ordered_csv import write_ordered_csv
 
 
 def utc_parts(ns: Column, pattern: str) -> tuple[Column, Column]:
@@ -24,7 +25,7 @@ def rfc3339_nanos(ns: Column) -> Column:
     return F.concat(text, F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""), F.lit("Z"))
 
 
-def formatted(stats: DataFrame) -> DataFrame:
+def formatted(stats: DataFrame, *more: str) -> DataFrame:
     """All cells as text: plain integers, shortest floats, RFC 3339 times, '' for NULL."""
 
     def cell(name: str, kind: str) -> Column:
@@ -37,7 +38,7 @@ def formatted(stats: DataFrame) -> DataFrame:
             text = c.cast("string")
         return F.coalesce(text, F.lit("")).alias(name)
 
-    return stats.select(*[cell(n, k) for n, k in STATS_COLUMNS])
+    return stats.select(*[cell(n, k) for n, k in STATS_COLUMNS], *more)
 
 
 def write_stats_csv(stats: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -45,6 +46,13 @@ def write_stats_csv(stats: DataFrame, path: str, mode: str = "errorifexists") ->
     formatted(stats.repartitionByRange("id").sortWithinPartitions("id")).write.mode(mode).csv(path, header=True, emptyValue="")
 
 
+def write_stats_file(stats: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Write one CSV file with one header, rows in id order."""
+    names = [n for n, _ in STATS_COLUMNS]
+    cells = formatted(stats.withColumn("_id", F.col("id")), "_id")
+    write_ordered_csv(cells, path, ["_id"], names, overwrite)
+
+
 def read_stats_csv(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
     """Read statistics CSV files; times stay text, empty cells are NULL."""
     if infer:

@@ -1,5 +1,6 @@
 """Numbering, order statistics, statistics, transforms and the study against brute force."""
 
+import bisect
 import math
 import random
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberframe.functions.numeric import ieee_div, next_power_of_two
-from emberframe.operators import context, encodings, frames, lookups, sizes, stats, study, transforms
+from emberframe.operators import context, encodings, frames, lookups, sizes, sketches, stats, study, transforms
 from emberframe.operators.ordinals import grouped_ordinal
 from emberframe.operators.quantiles import lower_middle, nearest, order_statistics, upper_middle
 from emberframe.schema import STATS_COLUMNS
@@ -27,6 +28,26 @@ def test_grouped_ordinal_with_one_large_group(spark):
         assert [r.n for r in rows] == list(range(1, len(rows) + 1))
 
 
+def test_ordinals_beyond_an_int(spark):
+    got = grouped_ordinal(spark.range(5), [], ["id"], "n", start=2**31 + 7, kind="bigint").collect()
+    assert sorted(r.n for r in got) == [2**31 + 7 + i for i in range(5)]
+
+
+def test_merged_sketches_are_within_one_percent(spark):
+    """Ranks of merged sketches against exact ranks, with a value held by a third of the rows."""
+    rng = random.Random(9)
+    xs = [4.0 if i % 3 == 0 else rng.lognormvariate(1, 2) for i in range(60_000)]
+    df = spark.createDataFrame([(i % 40, x) for i, x in enumerate(xs)] + [(50, None)], "part int, x double")
+    kept = sketches.quantile_sketches(df, ["part"], "x", k=400)
+    assert kept.count() == 40
+    xs.sort()
+    for r in sketches.percentiles(sketches.merged(kept)).collect():
+        low, high = bisect.bisect_left(xs, r.value) / len(xs), bisect.bisect_right(xs, r.value) / len(xs)
+        assert r.n == len(xs) and low - 0.01 <= r.percentile / 100 <= high + 0.01
+    small = sketches.percentiles(sketches.merged(sketches.quantile_sketches(spark.range(1, 11), [], "id")), [0, 10, 50, 95, 100])
+    assert [(r.percentile, r.value) for r in small.collect()] == [(0, 1), (10, 1), (50, 5), (95, 10), (100, 10)]
+
+
 def test_order_statistics_with_a_value_held_by_a_third_of_the_rows(spark):
     rng = random.Random(3)
     xs = [rng.choice([5.0, rng.uniform(0, 10), rng.uniform(0, 10)]) for _ in range(4001)]

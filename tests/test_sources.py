@@ -1,5 +1,6 @@
 """Decoding, encoding, framing, files, CSV and listing."""
 
+import csv
 import random
 import struct
 
@@ -11,6 +12,7 @@ from emberframe.operators import sizes, stats
 from emberframe.schema import STATS_COLUMNS
 from emberframe.session import new_path
 from emberframe.sources import codec, encoder, listing, payloads, stats_csv
+from emberframe.sources.ordered_csv import write_ordered_csv
 from payload_builder import dictionary, fill, message, payload, tables_of
 
 
@@ -172,3 +174,19 @@ def test_listing(spark):
         'Resource: &a=&"x", b="q\\"", c=5', "  Scope: sc: ",
         "    Profile: cpu=ms (1970-01-01 00:00:10 +0000 UTC - 1970-01-01 00:00:10.5 +0000 UTC)",
         '      Sample: &y.key="s" &unit, &z.key=1']
+
+
+def test_ordered_csv_is_one_file(spark, tmp_path):
+    path = tmp_path / "out" / "rows.csv"
+    rows = spark.range(5_000).repartition(16).selectExpr("id", "id % 7 AS g", "IF(id % 3 = 0, NULL, concat('a,\"', id, '\n')) AS text")
+    write_ordered_csv(rows, str(path), ["g", "id"], ["id", "text"])
+    with path.open(newline="") as source:
+        header, *lines = csv.reader(source)
+    assert header == ["id", "text"]
+    assert [int(r[0]) for r in lines] == sorted(range(5_000), key=lambda i: (i % 7, i))
+    assert all(text == ("" if int(i) % 3 == 0 else f'a,"{i}\n') for i, text in lines)
+    assert [p.name for p in path.parent.iterdir() if not p.name.endswith(".crc")] == ["rows.csv"]  # nothing else is left
+    with pytest.raises(Exception, match="rows.csv"):
+        write_ordered_csv(rows, str(path), ["id"], ["id"])
+    write_ordered_csv(rows.limit(0), str(path), ["id"], ["id"], overwrite=True)
+    assert path.read_text() == "id\n"
