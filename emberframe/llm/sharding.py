@@ -34,6 +34,7 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
     def score(shard: Column) -> Column:
         bits = F.shiftrightunsigned(F.xxhash64(key, shard["i"]), 11)
         u = (bits.cast("double") + F.lit(0.5)) * F.lit(2.0 ** -53)
+        u = F.least(u, F.lit(1 - 2.0 ** -53))  # the largest hash would round to 1
         return F.struct((-shard["w"] / F.ln(u)).alias("s"), shard["i"].alias("i"))
 
     shards = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(w)).alias("w")) for i, w in enumerate(weights)])
@@ -55,5 +56,4 @@ def shard_rows(
     ]
     if grown_by is not None:
         columns.append(shard_of(key, [*weights, grown_by]).alias("grown_shard"))
-    numbered = grouped_ordinal(docs.select(*columns), ["shard"], ["id"], "slot", spread_ties=True)
-    return numbered.withColumn("slot", F.col("slot").cast("bigint"))
+    return grouped_ordinal(docs.select(*columns), ["shard"], ["id"], "slot", spread_ties=True, kind="bigint")
