@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberframe.llm.common import map_rows, new_path, smallest_hashes
+from emberframe.sources.payloads import qualified
 
 _SKIPPABLE, _ZSTD, _DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -168,10 +169,10 @@ def read_frames(stream, block_bytes: int = 1 << 16) -> Iterator[tuple[int, bytes
 
 
 def _store(uri: str):
-    """The file system of a folder and the path in it; a bare path counts as local."""
+    """The file system of a folder and the path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
+    return fs.FileSystem.from_uri(uri)
 
 
 def train_dictionary(
@@ -202,7 +203,11 @@ def write_archives(
     pages: DataFrame, uri: str, dictionary: bytes = b"", id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
     least_bytes: int = 1000, file_bytes: int = 32 << 20,
 ) -> DataFrame:
-    """Write the rows below ``uri``; (file, records, bytes) of every archive.  The write runs when the result is read."""
+    """Write the rows below ``uri``; (file, records, bytes) of every archive.  The write runs when the result is read.
+
+    A path without scheme lies where Spark's own writers put it.
+    """
+    uri = qualified(pages.sparkSession, uri)
 
     def rows(pages: Iterator[tuple]) -> Iterable[tuple]:
         store, root = _store(uri)
@@ -232,6 +237,7 @@ def write_archives(
 
 def read_archives(files: DataFrame, uri: str, with_payload: bool = False) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to[, payload]) of all records of the ``file`` column."""
+    uri = qualified(files.sparkSession, uri)
 
     def rows(names: Iterator[tuple]) -> Iterable[tuple]:
         store, _ = _store(uri)
