@@ -13,8 +13,19 @@ from emberframe.llm import jaccard, mixing, packing, quality_rules, queries, tox
 from emberframe.llm.common import read_table, stash
 
 
+#: Rows that go to Python in one batch.  They are whole texts, so short batches keep the workers' memory low.
+ROWS_PER_BATCH = 1024
+
+
+def _short_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_PER_BATCH:
+        spark.conf.set(key, str(ROWS_PER_BATCH))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; learned from ``labels`` without the held-out third."""
+    _short_batches(spark)
     model = toxicity.train(docs, queries.learnable(read_table(spark, sf_dir, "labels")))
     return toxicity.keep_clean(docs, model)
 
@@ -25,11 +36,13 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of five-word shingle similarity of 0.8 or more."""
+    _short_batches(spark)
     return jaccard.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, and as often as its rate says: languages that are short of their share repeat."""
+    _short_batches(spark)
     model = queries.mix_model(spark, docs, sf_dir)
     members = stash(mixing.membership(docs, model), "members")
     _, steps = mixing.fit_rates(members, model.domains, queries.MIX)
@@ -37,6 +50,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _short_batches(spark)
     packed = packing.pack_documents(docs, queries.tokenizer_file("byte_bpe_50k.json"), queries.CAPACITY)
     return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
