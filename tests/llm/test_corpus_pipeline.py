@@ -34,3 +34,16 @@ def test_stages(spark, sf_dir):
     assert packed.where("piece = 0").count() == mixed.count()
     fill = {r[0]: r[1] for r in packed.groupBy("sequence_id").sum("length").collect()}
     assert max(fill.values()) <= 2048 and len(fill) <= -(-sum(fill.values()) // 2048) + 1
+
+
+def test_stages_on_odd_rows(spark, sf_dir, make_docs, odd_texts):
+    """Nulls, empty and long texts, ties, repeated rows and further columns pass every stage; so does an empty table."""
+    docs = make_docs([*odd_texts, *["the same words of a text that is long enough for the rules " * 6] * 3])
+    for name, stage in corpus_pipeline.STAGES:
+        kept = stash(stage(spark, docs, sf_dir), name)
+        if name == "packing":
+            assert kept.where("piece = 0").count() == docs.count()
+        else:
+            assert kept.columns == docs.columns
+            assert kept.count() >= docs.count() if name == "mixing" else kept.count() <= docs.count()
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
