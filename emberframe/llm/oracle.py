@@ -8,6 +8,15 @@ _STOP = (
     "le la les de du et un une est en que dans pour par sur au qui plus pas "
     "el los las del y una es por con para se no al lo su")
 
+OP5 = """
+WITH payloads AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+grouped AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS last FROM payloads)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM grouped
+"""
+
 OP8 = rf"""
 WITH split AS (
   SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS words,
@@ -119,4 +128,4 @@ SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scores WHERE score > 0) WHERE place <= 20
 """
 
-ORACLES = {"op8_quality_rules": OP8, "op10_ngram_jaccard": OP10, "op11_suffix_dedup": OP11, "op12_prefix_trie": OP12, "op13_lexical_search": OP13}
+ORACLES = {"op5_zstd_archives": OP5, "op8_quality_rules": OP8, "op10_ngram_jaccard": OP10, "op11_suffix_dedup": OP11, "op12_prefix_trie": OP12, "op13_lexical_search": OP13}
