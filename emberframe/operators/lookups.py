@@ -85,15 +85,19 @@ def attribute_lists(t: ProfileTables, owner: DataFrame) -> DataFrame:
 
 
 def canonical_lists(t: ProfileTables, owner: DataFrame) -> DataFrame:
-    """(payload_id, attribute_indices) -> canonical text ``&k=v[ &unit]``, sorted by key."""
+    """(payload_id, attribute_indices) -> canonical text ``&k=v[ &unit]``, sorted by key.
+
+    An index without an entry is ``&?[index]`` and comes first.
+    """
     unit = F.when(F.col("unit_strindex") != 0, F.concat(F.lit(" &"), F.coalesce("unit", F.lit("")))).otherwise("")
     key = F.coalesce("key", F.lit(""))
     part = F.struct(
         key.alias("key"), F.col("pos"),
-        F.concat(F.lit("&"), key, F.lit("="), F.col("listing"), unit).alias("part"),
+        F.when(F.col("key_strindex").isNull(), F.concat(F.lit("&?["), F.col("idx").cast("string"), F.lit("]")))
+        .otherwise(F.concat(F.lit("&"), key, F.lit("="), F.col("listing"), unit)).alias("part"),
     )
     # A list is one message field, so the group is as small as one row of the input.
-    return attribute_lists(t, owner).where("key_strindex IS NOT NULL").groupBy("payload_id", "attribute_indices").agg(
+    return attribute_lists(t, owner).groupBy("payload_id", "attribute_indices").agg(
         F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(part)), lambda x: x["part"])).alias("attributes_text")
     )
 

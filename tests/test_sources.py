@@ -165,7 +165,7 @@ def test_listing(spark):
             {"key": "b", "value": {"string": 'q"'}}, {"key_ref": 1, "value": {"string_ref": 2}}, {"key": "c", "value": {"int": 5}}]},
             "scope_profiles": [{"scope": {"name": "sc"}, "profiles": [{
                 "sample_type": {"type_strindex": 3, "unit_strindex": 4}, "time_unix_nano": 10_500_000_000, "duration_nano": 500_000_000,
-                "samples": [{"attribute_indices": [2, 1]}]}]}]}],
+                "samples": [{"attribute_indices": [2, 1]}, {"attribute_indices": [2, 999, -1]}]}]}]}],
         "dictionary": dictionary(strings=["", "a", "x", "cpu", "ms", "z.key", "y.key", "unit"], attributes=[
             {}, {"key_strindex": 5, "value": {"int": 1}}, {"key_strindex": 6, "value": {"string": "s"}, "unit_strindex": 7}]),
     })
@@ -173,7 +173,7 @@ def test_listing(spark):
     assert lines == [
         'Resource: &a=&"x", b="q\\"", c=5', "  Scope: sc: ",
         "    Profile: cpu=ms (1970-01-01 00:00:10 +0000 UTC - 1970-01-01 00:00:10.5 +0000 UTC)",
-        '      Sample: &y.key="s" &unit, &z.key=1']
+        '      Sample: &y.key="s" &unit, &z.key=1', '      Sample: &?[999], &?[-1], &y.key="s" &unit']
 
 
 def test_ordered_csv_is_one_file(spark, tmp_path):
