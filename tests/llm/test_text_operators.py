@@ -236,6 +236,59 @@ def test_imatch(make_docs):
     assert imatch.edit_report(make_docs(["only"])).first().near_next == 1.0
 
 
+def test_imatch_fingerprints_are_those_of_the_sorted_words(make_docs):
+    """Brute force over the stored masks: one set hash per subset, and the likeness of the edited text."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(300)]
+    docs = make_docs([" ".join(rng.choices(words, k=60)) for _ in range(40)])
+    lexicon = imatch.lexicon(docs, low=0.001, high=0.9)
+    entries = lexicon.select("word", "mask", F.xxhash64("word").alias("h")).collect()
+    known = {r.word: (r.mask, r.h) for r in entries}
+    texts = texts_of(docs)
+    seen = Counter(w for _, t in texts for w in set(t.split()))
+    assert set(known) == {w for w, n in seen.items() if 2 <= n <= 0.9 * len(texts)}
+
+    def prints(text):
+        out = [0] * imatch.n_subsets()
+        for word in sorted(set(text.split())):
+            mask, h = known.get(word, (0, 0))
+            for k in range(len(out)):
+                out[k] ^= h if mask >> k & 1 else 0
+        return out
+
+    def likeness(a, b):
+        told = [x == y for x, y in zip(a, b, strict=True) if x or y]
+        return sum(told) / len(told) if told else 1.0
+
+    rows = {r.id: r for r in imatch.edit_report(docs, low=0.001, high=0.9).collect()}
+    for i, (key, text) in enumerate(texts):
+        after = texts[(i + 1) % len(texts)][1]
+        half = len(text) // 2
+        own, edited = prints(text), prints(text[: len(text) - half] + after[:half])
+        assert rows[key].fingerprint == "".join(f"{x % 2**64:016x}" for x in own)
+        assert rows[key].near_edited == pytest.approx(likeness(own, edited))
+        assert rows[key].near_next == pytest.approx(likeness(own, prints(after)))
+    # A lexicon above the limit is joined by a shuffle, with the same result.
+    shuffled = imatch.edit_report(docs, low=0.001, high=0.9, max_broadcast=0).collect()
+    assert {r.id: r for r in shuffled} == rows
+
+
+def test_imatch_successors_over_many_ranges(make_docs):
+    """Ties, null keys, gaps and ranges of three rows."""
+    rng = random.Random(9)
+    keys = [rng.randrange(1000) for _ in range(120)] + [7] * 40 + [None] * 25
+    rng.shuffle(keys)
+    docs = make_docs([(k, f"text {rng.randrange(60)}" if i % 9 else None) for i, k in enumerate(keys)])
+    ordered = sorted(texts_of(docs), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    want = Counter((*row, ordered[(i + 1) % len(ordered)][1]) for i, row in enumerate(ordered))
+    for limits in ({"rows_per_range": 3}, {"rows_per_range": 3, "max_ranges": 7}, {}):
+        rows = imatch.with_next(docs, **limits).collect()
+        assert Counter((r.id, r.text, r.next_text) for r in rows) == want
+        assert len({(r.range, r.place) for r in rows}) == len({(r.next_range, r.next_place) for r in rows}) == len(keys)
+    many = imatch.with_next(docs, rows_per_range=3).select("range").distinct().count()
+    assert many >= 40 and imatch.with_next(docs, rows_per_range=3, max_ranges=7).select("range").distinct().count() <= 7
+
+
 def test_imatch_tells_texts_without_lexicon_words_apart(make_docs):
     """The production band; every word is in one text or in most of them."""
     rng = random.Random(2)
