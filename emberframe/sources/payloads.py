@@ -16,6 +16,7 @@ from emberframe.session import configure, ship_package, stash
 from emberframe.sources import codec
 from emberframe.sources.encoder import encode
 from emberframe.sources.nested import flatten
+from emberframe.sources.payload_spans import SPAN_BYTES, list_files, read_spans, readable
 from emberframe.tables import ProfileTables
 
 _DECODED = [f.strip() for f in NESTED.split("payload_id bigint,")][1]
@@ -23,14 +24,25 @@ _DECODED = [f.strip() for f in NESTED.split("payload_id bigint,")][1]
 
 def list_payloads(spark: SparkSession, path: str) -> DataFrame:
     """(id, path, length) of a file or of the files directly inside a folder, ids in path order from 1."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    uri = qualified(spark, path)
+    files = list_files(spark, uri) if readable(uri) else spark.read.format("binaryFile").load(path).select("path", "length")
     return grouped_ordinal(files, [], ["path"], "id", start=1, kind="bigint").select("id", "path", "length")
 
 
-def _arrow_schema(ddl: str) -> pa.Schema:
+def arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return to_arrow_schema(T.StructType.fromDDL(ddl))
+    return to_arrow_schema(schema)
+
+
+def message_row(path: str, number: int, frame: bytes, message, mode: str) -> dict:
+    """Row of a message, or of the error in its place; mode FAILFAST raises the error."""
+    place = {"path": path, "frame_no": number, "n_bytes": len(frame)}
+    if not isinstance(message, Exception):
+        return place | {"error": None} | codec.to_row(message)
+    if mode == "FAILFAST":
+        raise ValueError(f"{path}, message {number}: {message}") from message
+    return place | {"error": f"{type(message).__name__}: {message}"}
 
 
 def decode(files: DataFrame, framed: bool = True, mode: str = "PERMISSIVE") -> DataFrame:
@@ -41,41 +53,38 @@ def decode(files: DataFrame, framed: bool = True, mode: str = "PERMISSIVE") -> D
     frames of its file alone; mode FAILFAST raises instead.
     """
     schema = T.StructType.fromDDL(_DECODED)
-
-    def rows(path: str, data: bytes) -> Iterator[dict]:
-        for no, (frame, message) in enumerate(codec.read_messages(data, framed)):
-            place = {"path": path, "frame_no": no, "n_bytes": len(frame)}
-            if not isinstance(message, Exception):
-                yield place | {"error": None} | codec.to_row(message)
-            elif mode == "FAILFAST":
-                raise ValueError(f"{path}, message {no}: {message}") from message
-            else:
-                yield place | {"error": f"{type(message).__name__}: {message}"}
-
-    arrow = _arrow_schema(_DECODED)
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content")):
-                for row in rows(path, data.as_py()):
-                    yield pa.RecordBatch.from_pylist([row], schema=arrow)
+                for number, (frame, message) in enumerate(codec.read_messages(data.as_py(), framed)):
+                    yield pa.RecordBatch.from_pylist([message_row(path, number, frame, message, mode)], schema=arrow)
 
     ship_package(files.sparkSession)
     return files.select("path", "content").mapInArrow(run, schema)
 
 
-def read_nested(spark: SparkSession, path: str, framed: bool = True, mode: str = "FAILFAST") -> DataFrame:
+def read_nested(
+    spark: SparkSession, path: str, framed: bool = True, mode: str = "FAILFAST", span_bytes: int = SPAN_BYTES
+) -> DataFrame:
     """Decoded rows of a file or folder, stored once as Parquet.
 
     A file that cannot be decoded stops the job, naming its path.  With mode
     PERMISSIVE it becomes a row of ``decode_errors`` instead.
 
-    Decoding cannot be pruned or pushed down, so it runs once; later reads
-    prune the stored nested columns.
+    Files are read by spans (``payload_spans``).  Paths with a pattern or a scheme
+    without a reader by position are read whole by Spark, which leaves out files
+    whose names start with ``_`` or ``.``.  Decoding cannot be pruned or pushed
+    down, so it runs once; later reads prune the stored nested columns.
     """
     configure(spark)
-    files = spark.read.format("binaryFile").load(path)
-    decoded = decode(files, framed, mode).withColumn("payload_id", F.monotonically_increasing_id())
+    uri = qualified(spark, path)
+    if readable(uri):
+        decoded = read_spans(spark, uri, T.StructType.fromDDL(_DECODED), framed, mode, span_bytes)
+    else:
+        decoded = decode(spark.read.format("binaryFile").load(path), framed, mode)
+    decoded = decoded.withColumn("payload_id", F.monotonically_increasing_id())
     return stash(decoded.select("payload_id", *[c for c in decoded.columns if c != "payload_id"]), "decoded")
 
 
@@ -90,7 +99,7 @@ def decode_errors(nested: DataFrame) -> DataFrame:
 def measured_sizes(t: ProfileTables) -> DataFrame:
     """(payload_id, uncompressed_bytes, gzip_6_bytes) of the encoded messages of every payload."""
     schema = "payload_id bigint,n bigint,z bigint"
-    arrow = _arrow_schema(schema)
+    arrow = arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -128,6 +128,37 @@ def test_framed_files(spark):
         payloads.decode(files, mode="FAILFAST").collect()
 
 
+def test_framed_file_is_read_by_spans(spark, tmp_path):
+    """Whatever the spans, rows are those of the whole file; a large one is the work of several tasks."""
+    contents = [message(random_payload(seed)) for seed in range(40)]
+    prefixed = lambda b: len(b).to_bytes(4, "big") + b
+    cases = {
+        "many": b"".join(prefixed(c) for c in contents), "poor": prefixed(contents[0]) + prefixed(b"\0\1\2") + prefixed(contents[1]),
+        "cut": prefixed(contents[0]) + prefixed(contents[1])[:-3], "size": prefixed(contents[0]) + b"\0\0", "none": b"",
+        "one": contents[2], "_hidden": contents[3], ".dot": prefixed(contents[4]) * 2, "a b%20c": contents[5], "zero": prefixed(b"") * 3,
+    }
+    for name, data in cases.items():
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "folder").mkdir()
+    content = spark.createDataFrame([(k, bytearray(v)) for k, v in cases.items()], "path string, content binary")
+    told = lambda df: sorted((r.path.rsplit("/", 1)[-1], r.frame_no, r.n_bytes, r.error or "", str(r.dictionary)) for r in df.collect())
+    want = told(payloads.decode(content))
+    for span_bytes in (1, 700, 1 << 20):
+        nested = payloads.read_nested(spark, str(tmp_path), mode="PERMISSIVE", span_bytes=span_bytes)
+        assert told(nested) == want
+        ids = [r.payload_id for r in nested.select("payload_id").collect()]
+        assert len(set(ids)) == len(ids)
+    one = payloads.read_nested(spark, str(tmp_path / "many"), span_bytes=len(cases["many"]) // 6)
+    assert one.count() == 40 and one.select(F.shiftright("payload_id", 33)).distinct().count() > 1
+    assert {r.path.rsplit("/", 1)[1]: r.length for r in payloads.list_payloads(spark, str(tmp_path)).collect()} == {
+        k: len(v) for k, v in cases.items()}
+    assert payloads.read_nested(spark, str(tmp_path / "folder")).count() == 0
+    with pytest.raises(FileNotFoundError, match="absent"):
+        payloads.read_nested(spark, str(tmp_path / "absent"))
+    with pytest.raises(Exception, match="poor, message 1"):
+        payloads.read_nested(spark, str(tmp_path / "poor"), span_bytes=1)
+
+
 def test_files_round_trip_with_positions(spark, view):
     path = new_path(spark, "test-files")
     payloads.write_payload_files(encoder.encode(view), path).count()
