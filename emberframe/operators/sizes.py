@@ -63,10 +63,16 @@ def _entity_refs(array: str) -> str:
     return wire.total(f"transform({array}, e -> {content})", wire.framed)
 
 
-def resource_bytes(t: ProfileTables) -> DataFrame:
-    scopes = scope_bytes(t).groupBy(*RESOURCE_ID).agg(
+def scope_totals(t: ProfileTables) -> DataFrame:
+    """What a resource's size takes from the scopes below it: (resource, sums, number of scopes with rows)."""
+    return scope_bytes(t).groupBy(*RESOURCE_ID).agg(
         _sum(wire.framed("scope_bytes"), "framed_scopes"),
         *[_sum(c, c) for c in ("scope_message", "profile_bytes", "sample_bytes")], F.count("*").alias("filled"))
+
+
+def resource_bytes(t: ProfileTables, scopes: DataFrame | None = None) -> DataFrame:
+    """Content bytes of each resource, on ``scopes``, the ``scope_totals``, if these are known."""
+    scopes = scope_totals(t) if scopes is None else scopes
     message = (
         f"coalesce(attribute_bytes, 0L) + {wire.scalar('dropped_attributes_count')} + {_entity_refs('entity_refs')}")
     rest = f"coalesce(framed_scopes, 0L) + (n_scopes - coalesce(filled, 0L)) * {_EMPTY_SLOT} + {wire.text('schema_url')}"
@@ -128,3 +134,17 @@ def payload_bytes(t: ProfileTables) -> DataFrame:
     """Encoded size of each payload: (payload_id, uncompressed_bytes)."""
     return message_bytes(t).selectExpr(
         "payload_id", "resource_profiles_proto_bytes + dictionary_proto_bytes AS uncompressed_bytes")
+
+
+def string_table_bytes(t: ProfileTables) -> DataFrame:
+    """(payload_id, string_bytes) of the string tables alone."""
+    return wire.string_content(t.dict_strings, ["payload_id"]).groupBy("payload_id").agg(_sum(wire.framed("content"), "string_bytes"))
+
+
+def bytes_of_parts(t: ProfileTables, resources: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(payload_id, uncompressed_bytes) from ``resource_bytes`` and (payload_id, dictionary_bytes)."""
+    tree = resources.groupBy("payload_id").agg(_sum(wire.framed("resource_bytes"), "tree_bytes"))
+    joined = t.payloads.select("payload_id", "has_dictionary").join(tree, "payload_id", "left").join(
+        dictionary.select("payload_id", "dictionary_bytes"), "payload_id", "left")
+    return joined.selectExpr("payload_id", "has_dictionary", _or_zero("tree_bytes"), _or_zero("dictionary_bytes")).selectExpr(
+        "payload_id", f"tree_bytes + {wire.optional('has_dictionary', 'dictionary_bytes')} AS uncompressed_bytes")

@@ -127,8 +127,9 @@ def split_by_process(t: ProfileTables) -> ProfileTables:
 
 
 def _without_payload(profiles: DataFrame) -> DataFrame:
+    """A decoded profile without original payload has an empty one."""
     return profiles.withColumn("original_payload", F.when(
-        F.col("original_payload").isNotNull(),
+        F.octet_length("original_payload") > 0,
         F.raise_error(F.lit("cannot split a profile that carries its original payload")).cast("binary"),
     ))
 

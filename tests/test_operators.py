@@ -160,6 +160,25 @@ def test_dictionary_encoding_of_resources(spark):
     assert rows[1, 0].value["s_ref"] == 1 and rows[0, 1].value["i"] == 8080 and rows[0, 2].value["s"] == "kept"
 
 
+def test_shared_sizes_are_those_of_each_variant(spark, view):
+    """On the view, and on payloads without a dictionary, strings, resources or samples."""
+    kv = lambda k, v: {"key": k, "value": {"string": v}}
+    sample = lambda *attrs: {"attribute_indices": list(attrs), "values": [1]}
+    long = "n" * 300
+    odd = tables_of(
+        spark, {}, {"dictionary": {}}, {"resource_profiles": [{}]},
+        {"resource_profiles": [{"resource": {"attributes": [kv("a", long), kv("b", "x")]}, "schema_url": "s", "scope_profiles": [
+            {"profiles": [{"samples": [sample(1, 2), sample(2), sample()]}, {}]}, {"scope": {"name": "sc"}}]}],
+         "dictionary": dictionary(strings=["", "process.pid", "x", "thread"], attributes=[
+             {}, {"key_strindex": 1, "value": {"int": 7}}, {"key_strindex": 3, "value": {"string": "t"}}])})
+    for t in (view, odd):
+        for factor in (1, 3):
+            variants = encodings.encoding_variants(t, factor)
+            for name, got in encodings.shared_sizes(variants).items():
+                want = {r.payload_id: r.uncompressed_bytes for r in sizes.payload_bytes(variants[name]).collect()}
+                assert {r.payload_id: r.uncompressed_bytes for r in got.collect()} == want, name
+
+
 def test_transform_invariants(view):
     scaled = transforms.scale_samples(view, 3)
     assert scaled.samples.count() == 3 * view.samples.count()
