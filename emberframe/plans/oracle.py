@@ -240,6 +240,10 @@ oracle("anyvalue_text", "SELECT payload_id, idx AS attribute_index, key, txt AS
 oracle("anyvalue_bytes", f"""
 SELECT 'attribute' AS owner, payload_id, -1 AS rp_idx, idx AS pos, {big('vbytes', 'value_bytes')} FROM att
 UNION ALL SELECT 'resource', payload_id, rp_idx, pos, CASE WHEN kind = 'string' THEN strlen(txt) ELSE 0 END FROM rat""")
+oracle("anyvalue_nested", f"""
+SELECT l_orderkey, {big('2 + 4 * count(*)', 'n_entries')}, 3 AS depth,
+  {big("strlen('lines') + sum(strlen('flagstatuspart') + strlen(coalesce(l_returnflag, '')) + strlen(coalesce(l_linestatus, '')))", 'text_bytes')}
+FROM lineitem GROUP BY l_orderkey""")
 
 # --- statistics --------------------------------------------------------------------------
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.operators import conformance, context, encodings, frames, lookups, sizes, sketches, stats, study, transforms
+from emberframe.operators import conformance, context, encodings, frames, lookups, nested_values, sizes, sketches, stats, study, transforms
 from emberframe.schema import FRACTION_COLUMNS, SAMPLE_ID, STATS_COLUMNS, SYMBOL_FRACTION_COLUMNS
 from emberframe.session import configure, new_path, stash
 from emberframe.sources import listing as listings
@@ -69,6 +69,22 @@ on_view("listing_samples", listings.listing)
 on_view("anyvalue_text", lookups.anyvalue_text)
 on_view("anyvalue_bytes", lookups.anyvalue_bytes)
 
+
+@query("anyvalue_nested")
+def _anyvalue_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as nested values: a list of lines, each a list of pairs; entries, levels and text bytes of each."""
+    configure(spark)
+    pair = lambda key, value: F.concat(F.lit(f'["{key}",0,'), value, F.lit("]"))
+    flat = lambda kind, c: F.to_json(F.create_map(F.lit(kind), c))
+    line = F.concat(F.lit('{"kvlist":['), F.concat_ws(
+        ",", pair("flag", flat("string", F.col("l_returnflag"))), pair("status", flat("bytes", F.base64(F.encode("l_linestatus", "UTF-8")))),
+        pair("part", flat("int", F.col("l_partkey")))), F.lit("]}"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"))
+    value = F.concat(F.lit('{"kvlist":['), pair("lines", F.concat(F.lit('{"array":['), F.concat_ws(",", "lines"), F.lit("]}"))), F.lit("]}"))
+    entries = nested_values.nested_entries(lines.select("l_orderkey", value.alias("nested_json")), ["l_orderkey"])
+    return nested_values.nested_bytes(entries, ["l_orderkey"])
+
+
 # --- statistics ------------------------------------------------------------------
 
 on_view("host_ids", stats.host_ids)

@@ -15,7 +15,7 @@ from payload_builder import dictionary, message
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CHECKED = (
-    "frames_by_language", "symbol_fractions", "anyvalue_bytes", "listing_samples", "payload_stats", "check_all", "check_all_rules", "split_samples",
+    "frames_by_language", "symbol_fractions", "anyvalue_bytes", "anyvalue_nested", "listing_samples", "payload_stats", "check_all", "check_all_rules", "split_samples",
     "resource_attr_dict", "encoding_summary", "summary_upscaled_mib", "percentile_table", "histogram_uncompressed_mib",
     "correlation_ranking", "cpu_vs_size_fit", "src_decode", "src_framed", "src_payload_ids", "sink_stats_csv", "context_findings", "resource_context",
     "stream_buffer_windows", "buffer_size_curve", "amortization_curve", "stream_ingest", "sink_encoding_summary", "sketch_percentiles",

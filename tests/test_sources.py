@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberframe.functions.values import quoted, shortest_decimal
-from emberframe.operators import sizes, stats
+from emberframe.operators import nested_values, sizes, stats
 from emberframe.schema import STATS_COLUMNS
 from emberframe.session import new_path
 from emberframe.sources import codec, encoder, listing, payloads, stats_csv
@@ -128,6 +128,26 @@ def test_framed_files(spark):
         payloads.decode(files, mode="FAILFAST").collect()
 
 
+def test_nested_values_are_opened_level_by_level(spark):
+    """Text bytes computed from the JSON text equal those counted while decoding."""
+    rng = random.Random(5)
+    values = [random_value(rng) for _ in range(200)] + [{"array": {"values": [{}, {"kvlist": {"values": [{"key": "alone"}]}}]}}, {"kvlist": {"values": []}}]
+    t = tables_of(spark, {"dictionary": dictionary(strings=["", "é", "three"], attributes=[{}, *({"value": v} for v in values)])})
+    attributes = t.dict_attributes.select("payload_id", "idx", "value", "value.nested_json")
+    entries = nested_values.nested_entries(attributes, ["payload_id", "idx"])
+    got = {r.idx: r.text_bytes for r in nested_values.nested_bytes(entries, ["payload_id", "idx"], t.dict_strings).collect()}
+    want = {r.idx: r.value["payload_bytes"] for r in attributes.where("nested_json IS NOT NULL").collect()}
+    assert got == want and len(want) > 30 and max(want.values()) > 0
+    one = '{"kvlist":[["a",0,{"array":[{"string":"x{"},null,{"bytes":"AAEC"}]}],["",2,{"int":7}],["z",0,null]]}'
+    rows = nested_values.nested_entries(spark.createDataFrame([(1, one), (2, None)], "id int, nested_json string"), ["id"])
+    assert sorted((r.depth, r.path, r.key, r.key_ref, r.kind, r.text, r.text_bytes) for r in rows.collect()) == [
+        (0, "$", None, 0, "kvlist", None, 0), (1, "$.", "", 2, "int", "7", 0), (1, "$.a", "a", 0, "array", None, 1),
+        (1, "$.z", "z", 0, None, None, 1), (2, "$.a[0]", None, 0, "string", "x{", 2), (2, "$.a[1]", None, 0, None, None, 0),
+        (2, "$.a[2]", None, 0, "bytes", "AAEC", 3)]
+    none = nested_values.nested_entries(spark.createDataFrame([], "id int, nested_json string"), ["id"])
+    assert nested_values.nested_bytes(none, ["id"]).count() == 0
+
+
 def test_framed_file_is_read_by_spans(spark, tmp_path):
     """Whatever the spans, rows are those of the whole file; a large one is the work of several tasks."""
     contents = [message(random_payload(seed)) for seed in range(40)]
