@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import struct
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -10,6 +11,7 @@ from math import log
 
 import numpy as np
 import pytest
+import xxhash
 from brute import brute_components
 from pyspark.sql import functions as F
 
@@ -98,6 +100,23 @@ def test_sharding(make_docs, odd_texts):
         sharding.shard_of(F.col("x"), [1.0, 0.0])
 
 
+def test_shards_are_those_of_the_rendezvous_scores(make_docs):
+    """Brute force with another implementation of the hash: the largest -weight / ln(hash) wins, and takes from others only."""
+    weights = [1.0, 0.5, 2.0, 1.0, 1.0]
+    keys = [None, 0, 1, -1, 2**62, *range(50, 600), *range(50, 60)]
+
+    def scores(key, weights):
+        start = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+        for shard, weight in enumerate(weights):
+            u = min(((xxhash.xxh64_intdigest(struct.pack("<i", shard), start) >> 11) + 0.5) * 2.0**-53, 1 - 2.0**-53)
+            yield -weight / log(u), shard
+
+    want = Counter((k, max(scores(k, weights))[1], max(scores(k, [*weights, 1.5]))[1]) for k in keys)
+    rows = sharding.shard_rows(make_docs([(k, "text") for k in keys]), weights, grown_by=1.5).collect()
+    assert Counter((r.id, r.shard, r.grown_shard) for r in rows) == want
+    assert {r.grown_shard for r in rows} == set(range(6)) and all(r.grown_shard in (r.shard, 5) for r in rows)
+
+
 def test_sharding_follows_weights(spark):
     ids = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
     n = {r.shard: r["count"] for r in sharding.shard_rows(ids, [1.0, 3.0]).groupBy("shard").count().collect()}
@@ -339,6 +358,25 @@ def test_toxicity_held_out(make_docs):
     assert toxicity.score_documents(make_docs([]), model).count() == 0
 
 
+def test_toxicity_is_the_noisy_or_of_the_sentences(make_docs, odd_texts):
+    """Brute force: 1 - product of (1 - p), p the logistic function of a sentence's distinct words."""
+    rng = random.Random(4)
+    words = ["alpha", "beta", "gamma", "delta", "badword", "worse"]
+    model = toxicity.Model(-2.0, {f: rng.uniform(-2, 2) for w in words for f in toxicity.features(w)})
+    sentences = [[" ".join(rng.choices(words, k=rng.randint(1, 5))) for _ in range(rng.randint(1, 5))] for _ in range(60)]
+
+    def chance(sentence):
+        logit = model.bias + sum(model.weights.get(f, 0.0) for w in set(sentence.split()) for f in toxicity.features(w))
+        return 1 / (1 + np.exp(-logit))
+
+    rows = {r.id: r for r in toxicity.score_documents(make_docs([". ".join(s) + "." for s in sentences]), model).collect()}
+    for i, parts in enumerate(sentences):
+        chances = [chance(s) for s in parts]
+        assert rows[i].score == pytest.approx(1 - np.prod([1 - p for p in chances]))
+        assert rows[i].worst_score == pytest.approx(max(chances)) and rows[i].n_offending == sum(p > 0.5 for p in chances)
+    assert all(0 <= r.score <= 1 for r in toxicity.score_documents(make_docs(odd_texts), model).collect())
+
+
 # --- quality rules ---
 
 
