@@ -10,7 +10,8 @@
    ``r = max(0, r - sum over k of p[d, k] (S[k] - T[k]) / C[k])``; its largest
    eigenvalue is 1, so that a full step never overshoots.  An iteration is one
    aggregation of K sums over the stored probabilities; rates are written every
-   few iterations, so expressions stay short.
+   few iterations, so expressions stay short.  ``residual`` measures how far the
+   shares reached are from the targets.
 3. A rate becomes floor(rate + u) copies, u being a hash of the key in [0, 1):
    the expected number of copies is the rate.
 
@@ -157,6 +158,21 @@ def fit_rates(
     return state.withColumn("rate", _stepped(F.col("rate"), pending)), steps
 
 
+def residual(rated: DataFrame, domains: list[str], weights: Mapping[str, float]) -> float:
+    """Largest difference between a domain's share of the rated tokens and its target share; 0 without tokens or targets.
+
+    The steps of ``fit_rates`` end at its tolerance or after its iterations; this tells which.
+    """
+    if not domains:
+        return 0.0
+    totals = rated.agg(*[F.sum(F.col("tokens") * x * F.col(f"p{i}")) for x in (F.lit(1.0), F.col("rate")) for i in range(len(domains))]).first()
+    base, now = np.array([x or 0.0 for x in totals], float).reshape(2, -1)
+    share = np.array([weights.get(d, 0.0) for d in domains], float) * (base > 0)
+    if not share.sum() or not now.sum():
+        return 0.0
+    return float(np.abs(now / now.sum() - share / share.sum()).max())
+
+
 def copies(key: Column, rate: Column, least: int = 0, seed: int = 17) -> Column:
     """floor(rate + u), u in [0, 1) from the key; at least ``least``."""
     u = F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11).cast("double") * F.lit(2.0 ** -53)

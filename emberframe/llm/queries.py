@@ -58,7 +58,7 @@ def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated, _ = mixing.fit_rates(members, model.domains, MIX)
     return rated.select(
         F.col("id").alias("doc_id"), "tokens", *[F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(model.domains)], "rate",
-        mixing.copies(F.col("id"), F.col("rate")).alias("copies"))
+        mixing.copies(F.col("id"), F.col("rate")).alias("copies"), F.lit(mixing.residual(rated, model.domains, MIX)).alias("residual"))
 
 
 def op5_zstd_archives(spark: SparkSession, sf_dir: str) -> DataFrame:

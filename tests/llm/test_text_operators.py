@@ -177,6 +177,9 @@ def test_mixing_meets_targets(spark, sf_dir):
     totals = np.array([sum(r.tokens * r.rate * r[f"p{k}"] for r in rows) for k in range(len(model.domains))])
     share = np.array([MIX[d] for d in model.domains])
     assert np.abs(totals / totals.sum() - share / share.sum()).max() < 0.01 and min(r.rate for r in rows) >= 0
+    assert mixing.residual(rated, model.domains, MIX) == pytest.approx(np.abs(totals / totals.sum() - share / share.sum()).max())
+    early, _ = mixing.fit_rates(members, model.domains, MIX, iterations=0)
+    assert mixing.residual(early, model.domains, MIX) > 0.05  # targets missed are told
     again = mixing._rates(np.array([[r[f"p{k}"] for k in range(len(model.domains))] for r in rows]), steps)
     assert np.allclose(again, [r.rate for r in rows])
     mixed = mixing.mixed(docs, model, steps, least=1)
@@ -191,6 +194,7 @@ def test_mixing_odd_rows(make_docs, odd_texts):
     assert mixing.mixed(docs, model, steps, least=1).count() >= len(odd_texts)
     empty = mixing.train_domains(make_docs([]), make_docs([]).select("doc_id", F.col("lang").alias("domain")))
     assert mixing.fit_rates(mixing.membership(make_docs([]), empty), empty.domains, MIX)[0].count() == 0
+    assert mixing.residual(rated.limit(0), model.domains, MIX) == 0.0
 
 
 # --- archives ---
