@@ -4,6 +4,7 @@ from dataclasses import fields
 
 from pyspark.sql import functions as F
 
+from emberframe.operators import transforms
 from emberframe.session import by_payload, configure, stash
 from emberframe.sources import view as views
 from emberframe.sources.encoder import encode
@@ -40,3 +41,21 @@ def test_text_of_a_message_moves_once(spark, view):
         plan = _plan(encode(view))
     moved = [line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
     assert moved and not [keys for keys in moved if "rp_idx" in keys and "p_idx" in keys.replace("rp_idx", "").replace("sp_idx", "")]
+
+
+def test_small_payloads_are_split_where_they_lie(view, monkeypatch):
+    """Groups and samples of a small payload are numbered without a range sort over all rows."""
+    monkeypatch.setattr(transforms, "grouped_ordinal", None)
+    assert transforms.split_by_process(view).samples.count() == view.samples.count()
+
+
+def test_large_payloads_are_split_alike(view):
+    """Payloads over the bound take the way across partitions and give the same tables, all of them or some."""
+    sizes = [r["count"] for r in view.samples.groupBy("payload_id").count().collect()]
+    whole = transforms.split_by_process(view)
+    for limit in (0, sorted(sizes)[len(sizes) // 2]):
+        spread = transforms.split_by_process(view, limit)
+        for f in fields(view):
+            a, b = getattr(whole, f.name), getattr(spread, f.name)
+            assert b.dtypes == a.dtypes, f.name
+            assert sorted(map(repr, b.collect())) == sorted(map(repr, a.collect())), f.name
