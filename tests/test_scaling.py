@@ -4,7 +4,7 @@ from dataclasses import fields
 
 from pyspark.sql import functions as F
 
-from emberframe.operators import transforms
+from emberframe.operators import conformance, transforms
 from emberframe.session import by_payload, configure, stash
 from emberframe.sources import view as views
 from emberframe.sources.encoder import encode
@@ -59,3 +59,18 @@ def test_large_payloads_are_split_alike(view):
             a, b = getattr(whole, f.name), getattr(spread, f.name)
             assert b.dtypes == a.dtypes, f.name
             assert sorted(map(repr, b.collect())) == sorted(map(repr, a.collect())), f.name
+
+
+def test_checked_samples_move_without_their_values(spark, view):
+    """Samples meet bad lists by their ids alone, and no join of the checker moves their values."""
+    bad = stash(conformance.bad_attribute_lists(view), "bad")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = _plan(conformance.sample_findings(view, bad_lists=bad)).splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = [(line, below) for line, below in zip(lines, lines[1:]) if "Exchange hashpartitioning(" in line]
+    by_list = [below for line, below in moved if "attribute_indices" in line]
+    assert by_list and not [x for x in by_list if "timestamps" in x]
+    assert not [x for _, x in moved if ", values#" in x]
